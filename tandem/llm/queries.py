@@ -6,6 +6,7 @@ import importlib
 
 #: Query, its module and, where SQL expresses it, the name of the SQL there.
 TABLE = {
+    "op4_toxicity_crf": ("toxicity", None),
     "op1_benchmark_leaks": ("decontaminate", "SQL"),
     "op3_source_mix": ("mixing", "SQL"),
     "op8_histogram_shards": ("sharding", None),
