@@ -6,6 +6,7 @@ import importlib
 
 #: Query, its module and, where SQL expresses it, the name of the SQL there.
 TABLE = {
+    "op7_weak_pii": ("pii", None),
     "op2_divergence_rules": ("divergence", None),
     "op4_toxicity_crf": ("toxicity", None),
     "op1_benchmark_leaks": ("decontaminate", "SQL"),
