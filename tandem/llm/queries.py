@@ -17,8 +17,13 @@ TABLE = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, (module, _) in TABLE.items()}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, (module, _) in TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: getattr(importlib.import_module(f".{module}", __package__), sql) for name, (module, sql) in TABLE.items() if sql}
+    import corpus_pipeline
+
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found | {name: getattr(importlib.import_module(f".{module}", __package__), sql) for name, (module, sql) in TABLE.items() if sql}
