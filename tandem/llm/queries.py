@@ -6,6 +6,7 @@ import importlib
 
 #: Query, its module and, where SQL expresses it, the name of the SQL there.
 TABLE = {
+    "op6_redirect_rules": ("urlrules", "SQL"),
     "op10_jaccard_components": ("jaccard", "SQL"),
     "op7_weak_pii": ("pii", None),
     "op2_divergence_rules": ("divergence", None),
