@@ -6,6 +6,8 @@ import importlib
 
 #: Query, its module and, where SQL expresses it, the name of the SQL there.
 TABLE = {
+    "op5_winnowed_lines": ("linededup", None),
+    "op9_preference_pairs": ("preference", "SQL"),
     "op6_redirect_rules": ("urlrules", "SQL"),
     "op10_jaccard_components": ("jaccard", "SQL"),
     "op7_weak_pii": ("pii", None),
