@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -67,7 +68,7 @@ def lcs_parts(old: str, new: str) -> list[dict]:
     return [{"type": p["type"], "value": "".join(map(str, reversed(p["value"])))} for p in reversed(out)]
 
 
-@F.pandas_udf(PARTS)
+@F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("value", StringType())])))
 def exact(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([lcs_parts(a, b) if a is not None and b is not None else None for a, b in zip(old, new)], dtype=object)
 
@@ -99,7 +100,7 @@ def compact(parts: DataFrame, keys: list[str]) -> DataFrame:
 _WORDS = re.compile(r"\w+|\s+|[^\w\s]")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def word_changes(old: pd.Series, new: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(old, new):
