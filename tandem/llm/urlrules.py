@@ -41,7 +41,8 @@ def plain(url: Column) -> Column:
     """The url's form under which its aliases meet; null if it has no host."""
     host, path = F.regexp_replace(host_of(url), r"^(?:www|m)\.", ""), F.regexp_replace(path_of(url), r"(?:\.html?|/)+$", "")
     query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_\w+|ref|fbclid|gclid)(?:=|$)"))
-    return F.when(host != "", F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise("")))
+    form = F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise(""))
+    return F.when(host != "", F.replace(form, F.lit("://"), F.lit(":")))  # a form is no url, so no rule fits one that its query holds
 
 
 def absolute(link: Column, url: Column) -> Column:
@@ -112,7 +113,7 @@ links as (select url, host, path, base, query,
   unnest([regexp_extract(regexp_extract(head, '(?is)<link\b[^>]*\brel\s*=\s*[\x22'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*[\x22'']?([^\x22''\s>]+)', 1),
     regexp_extract(head, '(?is)<meta\b[^>]*http-equiv\s*=\s*[\x22'']?refresh\b[^>]*\burl\s*=\s*[\x22'']?([^\x22''\s>;]+)', 1)]) as link from u0 where url is not null),
 edges as (select distinct a, b from (
-    select url as a, case when host <> '' then regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:\.html?|/)+$', '') || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end end as b from u0 where url is not null
+    select url as a, case when host <> '' then replace(regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:\.html?|/)+$', '') || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end, '://', ':') end as b from u0 where url is not null
     union all select url, case when link = '' then null when contains(link, '://') then link when starts_with(link, '//') then regexp_extract(url, '^(.*?:)//', 1) || link when starts_with(link, '/') then base || link end from links)
   where b is not null and a <> b),
 sym as (select a, b from edges union select b, a from edges),
