@@ -11,6 +11,9 @@ are told by at most `max_hot` shingles, which are broadcast. Shingles beyond cou
 the boundary do both. The boundary is the largest size up to which subsets cost less than the lists that would be scanned,
 by the measured length of a list.
 
+Before two sets meet, the counts of their shingles by the first eight bits bound their intersection; pairs that this
+excludes are dropped, so sets are only fetched for pairs that nearly link.
+
 In each list, classes are first compared with the one that has the fewest rarer shingles, so a group of near copies takes a row for each
 member. What the links found join is one component; then only pairs of a list that are still in different components and pass the
 size and position bounds are compared. No link between components is lost; within one they add nothing.
@@ -33,7 +36,7 @@ from .components import connected_components
 
 MAX_HOT, LEAST_HOT, MAX_LIGHT, CHECK_COST, MAX_NODES = 500_000, 16, 40, 8.0, 2_000_000
 #: Shingles that are sorted and sent to be counted at once, and that one count is to take.
-RUN, PER_COUNT = 4 << 20, 4 << 20
+RUN, PER_COUNT = 2 << 20, 4 << 20
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -126,18 +129,28 @@ def frequent(documents: DataFrame, k: int, ws: Workspace, max_hot: int) -> tuple
 
 
 def signed(documents: DataFrame, k: int, percent: int, hot, light: int) -> DataFrame:
-    """documents' columns but text, with n_shingles, node (hash of the set; null if empty) and keys: list shingles in order, then subsets."""
+    """documents' columns but text, with n_shingles, node (hash of the set; null if empty), keys (list shingles in order, then subsets) and sketch.
+
+    Copies that a task has met before come without keys and sketch.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(hot)
     kept = [c for c in documents.columns if c != "text"]
 
     def run(batches):
         shift, tokens, levels, _ = shared.value
+        met = set()
         for batch in batches:
-            n, node, keys = [], [], []
+            n, node, keys, sketch = [], [], [], []
             for s in shingle_sets(batch.column(batch.schema.get_field_index("text")), k):
                 n.append(len(s))
                 node.append(set_hash(s) if len(s) else None)
                 mine = []
+                if node[-1] is None or node[-1] in met:
+                    keys.append(np.zeros(0, np.int64))
+                    sketch.append(None)
+                    continue
+                met.add(node[-1])
+                sketch.append(np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 if len(s) > light or 100 * len(s) >= percent * (light + 1):
                     p = prefix(len(s), percent)
                     if len(tokens):
@@ -153,11 +166,11 @@ def signed(documents: DataFrame, k: int, percent: int, hot, light: int) -> DataF
                 keys.append(np.concatenate(mine) if mine else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], names=[*kept, "n_shingles", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(sketch, pa.binary())], names=[*kept, "n_shingles", "node", "keys", "sketch"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[documents.schema[c] for c in kept], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*[documents.schema[c] for c in kept], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     return documents.mapInArrow(run, schema)
 
 
@@ -184,6 +197,22 @@ def sets_of(documents: DataFrame, nodes: DataFrame, k: int, ws: Workspace) -> Da
     return found.dropDuplicates(["node"])
 
 
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles by first bits leave room for a link; sketches are (node, n, sketch)."""
+
+    def check(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 256) for c in (batch.column(3), batch.column(5)))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            full = ((x == 255) | (y == 255)).any(1)  # counts that may be higher bound nothing
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(full | (100 * most >= percent * (total - most))))
+
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("s"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("t"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "s", "nb", "t").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
     """Those of the pairs (a, b) of classes that link."""
     nodes = ws.keep(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
@@ -202,7 +231,9 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int, ws: W
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-    return ws.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long"))
+    out = ws.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long"))
+    ws.drop(nodes, sets)
+    return out
 
 
 def may_link(n: str, pos: str, m: str, qos: str, percent: int):
@@ -214,27 +245,30 @@ def may_link(n: str, pos: str, m: str, qos: str, percent: int):
 
 def links(documents: DataFrame, rows: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between classes that join all that belongs together; rows as signed() gives them."""
-    classes = rows.where("node is not null").select("node", "n_shingles", "keys").dropDuplicates(["node"])
-    postings = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).repartition("key")
+    known = rows.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    every = rows.where("node is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    postings = every.repartition("key").dropDuplicates(["key", "node"])
     first = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("lead")).where("c > 1")
     lists = ws.keep(postings.join(first, "key").select("key", "node", "n", "pos", "c", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("qos")))
     pair = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
     stars = ws.keep(lists.where("node <> lead").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct())
-    found = verified(stars, documents, k, percent, ws)
+    close = ws.keep(near(stars, known, percent))
+    found = verified(close, documents, k, percent, ws)
     part = connected_components(found, ws)
     left = lists.where("c > 2").select("key", "node", "n", "pos").join(part, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("label")).repartition("key")
     mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     left = ws.keep(left.join(mixed, "key"))
     other = left.select("key", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("tag"))
     rest = left.join(other, "key").where("label < tag").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct()
-    rest = ws.keep(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = ws.keep(near(rest.join(stars, ["a", "b"], "left_anti"), known, percent))
+    ws.drop(lists, left, stars, close)
     return found if rest.isEmpty() else found.unionAll(verified(rest, documents, k, percent, ws))
 
 
 def join(documents: DataFrame, k: int = 3, percent: int = 90, max_hot: int = MAX_HOT, columns: list[str] | None = None) -> DataFrame:
     """The given columns of documents (all but text), n_shingles and component_id, the smallest doc_id that links reach."""
     ws = Workspace(documents.sparkSession, "jaccard")
-    if clash := {"n_shingles", "node", "keys", "component_id"} & set(documents.columns):
+    if clash := {"n_shingles", "node", "keys", "sketch", "component_id"} & set(documents.columns):
         documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
     columns = [c for c in documents.columns if c != "text"] if columns is None else columns
     texts = documents.select("text")
