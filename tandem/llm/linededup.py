@@ -36,20 +36,25 @@ def common_start(a: Column, b: Column) -> Column:
     return (F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: (i >= n) | (F.get(a, i) != F.get(b, i))), True) - 1).cast("int")
 
 
-def windows(lines: DataFrame, words: int) -> DataFrame:
-    """One row for each window: its document, first line, fingerprint, hash, and the lines from there on and before, nearest first."""
-    of = Window.partitionBy("doc_id", "tk")
-    in_order = of.orderBy("pos")
+def placed(lines: DataFrame) -> DataFrame:
+    """lines with idx, their number in the document, and c, the words before them."""
+    in_order = Window.partitionBy("doc_id", "tk").orderBy("pos")
     start = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.withColumns({"c": start, "idx": F.row_number().over(in_order) - 1})
-    by_word = of.orderBy("c")
-    # a line has a word at least, so so many lines hold a window and as many words beyond it
-    inside, ahead, behind = by_word.rangeBetween(0, words - 1), in_order.rowsBetween(0, 2 * words), in_order.rowsBetween(-words, -1)
-    run = placed.withColumns({
-        "run": F.collect_list("h").over(inside), "end": F.max(F.col("c") + F.col("n")).over(inside), "least": F.min("h").over(inside),
-        "ahead": F.collect_list("h").over(ahead), "behind": F.reverse(F.collect_list("h").over(behind)),
-    })
-    return run.where(F.col("end") - F.col("c") >= words).select("doc_id", "tk", "idx", "least", F.xxhash64("run").alias("whole"), "ahead", "behind")
+    return lines.withColumns({"c": start, "idx": F.row_number().over(in_order) - 1})
+
+
+def windows(lines: DataFrame, words: int) -> DataFrame:
+    """One row for each window: its document, first line, fingerprint and hash."""
+    inside = Window.partitionBy("doc_id", "tk").orderBy("c").rangeBetween(0, words - 1)
+    run = placed(lines).withColumns({"run": F.collect_list("h").over(inside), "end": F.max(F.col("c") + F.col("n")).over(inside), "least": F.min("h").over(inside)})
+    return run.where(F.col("end") - F.col("c") >= words).select("doc_id", "tk", "idx", "least", F.xxhash64("run").alias("whole"))
+
+
+def surroundings(lines: DataFrame, words: int) -> DataFrame:
+    """For each line the lines from there on and those before, nearest first: a line has a word at least, so so many hold a window and as many words beyond it."""
+    in_order = Window.partitionBy("doc_id", "tk").orderBy("pos")
+    ahead, behind = F.collect_list("h").over(in_order.rowsBetween(0, 2 * words)), F.reverse(F.collect_list("h").over(in_order.rowsBetween(-words, -1)))
+    return placed(lines).select("doc_id", "tk", "idx", ahead.alias("ahead"), behind.alias("behind"))
 
 
 def repeated_lines(documents: DataFrame, words: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -57,12 +62,19 @@ def repeated_lines(documents: DataFrame, words: int, ws: Workspace) -> tuple[Dat
     lines = ws.keep(line_rows(documents).dropDuplicates(["doc_id", "tk", "pos"]))
     marks = windows(lines, words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk", "idx")
-    first = marks.groupBy("least", "whole").agg(F.count("*").alias("copies"), F.min(F.struct(place.alias("place"), "ahead", "behind")).alias("first")).where("copies > 1").drop("copies")
-    later = marks.join(first, ["least", "whole"]).where(place != F.col("first.place"))
-    reach = later.select(
+    first = marks.groupBy("least", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").drop("copies")
+    later = marks.join(first, ["least", "whole"]).where(place != F.col("first"))
+    later = ws.keep(later.select("doc_id", "tk", "idx", F.col("first.doc_id").alias("fd"), F.col("first.tk").alias("ft"), F.col("first.idx").alias("fi")))
+    # only documents of a match need their lines beside each other
+    known = later.select("doc_id", "tk").unionAll(later.select("fd", "ft")).distinct().toDF("_d", "_k")
+    near = surroundings(lines.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_k")), "left_semi"), words)
+    mine, other = near.toDF("md", "mt", "mi", "ahead", "behind"), near.toDF("od", "ot", "oi", "other_ahead", "other_behind")
+    both = later.join(mine, F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("tk") == F.col("mt")) & (F.col("idx") == F.col("mi")))
+    both = both.join(other, F.col("fd").eqNullSafe(F.col("od")) & (F.col("ft") == F.col("ot")) & (F.col("fi") == F.col("oi")))
+    reach = both.select(
         "doc_id", "tk",
-        (F.col("idx") - let(F.struct("behind", F.col("first.behind").alias("other")), lambda x: common_start(x["behind"], x["other"]))).alias("a"),
-        (F.col("idx") - 1 + let(F.struct("ahead", F.col("first.ahead").alias("other")), lambda x: common_start(x["ahead"], x["other"]))).alias("b"),
+        (F.col("idx") - let(F.struct("behind", "other_behind"), lambda x: common_start(x["behind"], x["other_behind"]))).alias("a"),
+        (F.col("idx") - 1 + let(F.struct("ahead", "other_ahead"), lambda x: common_start(x["ahead"], x["other_ahead"]))).alias("b"),
     )
     return lines, reach.distinct().select("doc_id", "tk", F.explode(F.sequence("a", "b")).alias("idx")).distinct()
 
