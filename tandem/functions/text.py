@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 #: White space as the web's regular expressions have it, for use inside a character class.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters themselves.
+BLANKS = "\t\n\x0b\x0c\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 #: What the script-aware normaliser deletes beside white space.
 CJK_DROPPED = r"「」『』“”‘’（）()【】《》〈〉—\-─…、，。！？：；,.!?;:0-9a-z"
@@ -52,7 +54,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(text_of(c), rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text_of(c), F.lit(BLANKS))
 
 
 def collapse(c) -> Column:
@@ -110,10 +112,14 @@ def bigrams(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets: 1 if both are empty, 0 if one is."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / union)
+    """Of two sets: 1 if both are empty, 0 if one is. Each set is built once, however it is expressed."""
+
+    def ratio(s):
+        n, m, both = s["n"], s["m"], s["both"]
+        return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(both / (n + m - both))
+
+    sizes = lambda s: F.struct(F.size(s["a"]).alias("n"), F.size(s["b"]).alias("m"), F.size(F.array_intersect(s["a"], s["b"])).alias("both"))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(sizes(s), ratio))
 
 
 def length_ratio(a: Column, b: Column) -> Column:

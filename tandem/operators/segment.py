@@ -96,8 +96,8 @@ def slice_for_input(docs: DataFrame, keys: list[str], input_mode: str = "documen
 
 def paragraphs(docs: DataFrame, keys: list[str], to_cn=script.to_cn) -> DataFrame:
     """keys, lang, source_index (from 0 without gaps), chapter, text, cn_text, chars of each paragraph; headings become the chapter of what follows."""
-    t = T.collapse("block")
-    rows = docs.select(*keys, "lang", F.posexplode(T.blocks("text")).alias("_at", "block")).withColumn("text", t)
+    # blocks are collapsed before they become rows, so the tests below read a column and not the expression
+    rows = docs.select(*keys, "lang", F.posexplode(F.transform(T.blocks("text"), T.collapse)).alias("_at", "text"))
     rows = rows.where((F.col("text") != "") & ~F.col("text").rlike(T.SEPARATOR) & ~T.is_media(F.col("text")))
     order = Window.partitionBy(*keys, "lang").orderBy("_at")
     rows = rows.withColumn("_title", F.nullif(T.heading(F.col("text"), F.col("lang")), F.lit("")))
