@@ -16,7 +16,7 @@ from tandem.llm.common import Workspace, read
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The field learns from the labels of the documents that it is given."""
-    model = toxicity.fit(*toxicity.training_sample(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fit(*toxicity.weighted_sample(docs, read(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 

@@ -4,7 +4,8 @@ Words carry one of two tags, other and toxic. Tags to learn from come from the d
 toxic, a word is toxic if it or one of its beginnings stands in toxic documents far more often than in the rest. The field
 weighs words and their beginnings of three to six letters, and tag pairs; it is fitted by gradient ascent on a bounded
 sample. Forward-backward gives each word's marginal; their sum, their largest and the chance that none is toxic are
-calibrated to a document's score by logistic regression on the same sample. Words with a marginal of 0.5 or more,
+calibrated to a document's score by logistic regression on the same sample, each row weighing as many labelled rows of its
+kind as it stands for, so that scores do not follow the sample's own share of toxic rows. Words with a marginal of 0.5 or more,
 joined where they touch, are the offending spans, as offsets in code points.
 
 The sample has at most `sample` labelled rows, half of them toxic at most, each text of at most `sample_chars` characters; the
@@ -123,12 +124,12 @@ def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):  # Newton
         q = 1 / (1 + np.exp(-x @ w))
-        h = (x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.clip(np.linalg.solve(h, x.T @ (y - q) - ridge * w), -2, 2)
+        h = (x * (mass * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.clip(np.linalg.solve(h, x.T @ (mass * (y - q)) - ridge * w), -2, 2)
     return w
 
 
@@ -159,11 +160,12 @@ class Model:
         return scores, [[s[:3] for s in x] for x in spans]
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> Model:
-    """The field and its calibration from whole texts and their labels."""
+def fit(texts: list[str], toxic: list[int], mass: list[tuple[float, float]] | None = None, steps: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> Model:
+    """The field and its calibration from whole texts, their labels and the clean and toxic rows each stands for (one of its label without mass)."""
     y = np.array(toxic, float)
-    share = float(y.mean()) if len(y) else 0.0
-    if share in (0.0, 1.0):
+    rows_of = np.stack([1 - y, y], 1) if mass is None else np.array(mass, float).reshape(-1, 2)
+    share = float(rows_of[:, 1].sum() / rows_of.sum()) if len(y) else 0.0
+    if not 0 < y.sum() < len(y):
         return Model(None, np.zeros(5), share)
     words = [TOKEN.findall(lowered(t)) for t in texts]
     counts, often, total = (Counter(), Counter()), (Counter(), Counter()), [1, 1]  # documents and words with a feature, words
@@ -210,18 +212,29 @@ def fit(texts: list[str], toxic: list[int], steps: int = 30, rate: float = 0.5,
         start += rate * slopes[3] / np.sqrt(speed[3])
     field = Field({f: float(weights[i]) for f, i in kept.items() if abs(weights[i]) > 1e-3}, float(bias), pairs, float(start))
     p = field.marginals((bias + np.bincount(owner, weights[feature], len(rows)))[ids], lengths)
-    return Model(field, logistic(summary(p, lengths), y), share)
+    return Model(field, logistic(summary(p, lengths), rows_of[:, 1] / rows_of.sum(1), rows_of.sum(1)), share)
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+def weighted_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], list[tuple[float, float]]]:
+    """Texts, their labels and how many clean and toxic rows of all that may be learned from each text stands for, copies counted."""
     known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     order = [F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")]
-    picked = known.where("_toxic = 1").orderBy(*order).limit(sample // 2).unionAll(known.where("_toxic = 0").orderBy(*order).limit(sample - sample // 2))
+    most = {1: sample // 2, 0: sample - sample // 2}
+    stands_for = {r._toxic: max(1.0, r["count"] / max(1, most[r._toxic])) for r in known.groupBy("_toxic").count().collect()}
+    picked = known.where("_toxic = 1").orderBy(*order).limit(most[1]).unionAll(known.where("_toxic = 0").orderBy(*order).limit(most[0]))
     rows = documents.where(F.length("text").between(1, sample_chars)).join(F.broadcast(picked.withColumnRenamed("doc_id", "_doc_id")), F.col("doc_id") == F.col("_doc_id"))
     rows = rows.groupBy("_doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))  # one row for a repeated document
     found = sorted(((r._doc_id, r.text, int(r.toxic)) for r in rows.collect()), key=lambda r: r[0])
     seen = {t: y for _, t, y in found}  # copies would teach the same words again
-    return list(seen), list(seen.values())
+    mass = {t: [0.0, 0.0] for t in seen}
+    for _, t, y in found:
+        mass[t][y] += stands_for[y]
+    return list(seen), list(seen.values()), [tuple(m) for m in mass.values()]
+
+
+def training_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """The texts and labels of weighted_sample alone: enough for fit only while there are no copies and no limit binds."""
+    return weighted_sample(documents, labels, sample, sample_chars)[:2]
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,5 +261,5 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 def op4_toxicity_crf(spark, sf_dir):
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(*training_sample(documents, read(spark, sf_dir, "labels")))
+    model = fit(*weighted_sample(documents, read(spark, sf_dir, "labels")))
     return score(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

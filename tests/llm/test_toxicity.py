@@ -48,6 +48,30 @@ def test_without_labels_every_score_is_the_share(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_scores_do_not_follow_the_sample_share(spark):
+    rng, rows = random.Random(6), []
+    for i, text, _ in corpus(1500, 6):  # telling words also stand in some clean documents, so that the prior matters
+        kind = rng.random()
+        hot, toxic = (rng.randint(1, 4), 1) if kind < 0.1 else (rng.randint(1, 2), 0) if kind < 0.17 else (0, 0)
+        words = [w for w in text.split() if not w.lower().startswith(("zorg", "vilkan", "trask"))]
+        for _ in range(hot):
+            words.insert(rng.randrange(len(words)), rng.choice(["zorg", "zorged", "vilkan"]))
+        rows.append((i, " ".join(words), toxic))
+    rows += [(2000 + k, rows[0][1], 0) for k in range(60)]  # copies count as rows, however many of them are sampled
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, bounded = (toxicity.weighted_sample(docs, labels, sample=n) for n in (4000, 150))
+    assert len(bounded[0]) <= 150 < len(whole[0])
+    allowed = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for _, _, mass in (whole, bounded):
+        assert abs(sum(m[0] for m in mass) - allowed.count(0)) < 1e-6 and abs(sum(m[1] for m in mass) - allowed.count(1)) < 1e-6
+    texts = [t for _, t, _ in rows]
+    a, b, unweighted = (toxicity.fit(*x).score(texts)[0] for x in (whole, bounded, bounded[:2]))
+    assert abs(a.mean() - sum(allowed) / len(allowed)) < 0.03 and abs(a.mean() - b.mean()) < 0.03 and np.abs(a - b).mean() < 0.05
+    assert abs(a.mean() - unweighted.mean()) > 0.05  # what the bounded sample's own share would give
+    assert toxicity.fit(["a b"] * 4, [0, 0, 1, 1], [(9.0, 0.0)] * 2 + [(0.0, 1.0)] * 2).share == 0.1
+
+
 def test_marginals_against_all_taggings():
     rng = np.random.default_rng(0)
     f = toxicity.Field({}, 0.0, rng.normal(size=(2, 2)), 0.3)
