@@ -6,7 +6,8 @@ alphabet: any other word ends a run, and runs shorter than the shortest window h
 array, its Burrows-Wheeler transform in a wavelet tree, and sampled suffix positions. All windows are searched backward at
 once through wavelet-tree ranks; their rows are located by walking to the next sampled position; spans that touch are merged.
 
-A benchmark over `block_bytes` is searched block by block, each block broadcast by itself, with a table between.
+A benchmark over `block_bytes` is searched block by block, each block broadcast by itself, with a table between. Removal then
+cuts the text once, by the spans of all blocks.
 
 Null and empty texts have no words and no hits. Benchmark rows without id or words have no windows. Repeated benchmark ids
 count once; repeated documents are judged each for itself. Extra columns pass through, renamed if they clash with the
@@ -193,6 +194,17 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
+def _cut(names: list[str]):
+    def run(batches):
+        for batch in batches:
+            text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "hit_spans"))
+            texts = [cut(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist())]
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(k) for k, c in enumerate(names)], names=names)
+
+    return run
+
+
 def _search(shared, schema: pa.Schema, window: int, shard_words: int, remove: bool):
     def run(batches):
         phrases = shared.value
@@ -235,7 +247,7 @@ def _search(shared, schema: pa.Schema, window: int, shard_words: int, remove: bo
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
-    """Lists of (id, text), each of bounded size; only one is on the driver at a time."""
+    """Lists of (id, text), each of bounded size."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     sized = rows.withColumn("_size", F.octet_length("text").cast("long"))
     total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
@@ -243,7 +255,13 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
     if n <= 1:
         yield [(r.item_id, r.text.encode()) for r in rows.collect()]
         return
-    dealt = sized.withColumn("_block", F.floor((F.sum("_size").over(Window.orderBy("item_id", "text")) - 1) / block_bytes))
+    # bytes before each row: those of its task before it and those of the tasks before, so no task holds the whole benchmark
+    ws = Workspace(benchmark.sparkSession, "benchmark")
+    kept = ws.keep(sized.repartitionByRange("item_id", "text").withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    parts = kept.groupBy("_part").agg(F.sum("_size").alias("_sum"))
+    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.col("_before") + F.sum("_size").over(Window.partitionBy("_part").orderBy("_id"))
+    dealt = ws.keep(kept.join(F.broadcast(parts), "_part").select("item_id", "text", F.floor((upto - 1) / block_bytes).alias("_block")))
     for b in range(n):
         if block := [(r.item_id, r.text.encode()) for r in dealt.where(F.col("_block") == b).collect()]:
             yield block
@@ -254,16 +272,21 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = documents.sparkSession
     if clash := set(ADDED.names) & set(documents.columns):
         documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
-    ws, out, former = Workspace(spark, "decontaminate"), documents, None
-    for block in benchmark_blocks(benchmark, block_bytes):
+    ws, out, former, table = Workspace(spark, "decontaminate"), documents, None, None
+    several, blocks = False, benchmark_blocks(benchmark, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
         if former is not None:  # further blocks judge the whole text too, and their spans are added
-            if remove:
-                raise ValueError("remove works on a benchmark of one block; give a larger block_bytes")
-            out = ws.keep(out).withColumnsRenamed({c: f"_{c}" for c in ADDED.names})
-        base = T.StructType([f for f in out.schema if f.name != "_n_words"])
+            read_from, table = table, ws.keep(out)
+            if read_from is not None:
+                ws.drop(read_from)
+            out = table.withColumnsRenamed({c: f"_{c}" for c in ADDED.names})
+        several = several or after is not None
+        base = T.StructType([f for f in out.schema if former is None or f.name != "_n_words"])
         schema = T.StructType([*base.fields, *ADDED.fields])
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        found = out.select(base.names).mapInArrow(_search(shared, schema.names, window, shard_words, remove), schema)
+        found = out.select(base.names).mapInArrow(_search(shared, schema.names, window, shard_words, remove and not several), schema)
         if former is not None:
             spans = F.array_sort(F.concat("_hit_spans", "hit_spans"))
             joined = F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda acc, x: F.when(
@@ -272,7 +295,8 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             ).otherwise(F.concat(acc, F.array(x))))
             found = found.withColumns({"hit_spans": joined, "items": F.array_sort(F.array_union("_items", "items"))}).drop("_hit_spans", "_items")
         out = former = found
-    return out
+        block = after
+    return out.mapInArrow(_cut(out.columns), out.schema) if remove and several else out
 
 
 def op1_benchmark_leaks(spark, sf_dir):

@@ -1,8 +1,10 @@
+import functools
 import random
 import re
 
 import numpy as np
 
+import corpus_pipeline
 from tandem.llm import decontaminate
 
 
@@ -58,6 +60,22 @@ def test_removal_leaves_no_window(spark):
     assert clean <= {t for _, t in rows}
 
 
+def test_removal_over_several_blocks(spark, tmp_path, monkeypatch):
+    docs, items = data()
+    d = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id long, text string, n_chars long")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    b = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    blocks = list(decontaminate.benchmark_blocks(b, 300))
+    known = [(str(i), t.encode()) for i, t in items if i is not None and t is not None]
+    assert len(blocks) > 2 and sorted(r for x in blocks for r in x) == sorted(known)
+    assert all(sum(len(t) for _, t in x) <= 300 + max(len(t) for _, t in known) for x in blocks)
+    plain = lambda df: sorted((str((r.doc_id, r.text, r.n_words, r.hit_spans, sorted(r["items"]))) for r in df.collect()))
+    assert plain(decontaminate.find_hits(d, b, block_bytes=300, remove=True)) == plain(decontaminate.find_hits(d, b, remove=True))
+    want = sorted((tuple(r) for r in corpus_pipeline.benchmark_cut(spark, d, str(tmp_path)).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "find_hits", functools.partial(decontaminate.find_hits, block_bytes=300))
+    assert sorted((tuple(r) for r in corpus_pipeline.benchmark_cut(spark, d, str(tmp_path)).collect()), key=str) == want
+
+
 def test_index_finds_all_places():
     rng = np.random.default_rng(1)
     runs = [rng.integers(1, 5, rng.integers(1, 40)) for _ in range(30)]
