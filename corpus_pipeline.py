@@ -2,7 +2,7 @@
 their targets, and the result is dealt to shards.
 
 Every stage but the last returns the columns of documents. Null texts pass the filters (they have no words), take no part in
-the mix and so end there; rows without a doc_id are never near copies of another row and end at the mix, which needs the id.
+the mix and so end there. Rows are told apart by ids of their own, so repeated doc_ids and rows without one are rows like others.
 """
 
 from __future__ import annotations
@@ -21,9 +21,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that links of 5-word shingles at a Jaccard similarity of 0.8 or more join."""
-    found = jaccard.join(docs.select("doc_id", "text"), k=5, percent=80, columns=["doc_id"])
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One row, of the smallest doc_id (null last), of each group that links of 5-word shingles at a Jaccard similarity of 0.8 or more join."""
+    kept = Workspace(spark, "copies").keep(docs.withColumn("_copy_row", F.monotonically_increasing_id()))
+    slim = kept.select(F.col("_copy_row").alias("doc_id"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    found = jaccard.join(slim, k=5, percent=80, columns=["doc_id", "_id", "_text"])
+    row = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text", F.col("doc_id").alias("row"))
+    first = found.groupBy("component_id").agg(F.min(row)["row"].alias("_first"))
+    gone = found.join(first, F.col("doc_id") == F.col("_first"), "left_anti").select(F.col("doc_id").alias("_copy_row"))
+    return kept.join(gone, "_copy_row", "left_anti").select(docs.columns)
 
 
 def benchmark_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ cross some integers, and a document is emitted once for each integer crossed. As
 sizes, the words taken differ from the target by about one large document at most.
 
 Null texts and texts without words have size 0 and take nothing. Null sources form one source, the last. Ties in size are
-broken by doc_id; rows that tie in both are interchangeable. Extra columns pass through; an empty table gives an empty one.
+broken by doc_id, null last; mix() breaks further ties by a hash of the text. Every row counts for itself, also repeated ones and those without doc_id. Extra columns pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -52,21 +52,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def mix_plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """One slim row for each document: doc_id, source, size, source_size, target, copies, taken."""
-    ws = Workspace(documents.sparkSession, "mix")
     slim = documents.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    ranked, kept = positions(slim, ["source"], ["size", "doc_id"], ws)
+    return _planned(slim, [], Workspace(documents.sparkSession, "mix"), weights, share, most, seed)
+
+
+def _planned(slim: DataFrame, ties: list[str], ws: Workspace, weights, share: float, most: float, seed: int) -> DataFrame:
+    """The plan of slim rows (doc_id, source, size and the columns of ties, by which rows of equal size and doc_id stand)."""
+    ranked, kept = positions(slim.withColumn("_no_id", F.col("doc_id").isNull()), ["source"], ["size", "_no_id", "doc_id", *ties], ws)
     targets = source_targets(kept, weights, share, most).withColumn("_offset", offset(F.col("source"), seed)).withColumnRenamed("source", "_source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor((F.col("pos") + 1) * F.col("_e") + F.col("_offset")) - F.floor(F.col("pos") * F.col("_e") + F.col("_offset"))
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_e", expected)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *ties)
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself: documents with their columns, each as often as the plan says. doc_id must tell documents apart."""
-    plan = mix_plan(documents, weights, share, most, seed).where("copies > 0").select(F.col("doc_id").alias("_doc_id"), "copies")
-    found = documents.join(plan, F.col("doc_id") == F.col("_doc_id"))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
+    """The mix itself: documents with their columns, each row as often as the plan says."""
+    ws = Workspace(documents.sparkSession, "mix")
+    kept = ws.keep(documents.withColumn("_mix_row", F.monotonically_increasing_id()))
+    slim = kept.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_mix_text"), "_mix_row")
+    plan = _planned(slim, ["_mix_text", "_mix_row"], ws, weights, share, most, seed).where("copies > 0").select("_mix_row", F.col("copies").cast("int").alias("_mix_copies"))
+    found = kept.join(plan, "_mix_row")
+    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*documents.columns)
 
 
 def op3_source_mix(spark, sf_dir):

@@ -1,5 +1,7 @@
+import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from tandem.llm import mixing
 
@@ -39,3 +41,26 @@ def test_targets_and_taken(spark):
     mixed = mixing.mix(df.dropDuplicates(["doc_id"]))
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in mixing.mix_plan(df.dropDuplicates(["doc_id"])).collect())
     assert mixing.mix_plan(df.limit(0)).count() == 0
+
+
+def mixed_by_rule(rows):
+    """rows (doc_id, text, source) as often as the rule says; rows that tie in size and doc_id must be equal or take the same."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by, out = defaultdict(list), Counter()
+    for r in rows:
+        by[r[2]].append(r)
+    sizes = {s: sum(size(r[1]) for r in x) for s, x in by.items()}
+    target = targets(sizes)
+    for s, x in by.items():
+        e = target[s] / sizes[s]
+        u = int(hashlib.md5(f"17:{'s' + s if s is not None else 'null'}".encode()).hexdigest()[:8], 16) / 2**32
+        for pos, r in enumerate(sorted(x, key=lambda r: (size(r[1]), r[0] is None, r[0] or 0))):
+            out[r] += math.floor((pos + 1) * e + u) - math.floor(pos * e + u)
+    return +out
+
+
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    rows = [(i, " ".join("w" * (i + 1)), "ab"[i % 2]) for i in range(40)] + [(5, " ".join("w" * 6), "b")] * 4
+    rows += [(None, " ".join("n" * (i + 1)), "ab"[i % 2]) for i in range(40)] + [(None, "same text here", None)] * 3 + [(7, "other text of the same id " * 9, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert Counter(tuple(r) for r in mixing.mix(df).collect()) == mixed_by_rule(rows)

@@ -4,14 +4,14 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tandem.llm import toxicity
 from tests.llm.test_decontaminate import brute as hits_of
 from tests.llm.test_decontaminate import tokens
 from tests.llm.test_jaccard import brute as components_of
-from tests.llm.test_mixing import targets
+from tests.llm.test_mixing import mixed_by_rule, targets
 from tests.llm.test_toxicity import corpus
 
 
@@ -96,3 +96,23 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert set(slots) <= set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((tuple(r) for r in again), key=str) == sorted(kept[4], key=str)
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(rng.randint(20, 60) if i < 20 else 41 + i)) for i in range(30)]  # rows without an id differ in size
+    docs = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts[:20])]
+    others = [(None, t, "en", "s1", len(t)) for t in texts[20:]]
+    rows = docs + others + docs[3:6] * 2 + others[:2] * 2  # repeated
+    rows += [(None, texts[8], "en", "s0", 1), (9, texts[9] + " tail", "en", "s1", 1), (11, "another text of the same id entirely", "en", "s1", 36)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, df, str(tmp_path)).collect()]
+    nine = [r for r in kept if r[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    assert sorted((r for r in kept if r[0] != 9), key=str) == sorted([d for d in docs if d[0] != 9] + others + rows[-1:], key=str)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = mixed_by_rule([(d, t, s) for d, t, _, s, _ in kept])
+    assert got == Counter({(d, t, "en", s): n for (d, t, s), n in want.items()})
