@@ -7,17 +7,27 @@ the mix and so end there. Rows are told apart by ids of their own, so repeated d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from tandem.llm.common import Workspace, read
 
 
+def apart(docs: DataFrame, added: set[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns named like added ones under other names, and the columns that bring the old names back."""
+    prefix = "_own"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    names = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c.lower() in added}
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The field learns from the labels of the documents that it is given."""
     model = toxicity.fit(*toxicity.weighted_sample(docs, read(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    docs, own = apart(docs, {"score", "predicted", "toxic_spans"})
+    return toxicity.score(docs, model).where("predicted = 0").select(own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +43,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark windows; one that consists of nothing else goes."""
+    docs, own = apart(docs, {"n_words", "hit_spans", "items"} | {"_n_words", "_hit_spans", "_items"})
     found = decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), remove=True)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     kept = found.where((n_hit == 0) | (n_hit < F.col("n_words")))
-    return kept.withColumn("n_chars", F.when(n_hit == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    return kept.withColumn("n_chars", F.when(n_hit == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(own)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

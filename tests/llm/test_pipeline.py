@@ -1,5 +1,6 @@
 """The whole pipeline over a small corpus against plain Python, stage by stage."""
 
+import functools
 import hashlib
 import math
 import random
@@ -7,7 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tandem.llm import toxicity
+from tandem.llm import decontaminate, toxicity
 from tests.llm.test_decontaminate import brute as hits_of
 from tests.llm.test_decontaminate import tokens
 from tests.llm.test_jaccard import brute as components_of
@@ -116,3 +117,19 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     got = Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     want = mixed_by_rule([(d, t, s) for d, t, _, s, _ in kept])
     assert got == Counter({(d, t, "en", s): n for (d, t, s), n in want.items()})
+
+
+def test_stages_keep_columns_named_like_added_ones(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b c d e f g h i j and k", 99, "mine", "x", "y", 0.5, 7, "z", 8), (2, "none of it", 10, "too", None, "y", 1.5, 8, "z", 9)]
+    names = ["doc_id", "text", "n_chars", "items", "score_0", "hit_spans", "score", "predicted", "toxic_spans", "n_words"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, items string, score_0 string, hit_spans string, score double, predicted int, toxic_spans string, n_words int")
+    spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.toxicity_filter(spark, docs, str(tmp_path))
+    assert out.columns == names and out.dtypes == docs.dtypes and sorted(map(tuple, out.collect())) == rows
+    want = [(1, " and ", 5, *rows[0][3:]), rows[1]]
+    whole = decontaminate.find_hits
+    for bytes_ in (1 << 20, 8):
+        monkeypatch.setattr(decontaminate, "find_hits", functools.partial(whole, block_bytes=bytes_))
+        out = corpus_pipeline.benchmark_cut(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes and sorted(map(tuple, out.collect())) == want
