@@ -47,3 +47,103 @@ def test_adds_spans_and_keeps_base(spark):
     assert not by[2].pii_spans and not by[0].pii_spans
     assert [s.kind for s in by[40].pii_spans] == ["secret", "secret"]
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def em_one_by_one(spans, rounds=50):
+    """The same model over single spans, in plain Python: posterior by votes."""
+    believed = {}
+    for j, name in enumerate(pii.LABELERS):
+        for real in (0, 1):
+            row = [x + 1e-3 for x in pii.RATES[name][real]]
+            believed[j, real] = [x / sum(row) for x in row]
+    mass, rates, prior = 10 + 0.1 * len(spans), dict(believed), 0.5
+
+    def judge(v):
+        a, b = prior, 1 - prior
+        for j, x in enumerate(v):
+            a, b = a * rates[j, 1][x + 1], b * rates[j, 0][x + 1]
+        return a / (a + b)
+
+    for _ in range(rounds):
+        post = [judge(v) for v in spans]
+        prior = min(0.99, max(0.01, (sum(post) + 1) / (len(spans) + 2)))
+        new = {}
+        for j, real in believed:
+            row = [x * mass for x in believed[j, real]]
+            for v, p in zip(spans, post):
+                row[v[j] + 1] += p if real else 1 - p
+            new[j, real] = [x / sum(row) for x in row]
+        rates = new
+    return {v: judge(v) for v in spans}, rates
+
+
+def drawn(n, seed, share=0.4):
+    """Votes of spans of which it is known what they are; the labelers differ from what is believed of them."""
+    rng = random.Random(seed)
+    true = [[(0.8, 0.0, 0.2), (0.05, 0.0, 0.95)], [(0.0, 0.9, 0.1), (0.0, 0.3, 0.7)], [(0.1, 0.85, 0.05), (0.02, 0.5, 0.48)], [(0.95, 0.0, 0.05), (0.02, 0.0, 0.98)], [(0.5, 0.0, 0.5), (0.1, 0.0, 0.9)]]
+    out = []
+    for _ in range(n):
+        real = int(rng.random() < share)
+        out.append((real, tuple(rng.choices((-1, 0, 1), true[j][real])[0] for j in range(5))))
+    return true, out
+
+
+def test_expectation_maximisation_against_plain_python():
+    import numpy as np
+
+    _, rows = drawn(400, 5)
+    spans = [v for _, v in rows]
+    want, rates = em_one_by_one(spans)
+    given = sorted(set(spans))
+    got = pii.Aggregator(np.array(given), np.array([spans.count(v) for v in given], float))
+    for v, p in zip(given, got.posterior):
+        assert abs(p - want[v]) < 1e-9
+    for j, real in rates:
+        assert np.allclose(got.rates[j, real], rates[j, real])
+
+
+def test_reliabilities_and_rejections_on_labelled_spans():
+    import numpy as np
+
+    true, rows = drawn(20_000, 6)
+    given = sorted({v for _, v in rows})
+    counts = {v: 0 for v in given}
+    for _, v in rows:
+        counts[v] += 1
+    got = pii.Aggregator(np.array(given), np.array([counts[v] for v in given], float))
+    posterior = dict(zip(given, got.posterior))
+    assert sum((posterior[v] >= 0.5) == real for real, v in rows) / len(rows) > 0.97
+    assert abs(got.prior - 0.4) < 0.03
+    for j in range(5):  # the beliefs weigh a tenth, so the estimates stand near the truth and not at the beliefs
+        for real in (0, 1):
+            believed = np.array(pii.RATES[pii.LABELERS[j]][real])
+            assert np.allclose(got.rates[j, real], (10 * np.array(true[j][real]) + believed) / 11, atol=0.04)
+
+
+def test_takes_and_rejects_proposals(spark):
+    def card(n, ok):
+        digits = f"{4000000000000000 + 37 * n}"[:15]
+        check = next(c for c in "0123456789" if pii.luhn(digits + c))
+        return digits + (check if ok else str((int(check) + 5) % 10))
+
+    real = [f"card {card(i, True)} paid" for i in range(40)] + [f"call (555) 123-45{i:02d} now" for i in range(40)] + [f'token = "{i:02d}6a8c8d79c4a5085c919698889f59b72ab7b0f"' for i in range(40)] + [f"write to ann{i} (at) example (dot) com please" for i in range(40)]
+    fake = [f"number {card(i, False)} there" for i in range(40)] + [f"version 3.{i}.2 of it" for i in range(40)] + [f"on 12-05-20{i:02d} and 1-2-3-4 steps" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(real + fake)]
+    got = {r.doc_id: r.pii_spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(len(real))) >= 0.9 * len(real)
+    assert not any(got[i] for i in range(len(real), len(rows)))
+    assert sum(len(list(pii.proposals(t))) for t in fake) >= 80
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    for bit in ("a", "1", "a@", "1.", "+1((", "a:", "1-", "abc123/", "(at)", "@a.b"):
+        text, began = bit * (1_000_000 // len(bit)), time.time()
+        pii.base_spans(text)
+        list(pii.proposals(text))
+        assert time.time() - began < 4, bit
+    began = time.time()
+    text = "x" * 1_000_000
+    assert pii.Classifier({}).spans(text, pii.base_spans(text)) == []
+    assert time.time() - began < 1
