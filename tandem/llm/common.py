@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -26,21 +27,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one serves a master on this machine alone; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tandem-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tandem-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        found = _local[0]
     return found.rstrip("/")
 
 
+_open: list[Workspace] = []
+
+
+def release() -> None:
+    """Deletes the tables of all jobs so far. Results that have not been read yet need them, so it is called when those are written, at last when the program ends."""
+    while _open:
+        ws = _open.pop()
+        with contextlib.suppress(Exception):  # a stopped gateway cannot delete; the folder's owner then has to
+            ws.delete(ws.at)
+
+
 class Workspace:
-    """Tables of one job in the shared folder. They cut the lineage and outlive executors."""
+    """Tables of one job in the shared folder. They cut the lineage and outlive executors; see release()."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/tandem-{name}-{uuid.uuid4().hex[:12]}", 0
+        _open.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df written out and read back."""
@@ -50,11 +69,16 @@ class Workspace:
         back.tandem_path = path
         return back
 
+    def delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.tandem_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(t.tandem_path)
+
+
+atexit.register(release)
 
 
 def text_size(text: Column) -> Column:
