@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, read, unclash
 from .components import connected_components
 
 #: The rules of the registered query.
@@ -71,18 +71,21 @@ def absolute(link: Column, url: Column) -> Column:
 
 
 def first_link(tags: Column, names: str, value: str) -> Column:
-    """What `value` finds in the first of the tags that `names` fits; null if there is none."""
+    """What `value` finds in the first of the tags that `names` fits; empty if it finds nothing, null if there is none."""
     return F.replace(F.regexp_extract(F.get(F.filter(tags, lambda t: t.rlike(names)), F.lit(0)), value, 1), F.lit("&amp;"), F.lit("&"))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b) from each url to its plain form, its canonical link and its refresh target."""
-    head = F.get(F.split("html", r"(?i)</head>|<body\b", 2), F.lit(0))
-    tags = lambda name: F.regexp_extract_all(head, F.lit(rf"(?i)(<{name}\b[^<>]*>)"), F.lit(1))
+    known = pages.where("url is not null")
+    # the columns are computed one after the other, so that no page is searched twice for one link
+    tags = lambda name: F.regexp_extract_all("head", F.lit(rf"(?i)(<{name}\b[^<>]*>)"), F.lit(1))
+    heads = known.where("html is not null").select("url", F.get(F.split("html", r"(?i)</head>|<body\b", 2), F.lit(0)).alias("head"))
     canonical = first_link(tags("link"), r"(?i)\brel\s*=\s*[\x22']?canonical\b", r"(?i)\bhref\s*=\s*[\x22']?([^\x22'\s>]+)")
     refresh = first_link(tags("meta"), r"(?i)http-equiv\s*=\s*[\x22']?refresh\b", r"(?i)\burl\s*=\s*[\x22']?([^\x22'\s>;]+)")
-    targets = F.array(plain(F.col("url")), absolute(canonical, F.col("url")), absolute(refresh, F.col("url")))
-    return pages.where("url is not null").select(F.col("url").alias("a"), F.explode(F.array_distinct(F.array_compact(targets))).alias("b")).where("a <> b")
+    found = heads.select("url", F.explode(F.array_compact(F.array(canonical, refresh))).alias("link")).where("link <> ''")
+    linked = found.select(F.col("url").alias("a"), absolute(F.col("link"), F.col("url")).alias("b"))
+    return known.select(F.col("url").alias("a"), plain(F.col("url")).alias("b")).unionAll(linked).where("b is not null and a <> b")
 
 
 def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,8 +109,7 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict; redirects may hold further edges as (from_url, to_url)."""
     spark = pages.sparkSession
-    if clash := set(ADDED) & set(pages.columns):
-        pages = pages.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    pages = unclash(pages, [*ADDED, "rule_verdict", "_hash", "_url", "_node"])
     ws = Workspace(spark, "urls")
     edges = page_edges(pages)
     if redirects is not None:
