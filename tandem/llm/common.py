@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -81,6 +82,16 @@ class Workspace:
 atexit.register(release)
 
 
+def unclash(df: DataFrame, added) -> DataFrame:
+    """df with columns that are named like added ones, in any case, under the first free of <name>_0, <name>_1 and so on."""
+    taken, names = {c.lower() for c in (*df.columns, *added)}, {}
+    for c in df.columns:
+        if c.lower() in {a.lower() for a in added}:
+            names[c] = next(n for i in itertools.count() if (n := f"{c}_{i}").lower() not in taken)
+            taken.add(names[c].lower())
+    return df.withColumnsRenamed(names)
+
+
 def text_size(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -93,7 +104,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text that are hashed at once; each takes about 40 bytes of memory meanwhile.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, read, unclash
 
 #: Common words by language.
 COMMON = {
@@ -106,8 +106,7 @@ def distance(p: Column, q: Column) -> Column:
 
 def judge(documents: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_class=MAX_CLASS, max_word=MAX_WORD, columns: list[str] | None = None) -> DataFrame:
     """documents (or the given columns) with the base counts, both distances and the verdict `kept`."""
-    if clash := set(ADDED) & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    documents = unclash(documents, [*ADDED, "_words", "_class", "_common", "_chars", "_lang", "_class_all", "_common_all"])
     columns = documents.columns if columns is None else columns
     ws = Workspace(documents.sparkSession, "divergence")
     counts = ws.keep(counted(documents).select(*dict.fromkeys([*columns, "lang", *ADDED[:6], "_class", "_common", "_chars"])))
@@ -129,3 +128,28 @@ def judge(documents: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN
 def op2_divergence_rules(spark, sf_dir):
     found = judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), columns=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_LISTED = "case lang " + " ".join(f"when '{lang}' then [{', '.join(repr(w) for w in listed)}]" for lang, listed in COMMON.items()) + " end"
+_TAKEN = ", ".join(f"len(t) - len(regexp_replace(t, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))" for c in CLASSES)
+_SHARES = "[x / list_sum({0})::double for x in {0}]"
+_TERM = "case when {0} > 0 then {0} * log2(2 * {0} / ({0} + {1})) else 0.0::double end"
+_DISTANCE = "sqrt(greatest(list_sum([(" + _TERM.format("x[1]", "x[2]") + " + " + _TERM.format("x[2]", "x[1]") + ") / 2 for x in list_zip({0}, {1})]), 0.0::double))"
+
+SQL = rf"""
+with d as (select doc_id, lang, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines, [{_TAKEN}] as cs, {_LISTED} as listed from d),
+g as (select doc_id, i, count(*) over (partition by doc_id, g) as c from (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w))),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where c > 1) group by doc_id),
+c as (select w.doc_id, lang, len(t) as chars, len(w) as n_words, len(array_to_string(w, '')) as word_chars, cs[6] as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+  list_append(cs, len(t) - list_sum(cs)) as hc, [len(list_filter(w, lambda x: lower(x) = k)) for k in listed] as ks from w left join r using (doc_id)),
+b as (select *, list_append(ks, n_words - coalesce(list_sum(ks), 0)) as hk, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+h as (select *, case when chars > 0 then {_SHARES.format('hc')} end as pc, case when n_words > 0 and ks is not null then {_SHARES.format('hk')} end as pk from b),
+m as (select lang, kind, list(s order by i) as total from (select lang, kind, i, sum(x) as s from (
+    select lang, 'c' as kind, unnest(range(len(pc))) as i, unnest(pc) as x from h where not base_failed union all select lang, 'k', unnest(range(len(pk))), unnest(pk) from h where not base_failed) group by all) group by lang, kind),
+q as (select lang, kind, {_SHARES.format('total')} as q from m),
+j as (select h.*, case when chars >= {MIN_CHARS} then {_DISTANCE.format('pc', 'a.q')} end as dc, case when n_words >= {MIN_WORDS} then {_DISTANCE.format('pk', 'z.q')} end as dk
+  from h left join q a on a.kind = 'c' and a.lang is not distinct from h.lang left join q z on z.kind = 'k' and z.lang is not distinct from h.lang)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not coalesce(dc > {MAX_CLASS[0]}::double + {MAX_CLASS[1]}::double / chars, false) and not coalesce(dk > {MAX_WORD[0]}::double + {MAX_WORD[1]}::double / n_words, false) as kept from j
+"""

@@ -6,12 +6,12 @@ import importlib
 
 #: Query, its module and, where SQL expresses it, the name of the SQL there.
 TABLE = {
-    "op5_winnowed_lines": ("linededup", None),
+    "op5_winnowed_lines": ("linededup", "SQL"),
     "op9_preference_pairs": ("preference", "SQL"),
     "op6_redirect_rules": ("urlrules", "SQL"),
     "op10_jaccard_components": ("jaccard", "SQL"),
     "op7_weak_pii": ("pii", None),
-    "op2_divergence_rules": ("divergence", None),
+    "op2_divergence_rules": ("divergence", "SQL"),
     "op4_toxicity_crf": ("toxicity", None),
     "op1_benchmark_leaks": ("decontaminate", "SQL"),
     "op3_source_mix": ("mixing", "SQL"),
