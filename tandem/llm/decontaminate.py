@@ -6,8 +6,8 @@ alphabet: any other word ends a run, and runs shorter than the shortest window h
 array, its Burrows-Wheeler transform in a wavelet tree, and sampled suffix positions. All windows are searched backward at
 once through wavelet-tree ranks; their rows are located by walking to the next sampled position; spans that touch are merged.
 
-A benchmark over `block_bytes` is searched block by block, each block broadcast by itself, with a table between. Removal then
-cuts the text once, by the spans of all blocks.
+A benchmark over `block_bytes` is searched block by block, each block broadcast by itself; of a block only the rows with hits are written, and the
+documents once, with numbers that stay. The spans of all blocks are merged at the end, and removal cuts the text once.
 
 Null and empty texts have no words and no hits. Benchmark rows without id or words have no windows. Repeated benchmark ids
 count once; repeated documents are judged each for itself. Extra columns pass through, renamed if they clash with the
@@ -17,7 +17,7 @@ added ones; an empty table gives an empty one. A text over the shard's size is i
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, read
+from .common import Workspace, mix, read, unclash
 
 WINDOW, SHARD_WORDS, BLOCK_BYTES, SAMPLED = 10, 1 << 20, 16 << 20, 8
 #: On UTF-8 bytes this is the class of the contract: a character over \x7F has only bytes over \x7F.
@@ -35,20 +35,49 @@ ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit
 
 
 class Phrases:
-    """Windows of some benchmark items over their own alphabet, 1 and up; 0 is any other word."""
+    """Windows of some benchmark items over their own alphabet, 1 and up; 0 is any other word.
+
+    A window is a place in the items' words, laid one after the other, so a block takes some 20 bytes for each of its words. Equal windows
+    are one: they are told by a hash and compared; different ones of one hash stay apart.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.alphabet: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.ids = sorted({i for i, _ in items})
-        number = {x: n for n, x in enumerate(self.ids)}
+        number, parts, starts, owners, lengths, at = {x: n for n, x in enumerate(self.ids)}, [], [], [], [], 0
         for item, text in items:
-            words = [self.alphabet.setdefault(w, len(self.alphabet) + 1) for w in TOKEN.findall(text.lower())]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(number[item])
-        self.lengths = sorted({len(w) for w in found})
-        self.windows = {n: np.array([w for w in found if len(w) == n], np.int64) for n in self.lengths}
-        self.owners = {n: [sorted(found[w]) for w in found if len(w) == n] for n in self.lengths}
+            words = TOKEN.findall(text.lower())
+            if not words:
+                continue
+            parts.append(np.fromiter((self.alphabet.setdefault(w, len(self.alphabet) + 1) for w in words), np.int32, len(words)))
+            n = max(1, len(words) - window + 1)
+            starts.append(at + np.arange(n))
+            owners.append(np.full(n, number[item], np.int32))
+            lengths.append(np.full(n, min(window, len(words)), np.int32))
+            at += len(words)
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.words, starts, owners, lengths = join(parts, np.int32), join(starts, np.int64), join(owners, np.int32), join(lengths, np.int32)
+        self.lengths = np.unique(lengths).tolist()
+        self.starts, self.owners, self.first = {}, {}, {}
+        for n in self.lengths:
+            mine = lengths == n
+            self._distinct(n, starts[mine], owners[mine])
+
+    def _distinct(self, n: int, starts: np.ndarray, owners: np.ndarray) -> None:
+        key = np.zeros(len(starts), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                key = mix(key + self.words[starts + j].astype(np.uint64)) + np.uint64(j)
+        order = np.argsort(key, kind="stable")
+        key, starts, owners = key[order], starts[order], owners[order]
+        same = key[1:] == key[:-1]
+        for j in range(n):
+            same &= self.words[starts[1:] + j] == self.words[starts[:-1] + j]
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        self.starts[n], self.owners[n], self.first[n] = starts[first], owners, np.append(first, len(owners))
+
+    def owners_of(self, n: int, window: int) -> list[int]:
+        return self.owners[n][self.first[n][window] : self.first[n][window + 1]].tolist()
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
@@ -115,11 +144,11 @@ class FMIndex:
         self.before = np.concatenate(([0], np.cumsum(kept)))
         self.sample = order[kept]
 
-    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) of every occurrence of windows of one length."""
-        lo, hi, which = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64), np.arange(len(windows))
-        for j in reversed(range(windows.shape[1])):
-            symbol = windows[which, j]
+    def find(self, words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) of every occurrence of the windows of n words that start there."""
+        lo, hi, which = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64), np.arange(len(starts))
+        for j in reversed(range(n)):
+            symbol = words[starts[which] + j].astype(np.int64)
             lo = self.smaller[symbol] + self.tree.rank(symbol, lo)
             hi = self.smaller[symbol] + self.tree.rank(symbol, hi)
             some = lo < hi
@@ -169,7 +198,7 @@ class Shard:
             text[end - 1 - len(ids) : end - 1] = ids
         index = FMIndex(text, len(self.phrases.alphabet))
         for n in self.phrases.lengths:
-            which, places = index.find(self.phrases.windows[n])
+            which, places = index.find(self.phrases.words, self.phrases.starts[n], n)
             run = np.searchsorted(ends, places, "right")
             for w, r, at in zip(which.tolist(), run.tolist(), (places - (ends - lengths)[run]).tolist()):
                 row, offset, _ = self.runs[r]
@@ -181,7 +210,7 @@ class Shard:
         if not hits:
             return [], set()
         spans = merged(np.array([h[0] for h in hits]), np.array([h[1] for h in hits]))
-        return spans, {o for w, n in {(h[2], h[3]) for h in hits} for o in self.phrases.owners[n][w]}
+        return spans, {o for w, n in {(h[2], h[3]) for h in hits} for o in self.phrases.owners_of(n, w)}
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -194,54 +223,84 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _cut(names: list[str]):
+def hits(phrases: Phrases, texts: list[bytes | None], window: int, shard_words: int) -> tuple[list, list, list]:
+    """Of each text the number of words, the merged spans and the items."""
+    get, shard, done = phrases.alphabet.get, Shard(phrases), 0
+    n_words, spans, items = [0] * len(texts), [[]] * len(texts), [[]] * len(texts)
+
+    def finish(to):
+        shard.search()
+        for i in range(done, to):
+            spans[i], owners = shard.take(i)
+            items[i] = sorted(phrases.ids[o] for o in owners)
+
+    for i, text in enumerate(texts):
+        words = TOKEN.findall(text.lower()) if text else []
+        n_words[i] = len(words)
+        if phrases.lengths:
+            ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            for a in range(0, len(ids), shard_words):
+                shard.add(i, ids[a : a + shard_words + window - 1], a)
+                if len(ids) > shard_words and shard.words >= shard_words:
+                    shard.search()
+            if shard.words >= shard_words:
+                finish(i + 1)
+                done = i + 1
+    finish(len(texts))
+    return n_words, spans, items
+
+
+ARROW_SPANS, ARROW_ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+
+
+def span_column(spans: list) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], ARROW_SPANS)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+
+
+def completed(batch: pa.RecordBatch, names: list[str], texts: list, n_words: list, spans: list, items: list, remove: bool) -> pa.RecordBatch:
+    """A batch with the added columns and, with remove, its texts cut."""
+    columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+    if remove:
+        columns["text"] = pa.array([cut(t, s) if s else t for t, s in zip(texts, spans)], pa.binary()).cast(pa.string())
+    columns |= {"n_words": pa.array(n_words, pa.int64()), "hit_spans": span_column(spans), "items": pa.array(items, ARROW_ITEMS)}
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+
+def _search(shared, names: list[str], window: int, shard_words: int, remove: bool):
+    """All of the job, for a benchmark of one block."""
+
     def run(batches):
         for batch in batches:
-            text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "hit_spans"))
-            texts = [cut(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist())]
-            new = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(k) for k, c in enumerate(names)], names=names)
+            texts = texts_of(batch)
+            yield completed(batch, names, texts, *hits(shared.value, texts, window, shard_words), remove)
 
     return run
 
 
-def _search(shared, schema: pa.Schema, window: int, shard_words: int, remove: bool):
+def _search_block(shared, row: str, window: int, shard_words: int):
+    """(row, spans, items) of the rows that one block of several hits."""
+
+    def run(batches):
+        for batch in batches:
+            _, spans, items = hits(shared.value, texts_of(batch), window, shard_words)
+            some = [i for i, s in enumerate(spans) if s]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(row)).take(pa.array(some, pa.int64())), span_column([spans[i] for i in some]), pa.array([items[i] for i in some], ARROW_ITEMS)], names=["row", "found", "owners"])
+
+    return run
+
+
+def _complete(names: list[str], remove: bool):
+    """The added columns from the spans and items that several blocks found."""
+
     def run(batches):
-        phrases = shared.value
-        get, shard = phrases.alphabet.get, Shard(phrases)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            n_words, spans, items = [0] * len(texts), [[]] * len(texts), [[]] * len(texts)
-            done = 0
-
-            def finish(to):
-                shard.search()
-                for i in range(done, to):
-                    spans[i], owners = shard.take(i)
-                    items[i] = sorted(phrases.ids[o] for o in owners)
-                    if remove and spans[i]:
-                        texts[i] = cut(texts[i], spans[i])
-
-            for i, text in enumerate(texts):
-                words = TOKEN.findall(text.lower()) if text else []
-                n_words[i] = len(words)
-                if phrases.lengths:
-                    ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                    for a in range(0, len(ids), shard_words):
-                        shard.add(i, ids[a : a + shard_words + window - 1], a)
-                        if len(ids) > shard_words and shard.words >= shard_words:
-                            shard.search()
-                    if shard.words >= shard_words:
-                        finish(i + 1)
-                        done = i + 1
-            finish(len(texts))
-            columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
-            if remove:
-                columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
-            columns["n_words"] = pa.array(n_words, pa.int64())
-            columns["hit_spans"] = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            columns["items"] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([columns[c] for c in schema], names=list(schema))
+            texts, column = texts_of(batch), lambda c: batch.column(batch.num_columns + c).to_pylist()  # noqa: B023
+            spans = [merged(np.array([x["start"] for x in s]), np.array([x["end"] for x in s])) if s else [] for s in column(-2)]
+            yield completed(batch, names, texts, [len(TOKEN.findall(t.lower())) if t else 0 for t in texts], spans, [sorted(set(o or [])) for o in column(-1)], remove)
 
     return run
 
@@ -270,33 +329,28 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
     """documents with n_words, hit_spans (word numbers, end exclusive, merged) and items; with remove, text goes without the hits."""
     spark = documents.sparkSession
-    if clash := set(ADDED.names) & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
-    ws, out, former, table = Workspace(spark, "decontaminate"), documents, None, None
-    several, blocks = False, benchmark_blocks(benchmark, block_bytes)
-    block = next(blocks, None)
-    while block is not None:
-        after = next(blocks, None)
-        if former is not None:  # further blocks judge the whole text too, and their spans are added
-            read_from, table = table, ws.keep(out)
-            if read_from is not None:
-                ws.drop(read_from)
-            out = table.withColumnsRenamed({c: f"_{c}" for c in ADDED.names})
-        several = several or after is not None
-        base = T.StructType([f for f in out.schema if former is None or f.name != "_n_words"])
-        schema = T.StructType([*base.fields, *ADDED.fields])
+    documents = unclash(documents, ADDED.names)
+    schema = T.StructType([*documents.schema.fields, *ADDED.fields])
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(Phrases(first, window))
+        return documents.mapInArrow(_search(shared, schema.names, window, shard_words, remove), schema)
+    row = "_row"
+    while row in documents.columns:
+        row = f"_{row}"
+    ws, found = Workspace(spark, "decontaminate"), None
+    kept = ws.keep(documents.withColumn(row, F.monotonically_increasing_id()))
+    slim = T.StructType([T.StructField("row", T.LongType()), T.StructField("found", T.ArrayType(SPAN)), T.StructField("owners", T.ArrayType(T.StringType()))])
+    for block in chain([first, second], blocks):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        found = out.select(base.names).mapInArrow(_search(shared, schema.names, window, shard_words, remove and not several), schema)
-        if former is not None:
-            spans = F.array_sort(F.concat("_hit_spans", "hit_spans"))
-            joined = F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(x))))
-            found = found.withColumns({"hit_spans": joined, "items": F.array_sort(F.array_union("_items", "items"))}).drop("_hit_spans", "_items")
-        out = former = found
-        block = after
-    return out.mapInArrow(_cut(out.columns), out.schema) if remove and several else out
+        part = ws.keep(kept.select(row, "text").mapInArrow(_search_block(shared, row, window, shard_words), slim))
+        shared.unpersist()
+        found = part if found is None else found.unionAll(part)
+    # a row comes from each block at most once
+    merged_ = found.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("owners")).alias("owners"))
+    joined = kept.join(merged_.withColumnsRenamed({"row": "_hit_row", "found": "_hit_found", "owners": "_hit_owners"}), F.col(row) == F.col("_hit_row"), "left")
+    return joined.select(*documents.columns, F.col("_hit_found"), F.col("_hit_owners")).mapInArrow(_complete(schema.names, remove), schema)
 
 
 def op1_benchmark_leaks(spark, sf_dir):

@@ -83,6 +83,16 @@ def test_index_finds_all_places():
     index = decontaminate.FMIndex(text, 4)
     for n in (1, 2, 5):
         windows = rng.integers(1, 5, (20, n))
-        which, places = index.find(windows)
+        which, places = index.find(windows.ravel(), np.arange(20) * n, n)
         got = sorted(zip(which.tolist(), places.tolist()))
         assert got == sorted((w, p) for w in range(20) for p in range(len(text) - n + 1) if (text[p : p + n] == windows[w]).all())
+
+
+def test_windows_are_distinct_and_keep_all_owners():
+    items = [("a", b"x y z"), ("b", b"x y z"), ("c", b" ".join(b"w%d" % (i % 13) for i in range(60))), ("d", b"q"), ("a", b"q"), ("e", b"")]
+    p = decontaminate.Phrases(items, 10)
+    word = {n: w for w, n in p.alphabet.items()}
+    got = {n: {tuple(word[x] for x in p.words[s : s + n]): {p.ids[o] for o in p.owners_of(n, i)} for i, s in enumerate(p.starts[n])} for n in p.lengths}
+    c = items[2][1].split()
+    assert got == {1: {(b"q",): {"a", "d"}}, 3: {(b"x", b"y", b"z"): {"a", "b"}}, 10: {tuple(c[i : i + 10]): {"c"} for i in range(51)}}
+    assert len(p.starts[10]) == 13
