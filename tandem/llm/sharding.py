@@ -6,8 +6,8 @@ close in on each wanted byte total until a boundary is within the tolerance or f
 boundary stays between texts where that is within the tolerance; only inside a group of equal texts too large for that it
 goes on with the second number. Then the rows are exchanged once, by part.
 
-A shard is a row of consecutive parts, each of bounded size, so no task holds a shard. The counts below the boundaries give
-each part's first slot, so slots need no pass of their own.
+A shard is a row of consecutive parts, so no task holds a shard: parts have 64 MB each up to 65,536 parts (4 TB); beyond they grow, to 1.6 GB at
+100 TB, and a part is sorted in one task, which may spill. The counts below the boundaries give each part's first slot, so slots need no pass of their own.
 
 Null texts have no bytes: size 1, crc32 0, the hash of the empty text. Null doc_ids get one hash; rows that tie in both
 numbers stay in one part and have their slots in order of doc_id and size. Extra columns pass through; an empty table gives an empty one.
@@ -15,6 +15,7 @@ numbers stay in one part and have their slots in order of doc_id and size. Extra
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, read, unclash
 
 SHARDS, TOLERANCE, PROBES, PART_BYTES = 8, 0.002, 32, 64 << 20
+#: Parts in all, and candidates that one round counts, at most; the first round spreads them over all keys, as hashes are spread.
+MAX_PARTS, MAX_KEYS = 1 << 16, 1 << 18
 TOP = 1 << 63
 
 
@@ -71,14 +74,15 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def bucket_of(keys: list[tuple[int, int]]):
     """For arrays k1, k2: how many of the sorted keys are at or below each row's."""
-    firsts = np.array([k[0] for k in keys], np.int64)
+    firsts, seconds = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
 
     def find(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         out = np.searchsorted(firsts, k1, "left")
-        for i, (a, b) in enumerate(keys):  # only keys that share the row's first number are left to decide
-            same = k1 == a
-            if same.any():
-                out[same & (k2 >= b)] = i + 1
+        if len(firsts):
+            tied = np.flatnonzero(firsts[np.minimum(out, len(firsts) - 1)] == k1)
+            for a in np.unique(k1[tied]):  # rows that share their first number with keys are decided by the second
+                mine, lo, hi = tied[k1[tied] == a], *np.searchsorted(firsts, [a, a + 1])
+                out[mine] = lo + np.searchsorted(seconds[lo:hi], k2[mine], "right")
         return out
 
     return find
@@ -111,13 +115,24 @@ def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> lis
     slack = [tolerance * total / shards if i % parts == 0 else 0.1 * total / n for i in range(1, n)]
     for b, s in zip(found, slack):
         b.settle(s)
+    if any(b.done is None for b in found):
+        spread = min(MAX_KEYS, 8 * n + 64)
+        keys = [(TOP * i // spread, 0) for i in range(1, spread)]
+        below = histogram(slim, keys)
+        totals = below[:-1, 0]
+        for b, s in zip(found, slack):
+            at = int(np.searchsorted(totals, b.want, "left"))  # the last key below and the first at or above what is wanted
+            for i in {max(0, at - 1), min(at, len(keys) - 1)}:
+                b.learn(keys[i], tuple(below[i].tolist()))
+            b.settle(s)
     while open_ := [(b, s) for b, s in zip(found, slack) if b.done is None]:
-        each = max(1, min(PROBES, 4096 // len(open_)))
+        each = max(1, min(PROBES, MAX_KEYS // len(open_)))
         keys = sorted({p for b, _ in open_ for p in b.probes(each)})
         below = histogram(slim, keys)
         for b, s in open_:
-            for i, key in enumerate(keys):
-                b.learn(key, tuple(below[i].tolist()))
+            lo, hi = bisect_left(keys, b.low), bisect_right(keys, b.high)
+            for i in range(lo, hi):
+                b.learn(keys[i], tuple(below[i].tolist()))
             b.settle(s)
     out = []
     for b in found:  # boundaries may fall together, never back
@@ -127,8 +142,7 @@ def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> lis
 
 def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, columns: list[str] | None = None) -> DataFrame:
     """documents (or the given columns) with size, text_crc32, shard and slot; the exchange is by part."""
-    if clash := {"size", "text_crc32", "k1", "k2", "part", "shard", "slot"} & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    documents = unclash(documents, ["size", "text_crc32", "k1", "k2", "part", "start", "_p", "shard", "slot"])
     columns = documents.columns if columns is None else columns
     ws = Workspace(documents.sparkSession, "shard")
     rows = keyed(documents).select(*columns, "size", "text_crc32", "k1", "k2")
@@ -136,20 +150,20 @@ def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     if "text" not in columns:
         rows = slim
     total = slim.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(4096 // shards, -(-total // (shards * part_bytes))))
+    parts = max(1, min(MAX_PARTS // shards, -(-total // (shards * part_bytes))))
     cuts = splitters(slim, shards, parts, tolerance)
     find = bucket_of([c[0] for c in cuts])
     below = [0, *[c[2] for c in cuts]]
-    first = [below[p] - below[p // parts * parts] for p in range(shards * parts)]
+    first = np.array([below[p] - below[p // parts * parts] for p in range(shards * parts)], np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        return pd.Series(find(k1.to_numpy(), k2.to_numpy()).astype(np.int32))
+    @F.pandas_udf("part int, start long")
+    def part_of(k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
+        part = find(k1.to_numpy(), k2.to_numpy())
+        return pd.DataFrame({"part": part.astype(np.int32), "start": first[part]})
 
-    dealt = rows.withColumn("part", part_of("k1", "k2")).repartition(shards * parts, "part")
+    dealt = rows.withColumn("_p", part_of("k1", "k2")).select("*", F.col("_p.part").alias("part"), F.col("_p.start").alias("start")).repartition(shards * parts, "part")
     at = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2", *(["doc_id"] if "doc_id" in columns else []), "size")) - 1
-    start = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("part") + 1)
-    return dealt.select(*columns, "size", "text_crc32", (F.col("part") / parts).cast("int").alias("shard"), (at + start).cast("long").alias("slot"))
+    return dealt.select(*columns, "size", "text_crc32", (F.col("part") / parts).cast("int").alias("shard"), (at + F.col("start")).cast("long").alias("slot"))
 
 
 def op8_histogram_shards(spark, sf_dir):

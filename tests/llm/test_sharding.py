@@ -38,3 +38,29 @@ def test_a_huge_group_is_split_only_as_it_must(spark):
 def test_few_rows_and_none(spark):
     for rows in ([], [(1, "a")], [(1, "a" * 5000), (2, "b")], [(1, "a")] * 20):
         check(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_against_sorting_by_key_and_cutting_at_byte_totals(spark):
+    rows = [(i, "é" * (i * 53 % 300) + str(i % 700)) for i in range(2000)] + [(i, "copy" * 50) for i in range(3000, 3400)] + [(5000, None), (None, "x"), (7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = sorted(((r.k1, r.k2, r.doc_id, r["size"], r.text) for r in sharding.keyed(df).collect()), key=lambda k: k[:2])
+    sums = [0]
+    for k in keys:
+        sums.append(sums[-1] + k[3])
+    for part_bytes in (sharding.PART_BYTES, 4000):
+        got = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.shard(df, tolerance=0.0, part_bytes=part_bytes).collect()}
+        cuts = [min(range(len(sums)), key=lambda j: (abs(sums[j] - sums[-1] * i // 8), j)) for i in range(1, 8)]
+        starts = [0, *cuts]
+        for at, k in enumerate(keys):
+            shard = sum(c <= at for c in cuts)
+            assert got[k[2], k[4]] == (shard, at - starts[shard])
+
+
+def test_buckets_against_comparing_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = sorted({(int(a), int(b)) for a, b in rng.integers(0, 6, (12, 2))})
+    k1, k2 = rng.integers(0, 7, 400), rng.integers(0, 7, 400)
+    want = [sum(k <= (a, b) for k in keys) for a, b in zip(k1.tolist(), k2.tolist())]
+    assert sharding.bucket_of(keys)(k1, k2).tolist() == want and sharding.bucket_of([])(k1, k2).tolist() == [0] * 400
