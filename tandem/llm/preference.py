@@ -6,12 +6,12 @@ turn. A turn is rendered as `<|im_start|>role`, a line break, its text, `<|im_en
 
 Turns stand in order of turn, ties in order of role and text; repeated turn rows stay. Null roles and texts are empty ones; rows without pair, side or
 turn are in no conversation. A pair of equal conversations has a prompt and two empty completions. A pair of which one side has no turns is not
-emitted. Extra columns are dropped; an empty table gives an empty one.
+emitted. Long conversations take time in proportion to their turns; one pair is in one task. Extra columns are dropped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read
@@ -26,21 +26,19 @@ def rendered(turns: Column) -> Column:
 
 
 def mask(turns: Column) -> Column:
-    """Ranges [start, end) in the rendered turns that are trained on."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
+    """Ranges [start, end) in the rendered turns that are trained on; each turn brings `at`, where it starts in the whole conversation."""
+    base = F.get(turns, F.lit(0))["at"]
 
-    def step(s, t):
-        start = s["at"] + len(OPEN) + F.length(t["role"]) + len(BREAK)
-        end = start + F.length(t["text"]) + len(CLOSE)
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + len(BREAK)).cast("long").alias("at"), F.when(t["role"] == TRAINED, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+    def span(t):
+        start = t["at"] - base + len(OPEN) + F.length(t["role"]) + len(BREAK)
+        return F.struct(start.cast("long").alias("start"), (start + F.length(t["text"]) + len(CLOSE)).cast("long").alias("end"))
 
-    return F.aggregate(turns, state, step, lambda s: s["spans"])
+    return F.transform(F.filter(turns, lambda t: t["role"] == TRAINED), span)
 
 
 def common_turns(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
-    differs = F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: (i >= n) | (F.get(a, i) != F.get(b, i))), True)
+    differs = F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: (i >= n) | (F.get(a, i)["role"] != F.get(b, i)["role"]) | (F.get(a, i)["text"] != F.get(b, i)["text"])), True)
     return (differs - 1).cast("int")
 
 
@@ -53,10 +51,12 @@ def tagged(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def format_pairs(turns: DataFrame) -> DataFrame:
     """pair, prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask from the turns of pairs."""
-    turn = F.struct("side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    known = turns.where("pair is not null and side in (0, 1) and turn is not null")
-    grouped = known.groupBy("pair").agg(F.sort_array(F.collect_list(turn)).alias("_all"))
-    side = lambda s: F.transform(F.filter("_all", lambda t: t["side"] == s), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    known = turns.where("pair is not null and side in (0, 1) and turn is not null").select("pair", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # one exchange by pair serves the running length and the grouping; masks then need no pass that grows with the square of the turns
+    length = len(OPEN) + F.length("role") + len(BREAK) + F.length("text") + len(CLOSE + BREAK)
+    before = F.sum(length.cast("long")).over(Window.partitionBy("pair").orderBy("side", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)) - length
+    grouped = known.withColumn("at", before).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text", "at"))).alias("_all"))
+    side = lambda s: F.transform(F.filter("_all", lambda t: t["side"] == s), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["at"].alias("at")))
     both = grouped.select("pair", side(0).alias("_a"), side(1).alias("_b")).where((F.size("_a") > 0) & (F.size("_b") > 0))
     split = both.withColumn("prompt_turns", let(F.struct("_a", "_b"), lambda x: common_turns(x["_a"], x["_b"])))
     rest = lambda c: F.slice(F.col(c), F.col("prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
