@@ -16,9 +16,13 @@ excludes are dropped, so sets are only fetched for pairs that nearly link.
 
 In each list, classes are first compared with the one that has the fewest rarer shingles, so a group of near copies takes a row for each
 member. What the links found join is one component; then only pairs of a list that are still in different components and pass the
-size and position bounds are compared. No link between components is lost; within one they add nothing.
+size and position bounds are compared. No link between components is lost; within one they add nothing. A long list is no group of one task: its first
+members are looked up in a broadcast of checked size, and the pairs left are dealt by the logarithm of the set's size, as linked sizes stand
+in the same class or the next, and in slices of `SLICE` members.
 
-Null texts are empty. Null doc_ids are members without a number. Repeated rows keep their rows. Extra columns pass through; an empty table gives an empty one.
+63-bit hashes stand for shingles and sets: of some 10^9 distinct texts two are expected to share one with a chance of a few per cent, and would count as equal.
+
+Null texts are empty. Null doc_ids are members without a number. Texts of any length are hashed whole, in blocks. Repeated rows keep their rows. Extra columns pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, read, shingle_sets
+from .common import Workspace, mix, read, shingle_sets, unclash
 from .components import connected_components
 
 MAX_HOT, LEAST_HOT, MAX_LIGHT, CHECK_COST, MAX_NODES = 500_000, 16, 40, 8.0, 2_000_000
+#: Members of one task of a list that is compared, rows of a key that is looked up in a broadcast, and such keys at most.
+SLICE, HEAVY, MAX_HEAVY = 256, 256, 500_000
 #: Shingles that are sorted and sent to be counted at once, and that one count is to take.
 RUN, PER_COUNT = 2 << 20, 4 << 20
 
@@ -80,8 +86,8 @@ def set_hash(s: np.ndarray) -> int:
 def frequent(documents: DataFrame, k: int, ws: Workspace, max_hot: int) -> tuple[int, np.ndarray, np.ndarray, float]:
     """(bits of a shingle's hash that were counted, frequent shingles by them, classes of frequency, mean list length of the rest).
 
-    Tasks send sorted runs of shingles, dealt by their first bits, as differences in bytes by significance; each deal
-    is counted by itself. The number of deals follows the number of documents.
+    Tasks send sorted runs of distinct shingles, dealt by their first bits, as differences and counts in bytes by significance, so a shingle of every document
+    is one value of a run; each deal is counted by itself. The number of deals follows the number of documents.
     """
     b = max(6, int(np.ceil(np.log2(max(1, documents.count() * 600 / PER_COUNT)))))
     shift = 63 - b - 32
@@ -89,9 +95,12 @@ def frequent(documents: DataFrame, k: int, ws: Workspace, max_hot: int) -> tuple
     def deal(batches):
         def send(run):
             keys = np.sort(np.concatenate(run) >> np.uint64(max(0, shift)))
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, counts = keys[first], np.diff(np.append(first, len(keys)))
             cuts = np.searchsorted(keys, np.arange((1 << b) + 1, dtype=np.uint64) << np.uint64(32))
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
-            blobs = [np.diff(keys[cuts[i] : cuts[i + 1]] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for i in some]
+            planes = lambda x: x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            blobs = [planes(np.diff(keys[cuts[i] : cuts[i + 1]] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))) + planes(counts[cuts[i] : cuts[i + 1]]) for i in some]
             return pa.RecordBatch.from_pydict({"deal": pa.array(some, pa.int32()), "run": pa.array(blobs, pa.binary())})
 
         held, n = [], 0
@@ -106,10 +115,12 @@ def frequent(documents: DataFrame, k: int, ws: Workspace, max_hot: int) -> tuple
             yield send(held)
 
     def count(key, table):
-        runs = [np.cumsum(np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32) for x in table.column("run")]
-        values = np.sort(np.concatenate(runs))
+        parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)).view("<u4")[..., 0] for x in table.column("run")]
+        values, counts = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts]), np.concatenate([x[1] for x in parts])
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
         starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        n = np.diff(np.append(starts, len(values)))
+        n = np.add.reduceat(counts.astype(np.int64), starts)
         hot, rare = n >= LEAST_HOT, n[n < LEAST_HOT].astype(np.int64)
         tokens = (np.int64(key[0].as_py()) << 32) | values[starts[hot]].astype(np.int64)
         return pa.table({"token": pa.array(np.append(tokens, [-1, -2]), pa.int64()), "n": pa.array(np.append(n[hot], [rare.sum(), (rare**2).sum()]), pa.int64())})
@@ -243,23 +254,40 @@ def may_link(n: str, pos: str, m: str, qos: str, percent: int):
     return (100 * small >= percent * big) & ((F.col("key") < 0) | (room * (100 + percent) >= percent * (F.col(n) + F.col(m))))
 
 
+def with_first(rows: DataFrame, table: DataFrame, key: str, size: str, ws: Workspace) -> DataFrame:
+    """rows joined with a table that has one row for each key and, in `size`, how many rows have it. Keys of many rows are looked up in a broadcast, so none needs a task of its own."""
+    table = ws.keep(table)
+    heavy = table.where(F.col(size) > HEAVY)
+    n = heavy.limit(MAX_HEAVY + 1).count()
+    if not 0 < n <= MAX_HEAVY:
+        return rows.join(table, key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) <= HEAVY).hint("merge"), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def links(documents: DataFrame, rows: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between classes that join all that belongs together; rows as signed() gives them."""
     known = rows.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     every = rows.where("node is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    postings = every.repartition("key").dropDuplicates(["key", "node"])
+    postings = every.dropDuplicates(["key", "node"])  # dealt by both, so that a list is in many tasks
     first = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("lead")).where("c > 1")
-    lists = ws.keep(postings.join(first, "key").select("key", "node", "n", "pos", "c", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("qos")))
+    lists = ws.keep(with_first(postings, first, "key", "c", ws).select("key", "node", "n", "pos", "c", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("qos")))
     pair = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
     stars = ws.keep(lists.where("node <> lead").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct())
     close = ws.keep(near(stars, known, percent))
     found = verified(close, documents, k, percent, ws)
     part = connected_components(found, ws)
-    left = lists.where("c > 2").select("key", "node", "n", "pos").join(part, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("label")).repartition("key")
-    mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    left = ws.keep(left.join(mixed, "key"))
-    other = left.select("key", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("tag"))
-    rest = left.join(other, "key").where("label < tag").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct()
+    # linked sizes are in one class of the logarithm or in neighbouring ones; the base is a little larger than the ratio, which keeps rounding out
+    size_class = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n")
+    left = lists.where("c > 2").select("key", "node", "n", "pos").join(part, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("label"), size_class.alias("cls"))
+    left = ws.keep(left)
+    mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y").select("key", "c")
+    left = ws.keep(with_first(left, mixed, "key", "c", ws))
+    cells = F.ceil(F.col("c") / SLICE).cast("int")
+    mine = left.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int"))
+    other = left.select("key", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("tag"), F.explode(F.array(*([F.col("cls") - 1, F.col("cls"), F.col("cls") + 1] if percent < 100 else [F.col("cls")]))).alias("cls"), cells.alias("cells"))
+    other = other.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rest = mine.join(other, ["key", "cls", "cell"]).where("label < tag").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct()
     rest = ws.keep(near(rest.join(stars, ["a", "b"], "left_anti"), known, percent))
     ws.drop(lists, left, stars, close)
     return found if rest.isEmpty() else found.unionAll(verified(rest, documents, k, percent, ws))
@@ -268,8 +296,7 @@ def links(documents: DataFrame, rows: DataFrame, k: int, percent: int, ws: Works
 def join(documents: DataFrame, k: int = 3, percent: int = 90, max_hot: int = MAX_HOT, columns: list[str] | None = None) -> DataFrame:
     """The given columns of documents (all but text), n_shingles and component_id, the smallest doc_id that links reach."""
     ws = Workspace(documents.sparkSession, "jaccard")
-    if clash := {"n_shingles", "node", "keys", "sketch", "component_id"} & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    documents = unclash(documents, {"n_shingles", "node", "keys", "sketch", "component_id"})
     columns = [c for c in documents.columns if c != "text"] if columns is None else columns
     texts = documents.select("text")
     hot = frequent(texts, k, ws, max_hot)
@@ -277,8 +304,9 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90, max_hot: int = MAX
     part = connected_components(links(texts, rows, k, percent, ws), ws)
     # the smallest doc_id of each class, then of each component
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_first")).join(part, "node", "left").withColumn("_part", F.coalesce("component", "node"))
-    least = classes.groupBy("_part").agg(F.min("_first").alias("component_id"))
-    named = ws.keep(classes.join(least, "_part").select(F.col("node").alias("_node"), "component_id"))
+    classes = ws.keep(classes)
+    least = classes.groupBy("_part").agg(F.min("_first").alias("component_id"), F.count("*").alias("_members"))
+    named = ws.keep(with_first(classes.select("node", "_part"), least, "_part", "_members", ws).select(F.col("node").alias("_node"), "component_id"))
     out = rows.join(named, F.col("node") == F.col("_node"), "left")
     return out.select(*columns, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
