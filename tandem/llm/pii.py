@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, unclash
 
 #: Kinds in the order in which spans are listed.
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -279,8 +279,7 @@ def train(documents: DataFrame) -> Classifier:
 
 def find(documents: DataFrame, model: Classifier | None = None) -> DataFrame:
     """documents with base_spans and pii_spans, arrays of (kind, start, end) by kind and start."""
-    if clash := {"base_spans", "pii_spans"} & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    documents = unclash(documents, {"base_spans", "pii_spans"})
     shared = documents.sparkSession.sparkContext.broadcast(model or train(documents))
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*documents.schema.fields, T.StructField("base_spans", span), T.StructField("pii_spans", span)])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, unclash
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD, HELD_OUT = 4000, 20_000, 0.3, 2
 STARTS = (3, 4, 5, 6)
@@ -239,8 +239,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """documents with score, predicted and toxic_spans."""
-    if clash := {"score", "predicted", "toxic_spans"} & set(documents.columns):
-        documents = documents.withColumnsRenamed({c: f"{c}_0" for c in clash})
+    documents = unclash(documents, {"score", "predicted", "toxic_spans"})
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", SPANS)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
