@@ -201,3 +201,20 @@ def positions(rows: DataFrame, group: list[str], order: list[str], ws: Workspace
     cells = cells.select("_g", "_part", (before - F.col("_first")).alias("_shift"))
     out = kept.withColumns({"_part": part, "_place": place, "_g": null_safe[0]}).alias("k").join(cells.alias("c"), (F.col("k._part") == F.col("c._part")) & F.col("k._g").eqNullSafe(F.col("c._g")))
     return out.select(*[F.col(f"k.{c}") for c in rows.columns], (F.col("k._place") + F.col("c._shift")).alias("pos")), kept
+
+
+# ---- joins in which a key may have very many rows ----
+
+#: Rows of a key that is looked up in a broadcast, and such keys at most.
+HEAVY, MAX_HEAVY = 256, 500_000
+
+
+def with_first(rows: DataFrame, table: DataFrame, keys: list[str], size: str, ws: Workspace) -> DataFrame:
+    """rows joined with a table that has one row for each key and, in `size`, how many rows have it. Keys of many rows are looked up in a broadcast, so none needs a task of its own."""
+    table = ws.keep(table)
+    heavy = table.where(F.col(size) > HEAVY)
+    n = heavy.limit(MAX_HEAVY + 1).count()
+    if not 0 < n <= MAX_HEAVY:
+        return rows.join(table.hint("merge"), keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table.where(F.col(size) <= HEAVY).hint("merge"), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)

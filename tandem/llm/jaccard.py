@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, read, shingle_sets, unclash
+from .common import HEAVY, MAX_HEAVY, Workspace, mix, read, shingle_sets, unclash, with_first
 from .components import connected_components
 
 MAX_HOT, LEAST_HOT, MAX_LIGHT, CHECK_COST, MAX_NODES = 500_000, 16, 40, 8.0, 2_000_000
-#: Members of one task of a list that is compared, rows of a key that is looked up in a broadcast, and such keys at most.
-SLICE, HEAVY, MAX_HEAVY = 256, 256, 500_000
+#: Members of one task of a list that is compared.
+SLICE = 256
 #: Shingles that are sorted and sent to be counted at once, and that one count is to take.
 RUN, PER_COUNT = 2 << 20, 4 << 20
 
@@ -254,24 +254,20 @@ def may_link(n: str, pos: str, m: str, qos: str, percent: int):
     return (100 * small >= percent * big) & ((F.col("key") < 0) | (room * (100 + percent) >= percent * (F.col(n) + F.col(m))))
 
 
-def with_first(rows: DataFrame, table: DataFrame, key: str, size: str, ws: Workspace) -> DataFrame:
-    """rows joined with a table that has one row for each key and, in `size`, how many rows have it. Keys of many rows are looked up in a broadcast, so none needs a task of its own."""
-    table = ws.keep(table)
-    heavy = table.where(F.col(size) > HEAVY)
-    n = heavy.limit(MAX_HEAVY + 1).count()
-    if not 0 < n <= MAX_HEAVY:
-        return rows.join(table, key)
-    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) <= HEAVY).hint("merge"), key)
-    return rows.join(F.broadcast(heavy), key).unionByName(light)
-
-
 def links(documents: DataFrame, rows: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between classes that join all that belongs together; rows as signed() gives them."""
     known = rows.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     every = rows.where("node is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    postings = every.dropDuplicates(["key", "node"])  # dealt by both, so that a list is in many tasks
-    first = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("lead")).where("c > 1")
-    lists = ws.keep(with_first(postings, first, "key", "c", ws).select("key", "node", "n", "pos", "c", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("qos")))
+    # keys of many postings are counted before anything is dealt by key; theirs are dealt in slices, whose leads are few
+    heavy = ws.keep(every.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("key", F.ceil(F.col("c") / HEAVY).cast("int").alias("slices")).limit(MAX_HEAVY))
+    sliced = every.join(F.broadcast(heavy), "key", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int") + 1, F.lit(0)))
+    postings = sliced.select("node", "n", "pos", "key", "slice").repartition("key", "slice").dropDuplicates(["key", "slice", "node"])
+    first = postings.groupBy("key", "slice").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("lead")).where("c > 1 or slice > 0")
+    parts = ws.keep(postings.join(first, ["key", "slice"]).select("key", "node", "n", "pos", "c", "lead"))
+    whole = parts.join(F.broadcast(heavy.select("key")), "key").groupBy("key").agg(F.count("*").alias("_c"), F.min("lead").alias("_lead"))
+    joined = parts.join(F.broadcast(whole), "key", "left").withColumns({"c": F.coalesce("_c", "c"), "lead": F.coalesce("_lead", "lead")})
+    lists = ws.keep(joined.select("key", "node", "n", "pos", "c", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("qos")))
+    ws.drop(parts)
     pair = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
     stars = ws.keep(lists.where("node <> lead").where(may_link("n", "pos", "m", "qos", percent)).select(*pair).distinct())
     close = ws.keep(near(stars, known, percent))
@@ -282,7 +278,7 @@ def links(documents: DataFrame, rows: DataFrame, k: int, percent: int, ws: Works
     left = lists.where("c > 2").select("key", "node", "n", "pos").join(part, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("label"), size_class.alias("cls"))
     left = ws.keep(left)
     mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y").select("key", "c")
-    left = ws.keep(with_first(left, mixed, "key", "c", ws))
+    left = ws.keep(with_first(left, mixed, ["key"], "c", ws))
     cells = F.ceil(F.col("c") / SLICE).cast("int")
     mine = left.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int"))
     other = left.select("key", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("tag"), F.explode(F.array(*([F.col("cls") - 1, F.col("cls"), F.col("cls") + 1] if percent < 100 else [F.col("cls")]))).alias("cls"), cells.alias("cells"))
@@ -306,7 +302,7 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90, max_hot: int = MAX
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_first")).join(part, "node", "left").withColumn("_part", F.coalesce("component", "node"))
     classes = ws.keep(classes)
     least = classes.groupBy("_part").agg(F.min("_first").alias("component_id"), F.count("*").alias("_members"))
-    named = ws.keep(with_first(classes.select("node", "_part"), least, "_part", "_members", ws).select(F.col("node").alias("_node"), "component_id"))
+    named = ws.keep(with_first(classes.select("node", "_part"), least, ["_part"], "_members", ws).select(F.col("node").alias("_node"), "component_id"))
     out = rows.join(named, F.col("node") == F.col("_node"), "left")
     return out.select(*columns, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

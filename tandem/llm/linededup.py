@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, read, unclash
+from .common import WORD, Workspace, read, unclash, with_first
 from .divergence import let
 
 WORDS = 50
@@ -58,11 +58,11 @@ def repeated_runs(documents: DataFrame, words: int, ws: Workspace) -> tuple[Data
     lines = ws.keep(lines)
     sizes = lines.groupBy("doc_id", "tk").agg(F.count("*").alias("n_lines"))
     prints = ws.keep(fingerprints(lines, words))
-    shared = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    windows = ws.keep(prints.join(shared.hint("merge"), "h", "left_semi").select("doc_id", "tk", F.explode("windows").alias("w")).select("doc_id", "tk", "w.*"))
+    shared = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    windows = ws.keep(with_first(prints, shared, ["h"], "n", ws).select("doc_id", "tk", F.explode("windows").alias("w")).select("doc_id", "tk", "w.*"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk", "a")
-    first = windows.groupBy("r", "q").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").drop("copies")
-    later = windows.join(first.hint("merge"), ["r", "q"]).where(place != F.col("first")).select("doc_id", "tk", "a", "b")
+    first = windows.groupBy("r", "q").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1")
+    later = with_first(windows, first, ["r", "q"], "copies", ws).where(place != F.col("first")).select("doc_id", "tk", "a", "b")
     # overlapping windows of a document become one range
     order = Window.partitionBy("doc_id", "tk").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
