@@ -39,7 +39,8 @@ def table_signature(index: Column, signature: Column) -> Column:
     return short_hash(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["i"].cast("string"), r["s"])), ROW))
 
 
-def project_signature(files: dict[str, str], input_mode: str, start_markers: str, inline_markup: str, comparison_mode: str) -> Column:
-    """Of a selection; the two JSON texts as they are stored, inline_markup without a false noteref."""
+def project_signature(files: dict[str, str | Column], input_mode: str, start_markers: str, inline_markup: str, comparison_mode: str) -> Column:
+    """Of a selection; files by role, a path or a column of paths; the two JSON texts as they are stored, inline_markup without a false noteref."""
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
     parts = [files.get(r, "") for r in ("jp", "cn", "tw")] + (["bilingual"] if comparison_mode == "bilingual" else [])
-    return short_hash(F.lit(FIELD.join([*parts, input_mode, start_markers, inline_markup])))
+    return short_hash(F.concat_ws(FIELD, *map(column, [*parts, input_mode, start_markers, inline_markup])))

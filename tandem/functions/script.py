@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: Traditional and simplified characters that differ, in the same order.
-TRADITIONAL = "話間後記這個們來時會說對為國學長開關門書車馬鳥魚見語讀錄圖張點體電"
-SIMPLIFIED = "话间后记这个们来时会说对为国学长开关门书车马鸟鱼见语读录图张点体电"
+#: Traditional and simplified characters that differ, in the same order. A whole dictionary is given as a table.
+TRADITIONAL = "話間後記這個們來時會說對為國學長開關門書車馬鳥魚見語讀錄圖張點體電東業義習鄉買亂爭亞產親億僅從倉儀價眾優傘偉傳傷倫偽兒兩岡冊農決況凍淨減幾鳳憑擊劃劉則剛創劇勞勢勵勸區醫華協單賣盧衛卻廠廳歷壓縣參雙發變葉號嘆嗎啟員響園圍圓聖場壞塊堅壇墳夢夠頭奪奮獎婦媽孫寧寶實審憲宮寬賓將尋導壽專層屬歲島嶺幣師帳帶幫廣慶庫應廟廢異棄彈強歸當彥徑復懷態憐總戀恆惡惱悅懸驚懼慘慣願戰戲戶"
+SIMPLIFIED = "话间后记这个们来时会说对为国学长开关门书车马鸟鱼见语读录图张点体电东业义习乡买乱争亚产亲亿仅从仓仪价众优伞伟传伤伦伪儿两冈册农决况冻净减几凤凭击划刘则刚创剧劳势励劝区医华协单卖卢卫却厂厅历压县参双发变叶号叹吗启员响园围圆圣场坏块坚坛坟梦够头夺奋奖妇妈孙宁宝实审宪宫宽宾将寻导寿专层属岁岛岭币师帐带帮广庆库应庙废异弃弹强归当彦径复怀态怜总恋恒恶恼悦悬惊惧惨惯愿战戏户"
 MAX_PHRASES = 200_000
 
 

@@ -16,6 +16,7 @@ BLANKS = "\t\n\x0b\x0c\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x20
 ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 #: What the script-aware normaliser deletes beside white space.
 CJK_DROPPED = r"「」『』“”‘’（）()【】《》〈〉—\-─…、，。！？：；,.!?;:0-9a-z"
+#: What may end a sentence.
 SENTENCE_MARKS = r"[。．.!！？?」』”’）)]"
 
 _NUMBER = "[一二三四五六七八九十0-9０-９]+"
@@ -25,16 +26,17 @@ HEADINGS = {
     "cn": rf"^(序\s*章(?:\s+.*)?|行间\s*{_NUMBER}|第{_NUMBER}(?:章|话)(?:\s+.*)?|终章(?:\s+.*)?)\s*$",
     "jp": rf"^(序\s*章(?:\s+.*)?|行間\s*{_NUMBER}|第{_NUMBER}(?:章|話)(?:\s+.*)?|終章(?:\s+.*)?)\s*$",
 }
-MEDIA = r"(?i)^(?:\[\s*(?:图片|圖片|图像|圖像|插图|插圖|image|img|p\d{1,5})?\s*\]\s*)+$"
+#: A picture's placeholder, and lines that only part sections. No group repeats, as repeated groups are matched by recursion.
+MEDIA = rf"(?i)\[[{WS}]*+(?:(?:图片|圖片|图像|圖像|插图|插圖|image|img|p\d{{1,5}}+)[{WS}]*+)?\]"
 SEPARATOR = rf"^[\-─－—＊*☆★{WS}]+$"
 #: Blocks before the body.
 FRONT_MATTER = [
     r"(?i)^(contents|目錄|目录|ＣＯＮＴＥＮＴＳ|navigation)$",
     r"(?i)^(制作信息|製作信息|网翻|翻译|翻譯|校对|校對|美工|录入|錄入|简介|簡介)(?:\s|：|:|$)",
-    r"(?i)^(暗部共生少女|某暗部的少女共栖|とある暗部の少女共棲)\s*\d*$",
-    r"^(鎌池和馬|镰池和马|鎌池和馬かまちかずま)$",
     r"(?i)本電子書籍|本电子书籍|リーディングシステム|再ダウンロード|ePub3|Reasily|图书观看|內容由|内容由|试看学习交流|商業用途|商业用途|转载时请保留|如有任何问题请联系|汉化组|漢化組",
 ]
+#: Titles and authors that stand alone before the body; of other books other ones are given.
+SERIES = [r"(?i)^(暗部共生少女|某暗部的少女共栖|とある暗部の少女共棲)\s*\d*$", r"^(鎌池和馬|镰池和马|鎌池和馬かまちかずま)$"]
 SYNOPSIS = r"(?i)^(简介|簡介)(?:\s|：|:|$)"
 
 
@@ -156,13 +158,15 @@ def heading(line: Column, lang: Column) -> Column:
 
 
 def is_media(block: Column) -> Column:
-    return strip(block).rlike(MEDIA)
+    """Whether a block holds placeholders of pictures and nothing else."""
+    t = strip(block)
+    return (t != "") & (strip(F.regexp_replace(t, MEDIA, "")) == "")
 
 
-def is_front_matter(block: Column, lang: Column) -> Column:
+def is_front_matter(block: Column, lang: Column, series: list[str] = SERIES) -> Column:
     t = collapse(block)
     out = (t == "") | is_media(t) | (heading(t, lang) != "")
-    for pattern in FRONT_MATTER:
+    for pattern in [*FRONT_MATTER, *series]:
         out = out | t.rlike(pattern)
     return out
 
@@ -234,8 +238,14 @@ def preview(c, most: int = 1200) -> Column:
 
 
 def display_url(c) -> Column:
-    """Without credentials, query and fragment."""
-    return F.regexp_replace(F.regexp_replace(text_of(c), r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.\-]*://)[^/@]*@", "$1")
+    """Without credentials, query and fragment. Of a web address scheme and host are in lower case, the scheme's own port goes and an empty path is a slash."""
+    t = strip(c)
+    plain = F.regexp_extract(text_of(c), r"(?s)^([^?#]*)", 1)
+    head = r"(?s)^([A-Za-z]+):[/\\]+(?:[^/\\?#@]*@)?([^/\\?#:@]+)(?::(\d*))?([^?#]*)"
+    scheme, host, port, path = F.lower(F.regexp_extract(t, head, 1)), F.lower(F.regexp_extract(t, head, 2)), F.regexp_extract(t, head, 3), F.replace(F.regexp_extract(t, head, 4), F.lit("\\"), F.lit("/"))
+    own = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    web = scheme.isin("http", "https") & (host != "")
+    return F.when(web, F.concat(scheme, F.lit("://"), host, F.when(own, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path))).otherwise(plain)
 
 
 def api_url(base: Column, endpoint: str) -> Column:
@@ -252,6 +262,20 @@ def progress(line: Column, prefix: str, low: float = 0.0, high: float = 100.0) -
     return F.when(data["percent"].isNotNull(), F.struct(mapped.alias("percent"), data["label"].alias("label"), data["current"].alias("current"), data["total"].alias("total")))
 
 
+def line_rows(chunks, keys: list[str], order: str, text: str = "text"):
+    """Lines of streams that come in pieces (keys, order, text): keys, line_no from 0, line. A line may be spread over pieces; the last one needs no end."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text_of(text).alias("t")))), lambda x: x["t"])
+    whole = chunks.groupBy(*keys).agg(F.regexp_replace(F.array_join(rows, ""), r"\r\n?", "\n").alias("_whole"))
+    lines = F.split(F.regexp_replace("_whole", r"\n$", ""), "\n", -1)
+    return whole.where("_whole <> ''").select(*keys, F.posexplode(lines).alias("line_no", "line"))
+
+
+def expand_path(c, home: str) -> Column:
+    """A path as it is given: quotes and blanks around it go, a leading ~ is the home folder."""
+    t = F.regexp_replace(strip(c), r"^[\x22'](.*)[\x22']$", "$1")
+    return F.when((t == "~") | t.startswith("~/") | t.startswith("~\\"), F.concat(F.lit(home), F.substr(t, F.lit(2)))).otherwise(t)
+
+
 def safe_filename(c) -> Column:
     base = F.regexp_extract(text_of(c), r"([^/\\]*)$", 1)
     return F.regexp_replace(base, r'[<>:"|?*\x00-\x1F]', "_")

@@ -66,13 +66,14 @@ def sides(rows: DataFrame, mode: str = "trilingual") -> DataFrame:
     return rows.withColumns({"source": F.col("jp"), "left": F.col(left), "right": F.col(right)})
 
 
-def pending(rows: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:
+def pending(rows: DataFrame, done: DataFrame, key: str | list[str] = "index") -> DataFrame:
     """Rows that are not done yet."""
-    return rows.join(done.select(key).distinct(), key, "left_anti")
+    by = [key] if isinstance(key, str) else list(key)
+    return rows.join(done.select(*by).distinct(), by, "left_anti")
 
 
-def results(classified: DataFrame, labels: dict[str, str] | None = None, mode: str = "trilingual") -> DataFrame:
-    """Result events (index, signature, status, done, note) of the rows that the pre-screening decided."""
+def results(classified: DataFrame, labels: dict[str, str] | None = None, mode: str = "trilingual", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Result events (keys, index, signature, status, done, note) of the rows that the pre-screening decided."""
     labels = labels or {}
     a = labels.get("jp") or "原文 A"
     left = a if mode == "bilingual" else labels.get("cn") or "非原文 B"
@@ -88,7 +89,7 @@ def results(classified: DataFrame, labels: dict[str, str] | None = None, mode: s
         F.concat(F.lit("分析："), analysis, F.when(T.text_of("source") != "", f" 参照列：{a}。").otherwise("")),
     )
     status = F.when(conflict, "rule-conflict").when(similar, "similarity-prefilter").otherwise("rule-prefilter")
-    return classified.where("kind is not null").select("index", "signature", status.alias("status"), (~conflict).alias("done"), note.alias("note"))
+    return classified.where("kind is not null").select(*keys, "index", "signature", status.alias("status"), (~conflict).alias("done"), note.alias("note"))
 
 
 def counters(log: DataFrame, *by: str) -> DataFrame:

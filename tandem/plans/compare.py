@@ -83,15 +83,40 @@ def signatures(signed: DataFrame, keys: list[str]) -> DataFrame:
     return signed.groupBy(*keys).agg(hashing.table_signature(F.col("index"), F.col("signature")).alias("rows_signature"), F.count("*").alias("row_count"))
 
 
-def build(docs: DataFrame, keys: list[str], staging: str, mode: str = "trilingual", input_mode: str = "document", markers: dict | None = None, load=lambda: hashed_ngrams) -> DataFrame:
+def pivot_of(mode: str = "trilingual", stored: DataFrame | None = None) -> str:
+    """The version that the source is aligned with: B of two, else what a stored alignment (pivot) says, C where it says nothing."""
+    if mode == "bilingual":
+        return "cn"
+    row = stored.select("pivot").first() if stored is not None else None
+    return (row.pivot if row else None) or "tw"
+
+
+def alignment(paragraphs: DataFrame, keys: list[str], pivot: str = "cn", load=lambda: hashed_ngrams, keep=None) -> DataFrame:
+    """The alignment of the source with its pivot as it is stored, a row for each key: pivot, window, counts, mapping (index, pivot_index, score) and groups (start, end, pivot_start, pivot_end, score)."""
+    keep = keep or kept_in(paragraphs.sparkSession)
+    vectors = keep(embed(paragraphs.where(F.col("lang").isin("jp", pivot)), load))
+    of = lambda lang: vectors.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), "vector")
+    listed = lambda df, name, *c: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*c))).alias(name))
+    mapping = listed(align.point_mapping(of("jp"), of(pivot), keys), "mapping", F.col("left_index").alias("index"), F.col("right_index").alias("pivot_index"), "score")
+    found = align.align_vectors(of("jp"), of(pivot), keys)
+    groups = listed(found, "groups", F.col("left_start").alias("start"), F.col("left_end").alias("end"), F.col("right_start").alias("pivot_start"), F.col("right_end").alias("pivot_end"), "score")
+    counts = vectors.groupBy(*keys).agg(F.count_if(F.col("lang") == "jp").alias("source_count"), F.count_if(F.col("lang") == pivot).alias("pivot_count"))
+    fixed = [F.lit(pivot).alias("pivot"), F.lit(align.VECTOR_WINDOW).alias("search_window")]
+    return counts.join(mapping, keys, "left").join(groups, keys, "left").select(*keys, *fixed, "source_count", "pivot_count", "mapping", "groups")
+
+
+def build(docs: DataFrame, keys: list[str], staging: str, mode: str = "trilingual", input_mode: str = "document", markers: dict | None = None, load=lambda: hashed_ngrams, about: dict | None = None) -> DataFrame:
     """Writes the artifacts of docs (keys, lang, text) to a staging folder, each stage read back from what the one before wrote; returns the rows."""
     spark = docs.sparkSession
     segment.load_paragraphs(docs, keys, mode, input_mode, markers).write.parquet(f"{staging}/paragraphs")
     paragraphs = spark.read.parquet(f"{staging}/paragraphs")
+    alignment(paragraphs, keys, "cn", load).write.parquet(f"{staging}/alignment")
     compare(paragraphs, keys, mode, load=load).write.parquet(f"{staging}/rows")
     found = spark.read.parquet(f"{staging}/rows")
-    signatures(found, keys).write.parquet(f"{staging}/alignment")
     sinks.write_csv(found, f"{staging}/csv", mode)
+    counts = {r.lang: r["count"] for r in paragraphs.groupBy("lang").count().collect()}
+    signed = signatures(found, keys).limit(2).collect()  # a document is of one project; several have no signature in common
+    sinks.write_document(found, f"{staging}/json", {"counts": {x: counts.get(x, 0) for x in ("jp", "cn", "tw")}, "rowsSignature": signed[0].rows_signature if len(signed) == 1 else None, **(about or {})})
     shown = browse.client_rows(found, F.col("signature"))
     sinks.json_rows(shown).select("index", sinks.script_safe(F.col("json")).alias("json")).write.json(f"{staging}/html")
     sinks.replace_pairs(found.select("index", F.col("cn").alias("search"), F.col("cn").alias("replace")).where("false")).write.json(f"{staging}/replace_list")
@@ -100,5 +125,5 @@ def build(docs: DataFrame, keys: list[str], staging: str, mode: str = "trilingua
 
 def progress(done: DataFrame, total: int, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Rows of a finished count as progress events mapped to a range."""
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at"))
+    n = F.row_number().over(Window.orderBy("at"))  # a run reports some hundred times at most
     return done.select("at", n.alias("current"), F.lit(total).alias("total"), (F.floor((low + (high - low) * n / max(1, total)) * 10 + 0.5) / 10).alias("percent"))

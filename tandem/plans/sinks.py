@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,10 +30,17 @@ def csv_header(mode: str = "trilingual") -> str:
     return ",".join(CSV_COLUMNS[mode])
 
 
+def in_order(head: list[str], rows: DataFrame, tail: list[str] = ()) -> DataFrame:
+    """(value) of single lines, of rows (index, line) in order of index, and of lines after them, so that the written parts one after the other are one file."""
+    spark = rows.sparkSession
+    fixed = lambda at, lines: spark.createDataFrame([(at, n, x) for n, x in enumerate(lines)], "_at int, index long, line string")
+    every = fixed(0, head).unionByName(rows.select(F.lit(1).alias("_at"), F.col("index").cast("long").alias("index"), "line")).unionByName(fixed(2, tail))
+    return every.repartitionByRange("_at", "index").sortWithinPartitions("_at", "index").select(F.col("line").alias("value"))
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "trilingual") -> None:
-    """Parts in order of index, each with the header; values may hold line breaks, so the parts are written as CSV."""
-    out = rows.select(*[F.col(NAMES.get(c, c)).cast("string").alias(c) for c in CSV_COLUMNS[mode]], F.col("index").alias("_i"))
-    out.repartitionByRange("_i").sortWithinPartitions("_i").drop("_i").write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").mode("overwrite").csv(path)
+    """Parts in order of index that are one file together: the header once and without quotes, then every value in quotes. A value's line breaks stay."""
+    in_order([csv_header(mode)], csv_lines(rows, mode)).write.mode("overwrite").text(path)
 
 
 def json_rows(rows: DataFrame) -> DataFrame:
@@ -44,6 +52,18 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").json(path)
 
 
+#: What a result document says before its rows.
+DOCUMENT = ("project", "files", "labels", "counts", "rowsSignature")
+
+
+def write_document(rows: DataFrame, path: str, about: dict) -> None:
+    """One JSON document, {project, files, labels, counts, rowsSignature, rows}, as parts that make it one after the other. about holds all but the rows, which never meet on the driver."""
+    head = json.dumps({k: about.get(k) for k in DOCUMENT}, ensure_ascii=False)[:-1] + ', "rows": ['
+    first = rows.agg(F.min("index")).first()[0]
+    lines = json_rows(rows).select("index", F.concat(F.when(F.col("index") == F.lit(first), "").otherwise(","), "json").alias("line"))
+    in_order([head], lines, ["]}"]).write.mode("overwrite").text(path)
+
+
 def script_safe(json: Column) -> Column:
     """JSON for a script element of a page."""
     return F.replace(json, F.lit("<"), F.lit(chr(92) + "u003c"))

@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import decisions, hashing, script
+from .functions import hashing
 from .functions import text as T
 from .operators import align, browse, context, diff, notes, prefilter, rows, segment
 from .plans import compare, sinks, store
+from .registry import GRAMS, JACCARD, PAIRS, QUERIES, SQL, STRUCTURED, TOKENS, canon, pairs, query, simil, table
 from .sources import epub, markup
 from .streaming import results
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents 2n beside 2n + 1 as two versions: pair, lang, left, right."""
-    d = table(spark, sf_dir, "documents").withColumn("pair", F.floor(F.col("doc_id") / 2))
-    even = d.where("doc_id % 2 = 0").select("pair", "lang", F.col("text").alias("left"))
-    return even.join(d.where("doc_id % 2 = 1").select("pair", F.col("text").alias("right")), "pair")
-
-
-PAIRS = "p as (select a.doc_id // 2 as pair, a.lang, a.text as l, b.text as r from documents a join documents b on b.doc_id = a.doc_id + 1 and a.doc_id % 2 = 0)"
-_CANON = r"lower(regexp_replace(regexp_replace({0}, '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '[\t\n\x0B\f\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', '', 'g'))"
-_SIM = r"regexp_replace({0}, '[\p{{P}}\p{{S}}]', '', 'g')"
-
-
-def canon(c: str) -> str:
-    return _CANON.format(c)
-
-
-def simil(c: str) -> str:
-    return _SIM.format(c)
-
-
-GRAMS = "case when len({0}) < 2 then list_distinct(string_split({0}, '')) else list_distinct([{0}[i : i + 1] for i in range(1, len({0}))]) end"
-JACCARD = "case when len(ga) = 0 and len(gb) = 0 then 1.0 when len(ga) = 0 or len(gb) = 0 then 0.0 else len(list_intersect(ga, gb))::double / (len(ga) + len(gb) - len(list_intersect(ga, gb))) end"
-STRUCTURED = r"(len({0}) between 1 and 32 and ((regexp_matches({0}, '\p{{N}}') and regexp_matches({0}, '^[\p{{N}}\p{{P}}\p{{S}}]+$')) or (regexp_matches({0}, '[a-z0-9]') and regexp_matches({0}, '^[a-z0-9._:/#%+\-]+$'))))"
-TOKENS = r"regexp_extract_all({0}, '([a-z]+|\p{{N}}+)')"
-
+__all__ = ["QUERIES", "SQL"]
 
 # ---- text functions ----
 
@@ -121,22 +80,37 @@ def clamped_settings(spark, sf_dir):
     return e.select("event_id", T.percent_ratio(F.col("value").cast("string")).alias("ratio"), T.clamp_integer("value", 1, 12, 3).alias("workers"))
 
 
-@query(r"select page_id, regexp_replace(url, '[?#].*$', '') as shown, regexp_replace(url, '/+$', '') || '/models' as endpoint from pages")
+@query(r"""with u as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host, regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:@]+(?::(\d*))?', 1) as port,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from pages)
+select page_id, case when scheme in ('http', 'https') and host <> '' then scheme || '://' || host || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end || case when path = '' then '/' else path end
+  else regexp_replace(url, '[?#].*$', '') end as shown, regexp_replace(url, '/+$', '') || '/models' as endpoint from u""")
 def request_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.display_url("url").alias("shown"), T.api_url(F.col("url"), "/models").alias("endpoint"))
 
 
 # ---- pre-screening ----
 
-_CLASSIFY = f"""{PAIRS}, c as (select pair, lang, {canon('l')} as a, {canon('r')} as b from p), s as (select *, {simil('a')} as x, {simil('b')} as y, {STRUCTURED.format('a')} as sa, {STRUCTURED.format('b')} as sb from c),
+_WIDE = "translate({0}, '0123456789', '０１２３４５６７８９')"
+#: Each document beside a variant of itself, of ten kinds by doc_id: (source, left, right) in SQL that Spark and the oracle read alike.
+VARIANTS = [
+    ("''", "text", "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"), ("''", "text", "replace(text, ' ', '  ')"), ("''", "text", "replace(text, ',', ';')"), ("''", "text", "translate(text, 'éêèöäüñó', 'èéêöäüóñ')"), ("''", "concat(text, ' 7')", "concat(text, ' 8')"),
+    ("''", "cast(doc_id as varchar(20))", "cast(doc_id + 1 as varchar(20))"), ("cast(doc_id + 1 as varchar(20))", "cast(doc_id as varchar(20))", "cast(doc_id as varchar(20))"), ("text", "''", "' '"),
+    ("''", "cast(doc_id as varchar(20))", _WIDE.format("cast(doc_id as varchar(20))")), ("text", "text", "translate(text, 'éêèöäüñó', 'zzzzzzzz')"),
+]
+_PICK = lambda part: "case doc_id % 10 " + " ".join(f"when {n} then {v[part]}" for n, v in enumerate(VARIANTS)) + " end"
+_NARROW = "translate({0}, '０１２３４５６７８９', '0123456789')"
+_CLASSIFY = f"""p as (select doc_id as pair, lang, {_PICK(0)} as s, {_PICK(1)} as l, {_PICK(2)} as r from documents), c as (select pair, lang, s <> '' as has_source, {canon(_NARROW.format('s'))} as o, {canon(_NARROW.format('l'))} as a, {canon(_NARROW.format('r'))} as b from p),
+s as (select *, {simil('a')} as x, {simil('b')} as y, {STRUCTURED.format('o')} as so, {STRUCTURED.format('a')} as sa, {STRUCTURED.format('b')} as sb from c),
 g as (select *, {GRAMS.format('x')} as ga, {GRAMS.format('y')} as gb from s),
-k as (select pair, lang, case when a = '' and b = '' then 'rule-empty' when a <> '' and a = b then 'rule-equivalent' when (sa or a = '') and (sb or b = '') then 'structured-conflict'
-  when not sa and not sb and least(len(x), len(y)) >= 8 and least(len(x), len(y))::double / greatest(len(x), len(y)) >= 0.9 and {TOKENS.format('a')} = {TOKENS.format('b')} and {JACCARD} >= 0.92 then 'similarity' end as kind, {JACCARD} as j from g)"""
+h as (select *, case when a = '' and b = '' then 'rule-empty' when a <> '' and a = b and so and sa and o <> a then 'structured-differs' when a <> '' and a = b then 'rule-equivalent' when (sa or a = '') and (sb or b = '') then 'structured-conflict'
+  when not sa and not sb and least(len(x), len(y)) >= 8 and least(len(x), len(y))::double / greatest(len(x), len(y)) >= 0.9 and {TOKENS.format('a')} = {TOKENS.format('b')} and {JACCARD} >= 0.92 then 'similarity' end as step, {JACCARD} as j from g),
+k as (select *, case when step = 'structured-differs' then 'structured-conflict' else step end as kind from h)"""
 
 
 def classified(spark, sf_dir):
-    p = pairs(spark, sf_dir).select("pair", "lang", F.lit("").alias("source"), "left", "right", F.lit(0.0).alias("score"))
-    return prefilter.classify(p)
+    d = table(spark, sf_dir, "documents")
+    v = d.select(F.col("doc_id").alias("pair"), "lang", F.expr(_PICK(0)).alias("source"), F.expr(_PICK(1)).alias("left"), F.expr(_PICK(2)).alias("right"), F.lit(0.0).alias("score"))
+    return prefilter.classify(v)
 
 
 @query(f"with {_CLASSIFY} select pair, kind, round(case when kind = 'similarity' then j end, 6) as similarity from k")
@@ -149,11 +123,15 @@ def prefilter_counts(spark, sf_dir):
     return classified(spark, sf_dir).groupBy("lang", F.coalesce("kind", F.lit("model")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+_REASON = " ".join(f"when '{k}' then '{v}'" for k, v in prefilter.REASONS.items())
+
+
 @query(f"""with {_CLASSIFY} select pair as index, case kind when 'structured-conflict' then 'rule-conflict' when 'similarity' then 'similarity-prefilter' else 'rule-prefilter' end as status, kind <> 'structured-conflict' as done,
-  case when kind = 'similarity' then '[相似度预筛]' else '[规则预筛]' end as marker from k where kind is not null""")
+  case when kind = 'similarity' then '[相似度预筛]' else '[规则预筛]' end || chr(10) || '语义是否相同：' || case when kind = 'structured-conflict' then '待人工确认' else '相同' end || chr(10) || '是否需要修改：' || case when kind = 'structured-conflict' then '待人工确认' else '否' end || chr(10)
+  || '分析：' || case when kind = 'similarity' then '非原文 B 与 非原文 C 的受保护正文相似度为 ' || floor(j * 100 + 0.5)::int::varchar || '%。' else case step {_REASON} end end || case when has_source then ' 参照列：原文 A。' else '' end as note from k where kind is not null""")
 def prefilter_results(spark, sf_dir):
-    c = classified(spark, sf_dir).withColumns({"index": F.col("pair"), "signature": F.lit(""), "jp": F.lit("")}).withColumn("source", F.lit(""))
-    return prefilter.results(c).select("index", "status", "done", F.split_part("note", F.lit("\n"), F.lit(1)).alias("marker"))
+    c = classified(spark, sf_dir).withColumns({"index": F.col("pair"), "signature": F.lit("")})
+    return prefilter.results(c).select("index", "status", "done", "note")
 
 
 @query("select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
@@ -197,24 +175,16 @@ def paragraph_counts(spark, sf_dir):
     return paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
 
 
-@query("""select conv_id, turn, md5(last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row)) as chapter from conversations""")
+@query(r"""with t as (select conv_id, turn, trim(regexp_replace(case when role = 'user' then '第' || (turn + 1)::varchar || '章 ' || replace(text, chr(10), ' ') else replace(text, chr(10), ' ') end, '\s+', ' ', 'g')) as x, role = 'user' as title from conversations),
+f as (select *, last_value(case when title then x end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as chapter from t)
+select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::bigint as source_index, md5(coalesce(chapter, '正文')) as chapter, md5(x) as text from f where not title and x <> ''""")
 def chapter_forward_fill(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)).alias("chapter"))
-
-
-@query()
-def body_slices(spark, sf_dir):
-    """Pages' texts cut to their bodies."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.lit("cn").alias("lang"), markup.html_text(F.col("html")).alias("text"))
-    out = segment.slice_for_input(p, ["page_id"])
-    return out.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("text"))
-
-
-@query()
-def page_texts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
-    return p.select("page_id", F.length("text").alias("chars"), F.size(T.meaningful_blocks("text")).alias("blocks"), F.md5("text").alias("text"))
+    """Conversations as texts: what users say is a heading, and the chapter of what follows."""
+    said = F.regexp_replace("text", "\n", " ")
+    block = F.when(F.col("role") == "user", F.concat(F.lit("第"), (F.col("turn") + 1).cast("string"), F.lit("章 "), said)).otherwise(said)
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", block.alias("b")).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "b"))), lambda x: x["b"]), "\n\n").alias("text"))
+    p = segment.paragraphs(docs.withColumn("lang", F.lit("cn")), ["conv_id"])
+    return p.select("conv_id", F.col("source_index").cast("long").alias("source_index"), F.md5("chapter").alias("chapter"), F.md5("text").alias("text"))
 
 
 @query(r"select page_id, len(regexp_extract_all(html, '(?i)<\s*a\b'))::bigint as links, len(regexp_extract_all(html, '(?i)<\s*img\b|<\s*image\b'))::bigint as images, regexp_matches(html, '(?i)<\s*nav\b') as has_nav from pages")
@@ -223,15 +193,6 @@ def page_markup(spark, sf_dir):
     return p.select("page_id", markup.link_count(F.col("html")).cast("long").alias("links"), markup.image_count(F.col("html")).cast("long").alias("images"), F.col("html").rlike(epub.NAV_MARK).alias("has_nav"))
 
 
-@query()
-def spine_features(spark, sf_dir):
-    """Pages as spine documents of books of twenty."""
-    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 20).alias("book"), F.col("page_id").alias("spine"), "html", F.array(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("labels")).withColumn("text", markup.html_text(F.col("html")))
-    f = epub.document_features(p)
-    body = epub.select_body(f, ["book"]).select("book", "spine", F.lit(True).alias("kept"))
-    return f.join(body, ["book", "spine"], "left").select("book", "spine", "length", "dense_blocks", "sentence_marks", "link_count", "body_score", "non_body_score", "is_structural", F.coalesce("kept", F.lit(False)).alias("kept"))
-
-
 # ---- joins by interval and band, alignment ----
 
 _SPANS = "i as (select l_suppkey as k, l_partkey as s, l_partkey + l_quantity::bigint as e, l_returnflag as f, l_orderkey, l_linenumber from lineitem)"
@@ -283,37 +244,6 @@ def mutual_best_vectors(spark, sf_dir):
     return align.mutual_best(p, ["label"]).select("label", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "score")
 
 
-@query()
-def vector_anchors(spark, sf_dir):
-    return align.increasing(mutual_best_vectors(spark, sf_dir), ["label"])
-
-
-@query()
-def vector_groups(spark, sf_dir):
-    return align.align_vectors(vectors(spark, sf_dir, 0), vectors(spark, sf_dir, 1), ["label"])
-
-
-@query()
-def vector_mapping(spark, sf_dir):
-    return align.point_mapping(vectors(spark, sf_dir, 0), vectors(spark, sf_dir, 1), ["label"])
-
-
-def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Lines of documents 2n and 2n + 1 as two versions of one text."""
-    p = paragraphs(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"), F.col("source_index").alias("idx"), "text")
-    return p.where("side = 0").drop("side"), p.where("side = 1").drop("side")
-
-
-@query()
-def version_anchors(spark, sf_dir):
-    return align.local_anchors(*versions(spark, sf_dir), ["pair"], align.generic)
-
-
-@query()
-def version_groups(spark, sf_dir):
-    return align.align_versions(*versions(spark, sf_dir), ["pair"], normal=align.generic)
-
-
 @query()
 def comparison_rows(spark, sf_dir):
     """Documents 3n, 3n + 1 and 3n + 2 as source and two versions, through the whole plan."""
@@ -358,14 +288,41 @@ def revision_navigation(spark, sf_dir):
     return browse.neighbours(c, F.col("role") == "assistant", ["conv_id"]).select("conv_id", "index", "prev_index", "next_index")
 
 
-@query()
-def browse_states(spark, sf_dir):
-    """Pre-screening notes merged into an empty set of notes, then counted by what the filters ask."""
+_STATES = f"""{_CLASSIFY}, st as (select *, case when kind is null then 'none' when kind = 'structured-conflict' then 'unclear' else 'same' end as ai_state, case when kind is null then '' when kind = 'similarity' then 'similarity' else 'rule' end as prefilter_kind,
+  case when kind is null then 'AI未跑' when kind = 'structured-conflict' then '规则冲突' when kind = 'similarity' then '相似跳过' else '规则通过' end as badge, pair % 3 = 0 and kind is not null as confirmed, 0.05::double * (pair * 7 % 10) as score from k)"""
+
+
+def noted(spark, sf_dir):
+    """Rows with the notes of their pre-screening, every third one confirmed by hand."""
     c = classified(spark, sf_dir).withColumns({"index": F.col("pair"), "signature": F.lit("")})
     ev = prefilter.results(c).select(F.col("index").cast("string").alias("id"), F.col("note").alias("new_note"), F.lit(True).alias("new_ai_done"), F.lit("").alias("new_target"))
     empty = spark.createDataFrame([], "id string, note string, manual_note string, done boolean, manual_done boolean, ai_done boolean, revision_text string, revision_target string")
-    j = browse.with_notes(c.select("index", "lang"), notes.upsert(empty, ev))
-    return j.groupBy("lang", "ai_state", "issue_state", "prefilter_kind", "badge").agg(F.count("*").alias("n"))
+    stored = notes.upsert(empty, ev)
+    stored = notes.confirm(stored, stored.where("cast(id as long) % 3 = 0").select("id"))
+    rows_ = c.select("index", "lang", F.lit("c").alias("chapter"), F.lit("1:1").alias("relation"), F.col("source").alias("jp"), F.col("left").alias("cn"), F.col("right").alias("tw"), F.lit("").alias("tw_cn"), (F.col("index") * 7 % 10 * 0.05).alias("score"))
+    return browse.with_notes(rows_, stored)
+
+
+@query(f"with {_STATES} select lang, ai_state, 'unrated' as issue_state, prefilter_kind, badge, count(*) as n from st group by all")
+def browse_states(spark, sf_dir):
+    """Pre-screening notes merged into an empty set of notes, then counted by what the filters ask."""
+    return noted(spark, sf_dir).groupBy("lang", "ai_state", "issue_state", "prefilter_kind", "badge").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_STATES} select pair as index from st join p using (pair) where ai_state = 'same' and score >= 0.18 and score < 0.35 and not confirmed and contains(lower(concat_ws(' ', pair::varchar, 'c', '1:1', s, l, r)), 'th') and kind is not null")
+def filtered_rows(spark, sf_dir):
+    """Rows that match a query, a band, an answer, with notes, not confirmed."""
+    return noted(spark, sf_dir).where(browse.matches("TH", band="watch", ai="same", issue="unrated", notes_only=True, done="open")).select("index")
+
+
+@query(f"with {_STATES} select lang, count(*) as total, count(*) filter (where confirmed) as done, count(*) filter (where kind is not null) as ai_done from st group by lang")
+def done_counts(spark, sf_dir):
+    return browse.done_counts(noted(spark, sf_dir), "lang")
+
+
+@query(f"with {_STATES} select prefilter_kind, count(*) as count from st where prefilter_kind <> '' and not confirmed group by all")
+def confirmable_rows(spark, sf_dir):
+    return browse.confirmable(noted(spark, sf_dir))
 
 
 @query("select conv_id, turn, list_sort([b.turn for b in bs if b.turn <> turn and abs(b.turn - turn) <= 6]) as near from conversations join (select conv_id as c, list({'turn': turn}) as bs from conversations group by conv_id) on c = conv_id")
@@ -375,12 +332,6 @@ def context_rings(spark, sf_dir):
     return out.select("conv_id", F.col("index").alias("turn"), F.transform("context", lambda x: x["index"]).alias("near"))
 
 
-@query()
-def context_under_budget(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("index"), F.col("text").alias("source"), F.lit("").alias("target"), F.lit("").alias("counterpart"))
-    return context.context(c, ["conv_id"]).select("conv_id", "index", F.size("context").alias("n"), F.aggregate("context", F.lit(0), lambda a, x: a + F.length(x["source"])).alias("chars"))
-
-
 # ---- differences ----
 
 
@@ -396,45 +347,6 @@ def common_ends(spark, sf_dir):
     return parts.select("pair", F.when(F.size("p") == 0, 0).otherwise(first).alias("head"), (size("same") - first).alias("tail"), size("del").alias("deleted"), size("ins").alias("inserted"))
 
 
-@query()
-def character_differences(spark, sf_dir):
-    d = diff.diff(pairs(spark, sf_dir), "left", "right")
-    size = lambda kind: F.aggregate(F.filter("diff", lambda x: x["type"] == kind), F.lit(0), lambda a, x: a + F.length(x["value"]))
-    return d.select("pair", F.size("diff").alias("parts"), size("same").alias("same"), size("del").alias("deleted"), size("ins").alias("inserted"), F.md5(diff.html(F.col("diff"))).alias("html"))
-
-
-# ---- decisions ----
-
-_CONTENT = """d as (select event_id, event_id % 2 = 0 as same, event_id % 3 = 0 as edit, event_id % 7 = 0 as context, ['target', 'counterpart', 'neither', 'unclear', '另一列'][(event_id % 5)::int + 1] as b, ['high', '轻微', 'major', ''][(event_id % 4)::int + 1] as sev from events),
-n as (select *, case b when '另一列' then 'counterpart' else b end as better from d)"""
-
-
-def contents(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id")
-    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % len(words) + 1).cast("int"))
-    body = F.to_json(F.struct((F.col("event_id") % 2 == 0).alias("semanticSame"), (F.col("event_id") % 3 == 0).alias("needsEdit"), (F.col("event_id") % 7 == 0).alias("needsContext"), pick(["target", "counterpart", "neither", "unclear", "另一列"]).alias("better"), pick(["high", "轻微", "major", ""]).alias("严重程度"), F.lit("").alias("summary"), F.lit("x").alias("revision")))
-    return e.withColumn("content", F.concat(F.lit("Answer: "), body, F.lit(" end")))
-
-
-@query(f"""with {_CONTENT} select event_id, same as semantic_same, edit as needs_edit, context as needs_context, better,
-  case when edit and not context and better <> 'unclear' then case sev when 'high' then 'critical' when '轻微' then 'minor' else 'major' end else 'none' end as severity, case when edit then 'x' else '' end as revised_text from n""")
-def parsed_decisions(spark, sf_dir):
-    return decisions.parse(contents(spark, sf_dir)).select("event_id", "semantic_same", "needs_edit", "needs_context", "better", "severity", "revised_text")
-
-
-@query(f"""with {_CONTENT}, o as (select *, context or better = 'unclear' as open from n) select case when open or edit then 'suggestion' when same then 'same' else 'target-better' end as status, not open and not edit as done, count(*) as n from o group by all""")
-def decision_results(spark, sf_dir):
-    return decisions.results(decisions.parse(contents(spark, sf_dir))).groupBy("status", "done").agg(F.count("*").alias("n"))
-
-
-@query()
-def note_round_trip(spark, sf_dir):
-    """Notes of decisions, parsed again: what the note says of each decision."""
-    r = decisions.results(decisions.parse(contents(spark, sf_dir)))
-    p = notes.parse(F.col("note"))
-    return r.select(F.col("better"), p["modify"].alias("modify"), p["severity"].alias("severity"), p["revision"].alias("revision")).groupBy("better", "modify", "severity", "revision").agg(F.count("*").alias("n"))
-
-
 # ---- result log ----
 
 
@@ -545,6 +457,5 @@ def replace_lists(spark, sf_dir):
     return sinks.replace_list(c, keys=("conv_id",))
 
 
-@query(f"select doc_id, md5(replace(text, '{script.TRADITIONAL[0]}', '{script.SIMPLIFIED[0]}')) as converted from documents")
-def converted_script(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(script.to_cn("text")).alias("converted"))
+# the queries of further modules register themselves
+from . import queries_align, queries_books, queries_runs  # noqa: E402, F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +43,7 @@ def base_of(path: Column) -> Column:
 
 
 def entries(books: DataFrame) -> DataFrame:
-    """(path, entry, at, data) of the text entries of zip archives (path, content), one row each; a broken archive gives none."""
+    """(path, entry, at, data, error) of the text entries of zip archives (path, content), one row each; a broken archive gives one row with its error and no entry."""
 
     def unzip(batches):
         for pdf in batches:
@@ -50,12 +51,13 @@ def entries(books: DataFrame) -> DataFrame:
             for path, content in zip(pdf.path, pdf.content):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                rows += [(path, i.filename, n, z.read(i).decode("utf-8", "replace")) for n, i in enumerate(z.infolist()) if i.filename.lower().endswith((".xml", ".opf", ".xhtml", ".html", ".htm"))]
-            yield pd.DataFrame(rows, columns=["path", "entry", "at", "data"])
+                    names = [(n, i) for n, i in enumerate(z.infolist()) if i.filename.lower().endswith((".xml", ".opf", ".xhtml", ".html", ".htm"))]
+                    rows += [(path, i.filename, n, z.read(i).decode("utf-8", "replace"), None) for n, i in names]
+                except (zipfile.BadZipFile, OSError, zlib.error) as e:
+                    rows.append((path, None, -1, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "entry", "at", "data", "error"])
 
-    return books.select("path", "content").mapInPandas(unzip, "path string, entry string, at int, data string")
+    return books.select("path", "content").mapInPandas(unzip, "path string, entry string, at int, data string, error string")
 
 
 def attribute(c: Column, name: str) -> Column:
@@ -139,7 +141,7 @@ def select_body(features: DataFrame, keys: list[str], order: str = "spine", text
 
 
 def book_texts(books: DataFrame, inline: dict | None = None) -> DataFrame:
-    """(path, text) of books (path, content): the body documents in their order."""
+    """(path, text, error) of books (path, content): the body documents in their order. A broken archive, and a book without a document, has no text and an error."""
     files = entries(books)
     docs, nav = spine(files)
     labels = nav_labels(files, nav, docs)
@@ -147,4 +149,35 @@ def book_texts(books: DataFrame, inline: dict | None = None) -> DataFrame:
     pages = pages.withColumn("text", T.document_text(markup.html_text(F.col("html"), inline)))
     body = select_body(document_features(pages), ["path"])
     ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("spine", "text")))), lambda x: x["text"])
-    return body.groupBy("path").agg(F.array_join(ordered, "\n\n").alias("text"))
+    texts = body.groupBy("path").agg(F.array_join(ordered, "\n\n").alias("text"))
+    states = files.groupBy("path").agg(F.max("error").alias("error"))
+    found = books.select("path").join(states, "path", "left").join(texts, "path", "left")
+    return found.select("path", "text", F.coalesce("error", F.when(F.col("text").isNull(), "no document in the book")).alias("error"))
+
+
+def converted_texts(books: DataFrame, inline: dict | None = None, command: str = "pandoc") -> DataFrame:
+    """(path, text, error) of books through an external converter; note references come back as the book writes them."""
+    from . import plain
+
+    pages = plain.converted(books, "html", command).withColumnRenamed("output", "html")
+    if markup.keep_options(inline)["noteref"]:
+        listed = entries(books).where(F.col("entry").rlike(r"(?i)\.x?html?$")).select("path", "at", F.explode(markup.noterefs(F.col("data"))).alias("n"))
+        originals = listed.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n.markup"))), lambda x: x["markup"]).alias("originals"))
+        none = F.expr("cast(array() as array<string>)")
+        pages = pages.join(originals, "path", "left").withColumn("html", F.when(F.col("html").isNotNull(), markup.restore_noterefs(F.col("html"), F.coalesce("originals", none))))
+    text = F.when(F.col("html").isNotNull(), T.document_text(markup.html_text(F.col("html"), inline)))
+    found = pages.select("path", text.alias("text"), "error")
+    empty = F.when(F.col("error").isNull() & (T.text_of("text") == ""), "the converter gave no text")
+    return found.select("path", F.nullif(F.col("text"), F.lit("")).alias("text"), F.coalesce("error", empty).alias("error"))
+
+
+def read_books(books: DataFrame, converter: str = "auto", inline: dict | None = None, command: str = "pandoc") -> DataFrame:
+    """(path, text, error) of books. `internal` reads them by their spine, `pandoc` by the converter alone, `auto` by the converter and, where that fails, by the spine; error then keeps why."""
+    if converter == "internal":
+        return book_texts(books, inline)
+    outer = converted_texts(books, inline, command)
+    if converter == "pandoc":
+        return outer
+    inner = book_texts(books, inline).withColumnsRenamed({"text": "_text", "error": "_error"})
+    both = outer.join(inner, "path")
+    return both.select("path", F.coalesce("text", "_text").alias("text"), F.concat_ws("; ", "error", F.when(F.col("text").isNull(), F.col("_error"))).alias("error")).withColumn("error", F.nullif(F.col("error"), F.lit("")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: A link that is a note reference.
 NOTEREF = re.compile(r"""<a\b(?=[^>]*(?:epub:type|class)\s*=\s*["'][^"']*\bnoteref\b[^"']*["'])[^>]*>.*?</a\s*>""", re.I | re.S)
 SKIPPED = {"head", "script", "style"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "section", "article", "nav", "table", "tr", "blockquote", "footer", "header", "body"}

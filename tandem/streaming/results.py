@@ -19,8 +19,10 @@ def with_revision(events: DataFrame, run: str, order: list[str], start: int = 0)
     return events.withColumn("revision", F.row_number().over(Window.partitionBy(run).orderBy(*order)).cast("long") + start)
 
 
-def page_after(log: DataFrame, cursor: Column | int, limit: int = PAGE) -> DataFrame:
-    """The next rows of one run after a cursor, in order; at most `limit`, and 500 in any case."""
+def page_after(log: DataFrame, cursor: Column | int, limit: int = PAGE, run: str | None = None, cursor_run: str | None = None) -> DataFrame:
+    """The next rows of one run after a cursor, in order; at most `limit`, and 500 in any case. A cursor of another run counts as 0."""
+    if run is not None:
+        log, cursor = log.where(F.col("run") == run), cursor if cursor_run == run else 0
     return log.where(F.col("revision") > cursor).orderBy("revision").limit(max(1, min(MOST, limit)))
 
 
@@ -83,17 +85,22 @@ def watch(events: DataFrame) -> DataFrame:
 
 
 def start_log(events: DataFrame, path: str, checkpoint: str, run: str = "run", order: tuple[str, ...] = ("event_id",), **trigger):
-    """Appends a stream to a log, with revisions that go on from what the log holds. A batch that is written again after a failure replaces itself, as its number is part of its path."""
+    """Appends a stream to a log, with revisions that go on from what the log holds. A batch that is written again after a failure replaces itself, as its number is part of its path.
+
+    Beside each batch stands one row for each run with its last revision, so a batch reads the counts of the batch before and never the log.
+    """
     spark = events.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, revision long"
+    counter = f"`{run}` {events.schema[run].dataType.simpleString()}, last long"
 
     def append(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            known = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(f"{path}/batch=*") if number else None
-            base = known.where(F.col("batch") < number).groupBy(run).agg(F.max("revision").alias("_base")) if known is not None else batch.select(run).distinct().withColumn("_base", F.lit(0).cast("long"))
-            rows = with_revision(batch, run, list(order)).join(base, run, "left")
-            rows.withColumn("revision", F.col("revision") + F.coalesce("_base", F.lit(0))).drop("_base").write.mode("overwrite").parquet(f"{path}/batch={number}")
+            known = spark.read.schema(counter).parquet(f"{path}/counts/batch={number - 1}") if number else spark.createDataFrame([], counter)
+            rows = with_revision(batch, run, list(order)).join(known, run, "left")
+            rows = rows.withColumn("revision", F.col("revision") + F.coalesce("last", F.lit(0))).drop("last")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            now = spark.read.schema(rows.schema).parquet(f"{path}/batch={number}").groupBy(run).agg(F.max("revision").alias("_now"))
+            known.join(now, run, "full_outer").select(run, F.greatest("last", "_now").alias("last")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
         finally:
             batch.unpersist()
 

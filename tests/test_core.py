@@ -2,14 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tandem.functions import decisions, hashing, script
 from tandem.functions import text as T
 from tandem.operators import align, browse, context, diff, notes, prefilter, rows, segment
-from tandem.plans import compare, proofread, sinks, store
-from tandem.plans.proofread import FatalRequestError
+from tandem.plans import compare, sinks, store
 from tandem.sources import epub, markup, plain
 from tandem.streaming import results
 
@@ -129,14 +129,26 @@ def test_book(spark, tmp_path):
         for k, v in pages.items():
             z.writestr(f"OEBPS/{k}.xhtml", f"<html><head/><body>{v}</body></html>")
     books = spark.createDataFrame([("b.epub", bytearray(buffer.getvalue())), ("broken.epub", bytearray(b"no"))], "path string, content binary")
-    got = epub.book_texts(books).collect()
-    assert [r.path for r in got] == ["b.epub"]
+    got = epub.book_texts(books).orderBy("path").collect()
+    assert [(r.path, r.text is None) for r in got] == [("b.epub", False), ("broken.epub", True)] and "BadZipFile" in got[1].error and got[0].error is None
+    by_mode = {m: {r.path: r for r in epub.read_books(books, m, command="no-such-converter").collect()} for m in ("auto", "pandoc", "internal")}
+    assert by_mode["auto"]["b.epub"].text == by_mode["internal"]["b.epub"].text == got[0].text and by_mode["pandoc"]["b.epub"].text is None
+    assert "not installed" in by_mode["auto"]["b.epub"].error and "BadZipFile" in by_mode["auto"]["broken.epub"].error
     assert got[0].text.startswith("第一章") and got[0].text.count("これは本文です。") == 80 and "あとがき" not in got[0].text
     (tmp_path / "a_cn.txt").write_text("译文")
     (tmp_path / "b.epub").write_bytes(buffer.getvalue())
     assert {r.path.rsplit("/", 1)[-1]: r.text[:2] for r in plain.read_inputs(spark, str(tmp_path)).collect()} == {"a_cn.txt": "译文", "b.epub": "第一"}
     assert [r.name for r in plain.listing(spark, str(tmp_path)).collect()] == ["a_cn.txt", "b.epub"]
     assert plain.input_mode(plain.listing(spark, str(tmp_path))).first().input_mode == "document"
+    with pytest.raises(ValueError, match="3 supported files"):
+        plain.scan(spark, str(tmp_path))
+    assert {r.name: r.role for r in plain.scan(spark, str(tmp_path), "bilingual").collect()} == {"a_cn.txt": "jp", "b.epub": "cn"}  # an underscore is no border of a word
+    assert {r.name: r.role for r in plain.guess_roles(spark.createDataFrame([("學園.txt",), ("学园.txt",), ("ふ.txt",)], "name string")).collect()} == {"學園.txt": "tw", "学园.txt": "cn", "ふ.txt": "jp"}
+    asked = lambda saved: {"asked": saved}
+    assert plain.resolve_selection({"a": 1}, {"b": 1}, asked) == {"a": 1} and plain.resolve_selection(None, {"b": 1}, asked) == {"b": 1}
+    assert plain.resolve_selection(None, {"b": 1}, asked, True) == {"asked": {"b": 1}} and plain.resolve_selection(None, None, asked) == {"asked": None}
+    with pytest.raises(ValueError, match="no input"):
+        plain.resolve_selection()
     roles = {r.name: r.role for r in plain.guess_roles(spark.createDataFrame([("カナ.txt",), ("x cn.txt",), ("other.txt",)], "name string")).collect()}
     assert roles == {"カナ.txt": "jp", "x cn.txt": "cn", "other.txt": "tw"}
 
@@ -146,23 +158,57 @@ def brute_alignment(n, m, score, empty):
     best = {(0, 0): 0.0}
     for i in range(n + 1):
         for j in range(m + 1):
-            for a, b in align.MOVES:
+            for a, b in align.STEPS:
                 if i >= a and j >= b and (a or b) and (i - a, j - b) in best and (i, j) != (0, 0):
                     v = best[i - a, j - b] + (score[i - a, j - b, a, b] if a and b else empty)
                     best[i, j] = max(best.get((i, j), -1e9), v)
     return best[n, m]
 
 
-def test_recurrence_against_brute_force():
+def test_cover_against_brute_force():
     rng = random.Random(2)
     for _ in range(40):
         n, m = rng.randint(0, 6), rng.randint(0, 6)
-        score = {(i, j, a, b): rng.uniform(-0.2, 1) for i in range(n) for j in range(m) for a, b in align.MOVES if a and b}
-        out = align.recurrence(n, m, score, 60, -0.22)
+        score = {(i, j, a, b): rng.uniform(-0.2, 1) for i in range(n) for j in range(m) for a, b in align.STEPS if a and b}
+        out = align.Band(n, m, 60, -0.22, lambda i, a, b, lo, hi: np.array([score[i, j, a, b] for j in range(lo, hi)])).path()  # noqa: B023
         assert sum(x[4] for x in out) == pytest.approx(brute_alignment(n, m, score, -0.22), abs=1e-5)
         assert [i for x in out for i in range(x[0], x[0] + x[2])] == list(range(n)) and [j for x in out for j in range(x[1], x[1] + x[3])] == list(range(m))
 
 
+def test_scores_of_a_group_are_those_of_the_columns(spark):
+    texts = ["", "x", "alpha beta gamma delta", "alpha beta gamma, epsilon", "zz", "alpha"]
+    items = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "k string, idx int, text string")
+    f = align.features(align.spans(items, ["k"]), align.generic)
+    want = {(r.i, r.a, r.j, r.b): r.s for r in f.alias("l").join(f.alias("r"), "k").select(F.col("l.idx").alias("i"), F.col("l.steps").alias("a"), F.col("r.idx").alias("j"), F.col("r.steps").alias("b"), (align.pair_score("l", "r") - align.MERGE * (F.col("l.steps") + F.col("r.steps") - 2)).alias("s")).collect()}
+    side = align.spans(items, ["k"]).select("idx", "steps", align.generic("text").alias("normal"), (F.col("text") == "").alias("empty")).toPandas()
+    scores = align.text_scorer(side, side)
+    for (i, a, j, b), s in want.items():
+        assert scores(i, a, b, j, j + 1)[0] == s
+        assert scores(i, a, b, 0, 5)[min(j, 4)] == want[i, a, min(j, 4), b]
+
+
+def brute_gaps(n, m, score, gap):
+    best = {}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            ways = [0.0] if not i and not j else []
+            ways += [best[i - 1, j - 1] + score[i - 1, j - 1]] if i and j else []
+            ways += [best[i - 1, j] + gap] if i else []
+            best[i, j] = max(ways + ([best[i, j - 1] + gap] if j else []))
+    return best[n, m]
+
+
+def test_gap_alignment_is_the_best(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel".split()
+    left, right = [f"{w} tells of number {w}" for w in words], [f"{w} tells of number {w}" for w in words if w not in ("bravo", "golf")] + ["india is new here"]
+    l, r = (spark.createDataFrame([(1, i, t) for i, t in enumerate(x)], "p int, idx int, text string") for x in (left, right))
+    got = align.gap_alignment(l, r, ["p"], normal=align.generic).collect()
+    pairs = {(x.i, x.j): x.s for x in align.features(l, align.generic).alias("l").join(align.features(r, align.generic).alias("r"), "p").select(F.col("l.idx").alias("i"), F.col("r.idx").alias("j"), align.pair_score("l", "r").alias("s")).collect()}
+    total = sum(x.score if x.left_index is not None and x.right_index is not None else -0.18 for x in got)
+    assert total == pytest.approx(brute_gaps(len(left), len(right), pairs, -0.18), abs=1e-5)
+    assert [x.left_index for x in got if x.left_index is not None] == list(range(8)) and [x.right_index for x in got if x.right_index is not None] == list(range(7))
+
+
 def test_alignment_covers_and_gaps(spark):
     base = [f"{w} tells a long story about number {i} and the {w} of it" for i, w in enumerate("alpha bravo charlie delta echo foxtrot golf hotel".split())]
     left = [(1, i, t) for i, t in enumerate(base)] + [(2, 0, "only left")]
@@ -191,6 +237,33 @@ def test_rows(spark):
     assert rows.overlap_join(f(a), f(b), ["k"], 16).count() == want
 
 
+def test_media_blocks_and_long_ones(spark):
+    cases = {"[图片]": True, "[ p12 ] [插图]\n[]": True, "[IMG]": True, "": False, "[p1] text": False, "text": False, "[p1234567]": False, "[p1]" * 50_000: True, "[" * 50_000: False, "[" + " " * 50_000 + "x": False, "[p1]" * 50_000 + "x": False}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r.i: r.m for r in df.select("i", T.is_media(F.col("t")).alias("m")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    docs = spark.createDataFrame([("p", "cn", "[p1]" * 50_000 + "\n\n正文在这里。")], "project string, lang string, text string")
+    assert [r.text for r in segment.paragraphs(docs, ["project"]).collect()] == ["正文在这里。"]
+
+
+def test_alignment_artifact_and_build(spark, tmp_path):
+    texts = {"jp": ["これは最初の段落です。とても長い文章が続きます。", "次の段落です。別の話が始まります。"], "cn": ["这是最初的段落。很长的文章继续下去。", "下一个段落。另一个故事开始了。"], "tw": ["這是最初的段落。很長的文章繼續下去。", "下一個段落。另一個故事開始了。"]}
+    docs = spark.createDataFrame([("p", k, "\n\n".join(v)) for k, v in texts.items()], "project string, lang string, text string")
+    found = compare.build(docs, ["project"], str(tmp_path), about={"labels": {"jp": "A"}})
+    assert all((tmp_path / a).exists() for a in store.ARTIFACTS) and found.count() > 0
+    a = spark.read.parquet(f"{tmp_path}/alignment").first()
+    assert (a.pivot, a.search_window, a.source_count, a.pivot_count) == ("cn", align.VECTOR_WINDOW, 2, 2) and [m["index"] for m in a.mapping] == [0, 1]
+    assert [i for g in a.groups for i in range(g["start"], g["end"])] == [0, 1] and [i for g in a.groups for i in range(g["pivot_start"], g["pivot_end"])] == [0, 1]
+    assert compare.pivot_of("bilingual") == "cn" and compare.pivot_of() == "tw" and compare.pivot_of(stored=spark.read.parquet(f"{tmp_path}/alignment")) == "cn"
+
+
+def test_small_helpers(spark):
+    assert one(spark, T.display_url("t"), t="HTTP://user:pw@Host.COM:80?q#f") == "http://host.com/" and one(spark, T.display_url("t"), t="https://h:8443/a/B?x") == "https://h:8443/a/B" and one(spark, T.display_url("t"), t="no url?x") == "no url"
+    assert one(spark, T.expand_path("t", "/home/u"), t=" '~/x' ") == "/home/u/x" and one(spark, T.expand_path("t", "/home/u"), t="/a~b") == "/a~b"
+    pieces = spark.createDataFrame([("a", 1, "one\r\ntw"), ("a", 2, "o\nthree"), ("b", 1, "x\n"), ("c", 1, "")], "s string, n int, text string")
+    assert sorted((r.s, r.line_no, r.line) for r in T.line_rows(pieces, ["s"], "n").collect()) == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, "three"), ("b", 0, "x")]
+
+
 def test_compare_bilingual_and_trilingual(spark):
     p = [("b", lang, i, "正文", t, t, len(t)) for lang in ("jp", "cn", "tw") for i, t in enumerate(["第一段文字说明了一些事情。", "第二段文字很不同而且更长一些。", "最后一段。"])]
     df = spark.createDataFrame(p, "project string, lang string, source_index int, chapter string, text string, cn_text string, chars int")
@@ -264,6 +337,7 @@ def test_result_log(spark, tmp_path):
     while chunk := results.page_after(log, cursor).collect():
         read.append([r.revision for r in chunk])
         cursor = chunk[-1].revision
+    assert results.page_after(log.withColumn("run", F.lit("now")), 100, 64, "now", "before").first().revision == 1 and results.page_after(log.withColumn("run", F.lit("now")), 100, 64, "now", "now").first().revision == 101
     assert [len(x) for x in read] == [64, 64, 22] and sum(read, []) == list(range(1, 151))
     spark.createDataFrame([("r", 1), ("q", 2)], "run string, event_id int").coalesce(1).write.parquet(f"{tmp_path}/in/a")
     source = spark.readStream.schema("run string, event_id int").parquet(f"{tmp_path}/in/*")
@@ -274,30 +348,6 @@ def test_result_log(spark, tmp_path):
     assert [(r.run, r.event_id, r.revision) for r in got] == [("q", 2, 1), ("r", 1, 1), ("r", 3, 2), ("r", 4, 3)]
 
 
-def test_proofreading_with_fakes(spark):
-    df = spark.createDataFrame([(i, "", f"原文第{i}行说了一句话", f"译文{i}甲乙丙丁", "", f"sig{i}") for i in range(6)], "index int, x string, jp string, cn string, tw string, signature string").withColumns({"tw_cn": F.lit(""), "score": F.lit(0.0)})
-
-    def fake():
-        import json as j
-
-        return lambda system, user: j.dumps({"semanticSame": True, "needsEdit": False, "better": "target", "needsContext": len(j.loads(user)["context"]) < 2})
-
-    cfg = proofread.clean_config({"concurrency": 2})
-    none = spark.createDataFrame([(5,)], "index int")
-    got = proofread.proofread(df, none, fake, cfg).collect()
-    assert sorted(r["index"] for r in got) == [0, 1, 2, 3, 4] and all(r.status == "same" and r.done for r in got)
-
-    def refuses():
-        def call(system, user):
-            raise FatalRequestError("HTTP 401")
-
-        return call
-
-    bad = proofread.proofread(df, none, refuses, cfg).collect()
-    assert all(r.status == "error" and "调用失败" in r.note for r in bad)
-    assert proofread.clean_config({"threshold": None}).threshold == 0.5 and proofread.clean_config({"concurrency": 99}).concurrency == 12
-
-
 def test_store(spark, tmp_path):
     s, ids = store.Store(spark, str(tmp_path)), []
     for i in range(3):
@@ -314,10 +364,22 @@ def test_store(spark, tmp_path):
         s.publish(s.stage(), {"id": "p", "rows_signature": "x"})
 
 
-def test_sinks(spark):
+def test_sinks(spark, tmp_path):
     r = spark.createDataFrame([(1, "c", "1:1", 0.5, None, 'say "hi"', "x\ny")], "index int, chapter string, relation string, score double, jp_align_score double, jp string, cn string")
     assert sinks.csv_header("bilingual") == "index,chapter,relation,score,jpAlignScore,jp,cn"
     assert sinks.csv_lines(r, "bilingual").first().line == '"1","c","1:1","0.5","","say ""hi""","x\ny"'
+    import json
+
+    rows_ = spark.createDataFrame([(i, "c", "1:1", 0.5, None, f"line {i}\nnext", 'q"') for i in range(300)], r.schema).repartition(7)
+    sinks.write_csv(rows_, f"{tmp_path}/csv", "bilingual")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
+    import csv
+    import io
+
+    assert whole.startswith('index,chapter,relation,score,jpAlignScore,jp,cn\n"0","c"') and [x[0] for x in csv.reader(io.StringIO(whole))] == ["index", *map(str, range(300))]
+    sinks.write_document(rows_, f"{tmp_path}/json", {"project": {"key": "p"}, "labels": {"jp": "A"}, "counts": {"jp": 300}})
+    told = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*"))))
+    assert list(told) == ["project", "files", "labels", "counts", "rowsSignature", "rows"] and [x["index"] for x in told["rows"]] == list(range(300)) and told["rows"][1]["jp"] == "line 1\nnext"
     e = spark.createDataFrame([(2, "b", "c<d"), (1, "a&", "x")], "index int, search string, replace string")
     text = sinks.replace_list(e).first().content
     assert text.index("a&amp;") < text.index("c&lt;d") and text.startswith("<list>") and text.count("<searchtext>") == 2
