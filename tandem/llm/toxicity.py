@@ -32,7 +32,7 @@ from .common import read, unclash
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD, HELD_OUT = 4000, 20_000, 0.3, 2
 STARTS = (3, 4, 5, 6)
-CELLS = 1 << 20
+CELLS, FLOOR = 1 << 19, 0.02
 TOKEN = re.compile(r"[^\W\d_]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
 
@@ -111,14 +111,15 @@ class Field:
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each text, by its marginals: 1, log(1 + sum), largest, log-chance that no word is toxic, share of words."""
-    out = np.zeros((len(lengths), 5))
+    """For each text, by its marginals: 1, log(1 + sum), largest, log-chance that no word is toxic, share of words. Marginals below FLOOR do not count in sums, or a text would seem toxic for its length alone."""
+    out, whole = np.zeros((len(lengths), 5)), p
+    p = np.where(p >= FLOOR, p, 0.0)
     out[:, 0] = 1
     some, first = lengths > 0, np.concatenate(([0], np.cumsum(lengths)[:-1]))
     if some.any():
         at = first[some]
         out[some, 1] = np.log1p(np.add.reduceat(p, at))
-        out[some, 2] = np.maximum.reduceat(p, at)
+        out[some, 2] = np.maximum.reduceat(whole, at)
         out[some, 4] = np.log1p(50 * np.add.reduceat(p, at) / lengths[some])
         out[some, 3] = -np.maximum(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), at), -5)
     return out
@@ -167,29 +168,39 @@ def fit(texts: list[str], toxic: list[int], mass: list[tuple[float, float]] | No
     share = float(rows_of[:, 1].sum() / rows_of.sum()) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
         return Model(None, np.zeros(5), share)
-    words = [TOKEN.findall(lowered(t)) for t in texts]
-    counts, often, total = (Counter(), Counter()), (Counter(), Counter()), [1, 1]  # documents and words with a feature, words
-    for ws, label in zip(words, toxic):
-        here = Counter(f for w in ws for f in features(w))
-        counts[label].update(here.keys())
-        often[label].update(here)
-        total[label] += len(ws)
-    telling = {f for f, c in counts[1].items() if c >= max(3, 0.01 * y.sum()) and often[1][f] / total[1] >= 10 * (often[0][f] + 1) / total[0]}
-    kept = {f: i for i, f in enumerate(f for f, c in (counts[0] + counts[1]).items() if f in telling or c >= max(3, 0.003 * len(y)))}
-    if not telling:
+    # words and features are numbers from here on: a text is an array, and a word is a row of features
+    vocabulary: dict[str, int] = {}
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in TOKEN.findall(lowered(t))), np.int32) for t in texts]
+    known: dict[str, int] = {}
+    n_features, flat = [], []
+    for w in vocabulary:
+        fs = features(w)
+        n_features.append(len(fs))
+        flat.extend(known.setdefault(f, len(known)) for f in fs)
+    flat, ends, n_rows = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(n_features))).astype(np.int64), len(vocabulary)
+    del vocabulary
+    owner = np.repeat(np.arange(n_rows, dtype=np.int32), n_features)
+    counts, often, total = np.zeros((2, len(known)), np.int64), np.zeros((2, len(known))), [1, 1]  # documents and words with a feature, words
+    for doc, label in zip(docs, toxic):
+        mine, n = np.unique(doc, return_counts=True)
+        here = np.concatenate([np.zeros(0, np.int32), *[flat[ends[w] : ends[w + 1]] for w in mine.tolist()]])
+        counts[label, np.unique(here)] += 1
+        np.add.at(often[label], here, np.repeat(n, ends[mine + 1] - ends[mine]) if len(mine) else 0)
+        total[label] += len(doc)
+    telling = (counts[1] >= max(3, 0.01 * y.sum())) & (often[1] / total[1] >= 10 * (often[0] + 1) / total[0])
+    if not telling.any():
         return Model(None, np.zeros(5), share)
-    rows = {}
-    for ws in words:
-        for w in ws:
-            if w not in rows:
-                fs = features(w)
-                rows[w] = len(rows), [kept[f] for f in fs if f in kept], any(f in telling for f in fs)
-    ids = np.fromiter((rows[w][0] for ws in words for w in ws), np.int64)
-    lengths = np.array([len(ws) for ws in words], np.int64)
-    hot = np.fromiter((r[2] for r in rows.values()), bool)
+    chosen = telling | (counts.sum(0) >= max(3, 0.003 * len(y)))
+    kept, renumbered = [f for f, c in zip(known, chosen.tolist()) if c], np.cumsum(chosen) - 1
+    del known, counts, often
+    hot = np.bincount(owner, telling[flat], n_rows) > 0
+    some = chosen[flat]
+    owner, feature = owner[some], renumbered[flat[some]].astype(np.int32)
+    lengths = np.array([len(d) for d in docs], np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *docs])
+    del docs, flat
+    rows = range(n_rows)
     tags = hot[ids] & np.repeat(y > 0, lengths)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows.values()])
-    feature = np.fromiter((f for r in rows.values() for f in r[1]), np.int64)
     weights, bias, pairs, start = np.zeros(len(kept)), -3.0, np.zeros((2, 2)), 0.0
     real_words = np.bincount(ids, tags, len(rows))
     inner = np.ones(len(ids), bool)
@@ -210,7 +221,7 @@ def fit(texts: list[str], toxic: list[int], mass: list[tuple[float, float]] | No
         bias += rate * slopes[1] / np.sqrt(speed[1])
         pairs = pairs + 0.5 * rate * slopes[2] / np.sqrt(speed[2])
         start += rate * slopes[3] / np.sqrt(speed[3])
-    field = Field({f: float(weights[i]) for f, i in kept.items() if abs(weights[i]) > 1e-3}, float(bias), pairs, float(start))
+    field = Field({f: float(weights[i]) for i, f in enumerate(kept) if abs(weights[i]) > 1e-3}, float(bias), pairs, float(start))
     p = field.marginals((bias + np.bincount(owner, weights[feature], len(rows)))[ids], lengths)
     return Model(field, logistic(summary(p, lengths), rows_of[:, 1] / rows_of.sum(1), rows_of.sum(1)), share)
 
