@@ -1,3 +1,5 @@
+import math
+import itertools
 import random
 import zlib
 
@@ -84,3 +86,71 @@ def test_marginals_against_all_taggings():
             w = np.exp(sum(e[lo + k] for k, t in enumerate(tags) if t) + 0.3 * tags[0] + sum(f.pairs[a, b] for a, b in zip(tags, tags[1:])))
             total, hot = total + w, hot + w * np.array(tags)
         assert np.allclose(got[lo:hi], hot / total)
+
+
+def tiny():
+    rng = random.Random(8)
+    clean = [" ".join(rng.choice(["sun", "rain", "wind", "tree", "leaf"]) for _ in range(rng.randint(3, 7))) for _ in range(40)]
+    toxic = [" ".join(rng.choice(["sun", "rain", "vilest", "vileness", "tree"]) for _ in range(rng.randint(3, 7))) + " vilest" for _ in range(30)]
+    return clean + toxic, [0] * 40 + [1] * 30
+
+
+def taggings(field, words):
+    """(tags, weight) of every tagging, by the field's own weights."""
+    emissions = [field.bias + sum(field.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+    for tags in itertools.product((0, 1), repeat=len(words)):
+        score = field.start * tags[0] + sum(e for e, t in zip(emissions, tags) if t) + sum(field.pairs[a][b] for a, b in zip(tags, tags[1:]))
+        yield tags, math.exp(score)
+
+
+def test_scores_and_spans_against_all_taggings():
+    texts, labels = tiny()
+    model = toxicity.fit(texts, labels)
+    some = ["Vilest wind, vilest  VILENESS tree", "sun rain", "tree vilest", "vilest"]
+    scores, spans = model.score([*some, ""])
+    for text, got, found in zip(some, scores, spans):
+        words = toxicity.TOKEN.findall(text.lower())
+        every = list(taggings(model.field, words))
+        whole = sum(w for _, w in every)
+        p = [sum(w for t, w in every if t[i]) / whole for i in range(len(words))]
+        q = [x if x >= toxicity.FLOOR else 0.0 for x in p]
+        parts = [1, math.log1p(sum(q)), max(p), min(5, -sum(math.log1p(-min(x, 1 - 1e-9)) for x in q)), math.log1p(50 * sum(q) / len(q))]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(parts, model.weights))))
+        assert abs(got - want) < 1e-9
+        places = [m.span() for m in toxicity.TOKEN.finditer(text.lower())]
+        covered = {i for i, (a, b) in enumerate(places) if any(x <= a and b <= y for x, y, _ in found)}
+        assert covered == {i for i, x in enumerate(p) if x >= 0.5}
+    assert spans[0] and not spans[1] and spans[0][-1][:2] == (13, 29)
+
+
+def test_fit_raises_the_likelihood_of_the_tags():
+    texts, labels = tiny()
+
+    def likelihood(model):
+        total = 0.0
+        for text, label in zip(texts, labels):
+            words = text.split()
+            tags = tuple(int(label and w.startswith("vile")) for w in words)
+            every = dict(taggings(model.field, words))
+            total += math.log(every[tags] / sum(every.values()))
+        return total
+
+    values = [likelihood(toxicity.fit(texts, labels, steps=n)) for n in (1, 5, 30, 120)]
+    assert values == sorted(values) and values[-1] > -5
+
+
+def test_calibration_is_at_its_maximum():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y, mass = np.column_stack([np.ones(60), rng.normal(size=(60, 2))]), rng.random(60), rng.random(60) * 9
+    w = toxicity.logistic(x, y, mass)
+    assert np.abs(x.T @ (mass * (y - 1 / (1 + np.exp(-x @ w)))) - 1e-2 * w).max() < 1e-6
+
+
+def test_one_very_long_text(spark):
+    texts, labels = tiny()
+    model = toxicity.fit(texts, labels)
+    rows = [(1, "sun " * 250_000), (2, "x" * 1_000_000), (3, "sun " * 1000 + "vilest " * 3), (4, None), (5, ""), (5, "")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[3].predicted == 1 and got[3].toxic_spans[0].start == 4000 and got[1].predicted == got[2].predicted == got[4].predicted == got[5].predicted == 0
