@@ -6,7 +6,8 @@ cross some integers, and a document is emitted once for each integer crossed. As
 sizes, the words taken differ from the target by about one large document at most.
 
 Null texts and texts without words have size 0 and take nothing. Null sources form one source, the last. Ties in size are
-broken by doc_id, null last; mix() breaks further ties by a hash of the text. Every row counts for itself, also repeated ones and those without doc_id. Extra columns pass through; an empty table gives an empty one.
+broken by doc_id, null last; mix() breaks further ties by a hash of the text. Texts of any length count whole. The table of targets has one row for each source and is sorted in one
+task, which holds for some ten million sources; documents are never dealt by source alone. Every row counts for itself, also repeated ones and those without doc_id. Extra columns pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations

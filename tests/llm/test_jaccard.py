@@ -89,3 +89,33 @@ def test_connected_components(spark):
             if a is not None and a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " and a tail"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, "y " * 300_000), (None, "y " * 290_000), (6, None)]
+    df = spark.createDataFrame([(*r, "n", 7) for r in rows], "doc_id long, text string, node string, n_shingles int")
+    got = {r.doc_id: r for r in jaccard.join(df).collect()}
+    assert {d: r.component_id for d, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, None: 5, 6: 6}
+    assert {"node_0", "n_shingles_0"} <= set(got[1].asDict()) and got[5].n_shingles == got[3].n_shingles == 1
+
+
+def test_a_group_of_many_near_copies_is_dealt_in_slices(spark, monkeypatch):
+    import tandem.llm.common as common
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # one large group of near copies, and others that share its beginning but nothing else
+        words = list(base)
+        words[rng.randrange(20, 120)] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:9] + [f"o{i}x{j}" for j in range(30)])) for i in range(40)]
+    want = brute(rows, 3, 90)
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "HEAVY", 8)
+    monkeypatch.setattr(jaccard, "SLICE", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.join(df).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == want

@@ -64,3 +64,12 @@ def test_mix_of_repeated_rows_and_null_ids(spark):
     rows += [(None, " ".join("n" * (i + 1)), "ab"[i % 2]) for i in range(40)] + [(None, "same text here", None)] * 3 + [(7, "other text of the same id " * 9, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     assert Counter(tuple(r) for r in mixing.mix(df).collect()) == mixed_by_rule(rows)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "w " * 1_000_000, "a", 5), (2, "x" * 1_000_000, "a", 5), (3, "one two", "a", 5), (4, "", "b", 5), (None, None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int")
+    plan = {r.doc_id: r for r in mixing.mix_plan(df).collect()}
+    assert {d: r["size"] for d, r in plan.items()} == {1: 1_000_000, 2: 1, 3: 2, 4: 0, None: 0} and all(r.taken <= 2 * r["size"] for r in plan.values())
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {r.target for r in mixed.collect()} <= {5}

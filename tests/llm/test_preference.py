@@ -20,3 +20,12 @@ def test_prompt_completions_and_masks(spark):
     c = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     pairs = spark.createDataFrame([("x", 1, 2)], "pair string, chosen long, rejected long")
     assert preference.format_pairs(preference.tagged(c, pairs)).first().prompt_turns == 1
+
+
+def test_a_very_long_conversation(spark):
+    n = 5000
+    turns = [("p", side, i, ("user", "assistant")[i % 2], f"t{i}" if i < n - 1 else f"end {side}", "x") for side in (0, 1) for i in range(n)] + [("q", side, 0, "assistant", "z" * 1_000_000 + str(side), "x") for side in (0, 1)]
+    df = spark.createDataFrame(turns, "pair string, side int, turn long, role string, text string, at string")
+    got = {r.pair: r for r in preference.format_pairs(df).collect()}
+    assert got["p"].prompt_turns == n - 1 and [got["p"].chosen[a:b] for a, b in got["p"].chosen_mask] == ["end 0<|im_end|>"]
+    assert got["q"].prompt_turns == 0 and [(b - a) for a, b in got["q"].rejected_mask] == [1_000_001 + len("<|im_end|>")]
