@@ -1,8 +1,10 @@
 """A training corpus from `documents`: toxic texts go, one of each group of near copies stays, benchmark passages are cut out, sources are mixed to
 their targets, and the result is dealt to shards.
 
-Every stage but the last returns the columns of documents. Null texts pass the filters (they have no words), take no part in
-the mix and so end there. Rows are told apart by ids of their own, so repeated doc_ids and rows without one are rows like others.
+Every stage but the last returns the columns of documents. Null and empty texts pass the filters (they have no words), take no part in
+the mix and so end there. Rows are told apart by ids of their own, so repeated doc_ids and rows without one are rows like others: equal rows are copies, of which
+one stays. Very long texts are judged whole. Columns named like added ones keep their names and values up to the last stage, which renames them to a free name.
+An empty table gives an empty one; without labels no text is toxic, without benchmark nothing is cut.
 """
 
 from __future__ import annotations

@@ -103,14 +103,13 @@ def script_text(simplified: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Distinct neighbouring pairs of code points; of a shorter text its characters."""
+    """Distinct neighbouring pairs of code points; of a shorter text its characters. The pairs are the twos of the text and those of the text from its second character on."""
+    twos = lambda t: F.regexp_extract_all(t, F.lit(r"(?s).."), F.lit(0))
 
-    def pairs(a: Column) -> Column:
-        n = F.size(a)
-        zipped = F.zip_with(F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat(x, y))
-        return F.when(n < 2, a).otherwise(F.array_distinct(zipped))
+    def pairs(t: Column) -> Column:
+        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) == 1, F.array(t)).otherwise(F.array_distinct(F.concat(twos(t), twos(F.substr(t, F.lit(2))))))
 
-    return let(F.filter(F.split(text_of(c), ""), lambda x: x != ""), pairs)
+    return let(text_of(c), pairs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

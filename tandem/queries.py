@@ -414,7 +414,7 @@ def streamed_log(spark, sf_dir):
 @query("with r as (select user_id::varchar as run, row_number() over w as seen, avg(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by event_id rows between 19 preceding and current row) as rate from events window w as (partition by user_id order by event_id)) select run, count(*) as events, min(case when seen >= 10 and rate >= 0.5 then seen end) as trip_at from r group by run")
 def streamed_breaker(spark, sf_dir):
     """The breaker over a live log; its state is kept in RocksDB, as list state needs."""
-    at = store.scratch(spark)
+    at, spark = store.scratch(spark), spark.newSession()  # a session of its own, so that others keep their state store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("run"), "event_id", (F.col("event_type") == "error").alias("failed"))
     results.watch(e).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
