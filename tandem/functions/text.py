@@ -86,10 +86,14 @@ def utf16_length(c) -> Column:
     return F.length(t) + F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+#: A text without such characters is its own NFKC: the rest of the first two blocks is neither changed by it nor composed.
+UNSTABLE = r"[^\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF]"
+
+
 def canonical(c, compatibility: bool = True) -> Column:
-    """NFKC, no zero-width characters or white space, lower case."""
+    """NFKC, no zero-width characters or white space, lower case. Only texts that NFKC may change leave the JVM."""
     t = text_of(c)
-    t = F.coalesce(nfkc(t), F.lit("")) if compatibility else t
+    t = F.coalesce(nfkc(F.when(t.rlike(UNSTABLE), t)), t) if compatibility else t
     return F.lower(F.regexp_replace(F.regexp_replace(t, ZERO_WIDTH, ""), rf"[{WS}]+", ""))
 
 

@@ -21,29 +21,32 @@ def part(kind: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"))
 
 
+def common_length(a: Column, b: Column, most: Column) -> Column:
+    """Code points at the beginning that two texts share, `most` at most: blocks of halving length are compared, each where the last one ended."""
+    longer = lambda n, step: F.when((n + step <= most) & (F.substr(a, n + 1, step) == F.substr(b, n + 1, step)), n + step).otherwise(n)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(30))]), F.lit(0), longer)
+
+
 def prefix_suffix(old: Column, new: Column) -> Column:
     """Common beginning, what was deleted, what was inserted, common end; empty parts left out."""
+    fields = lambda s, *names: [s[c].alias(c) for c in names]
 
-    def parts(s):
-        a, b = s["a"], s["b"]
-        n = F.least(F.size(a), F.size(b))
-        head = F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: (i >= n) | (F.get(a, i) != F.get(b, i))), True) - 1
-        tail = F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: (i >= n - s["h"]) | (F.get(a, F.size(a) - 1 - i) != F.get(b, F.size(b) - 1 - i))), True) - 1
-        return head, tail
+    def measured(s):
+        head = common_length(s["a"], s["b"], F.least(s["n"], s["m"]))
+        return T.let(F.struct(*fields(s, "a", "b", "n", "m"), head.alias("h")), with_tail)
 
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    text = lambda a, start, n: F.array_join(F.slice(a, start, F.greatest(n, F.lit(0))), "")
+    def with_tail(s):
+        both = F.struct(F.reverse(s["a"]).alias("a"), F.reverse(s["b"]).alias("b"))
+        tail = T.let(both, lambda r: common_length(r["a"], r["b"], F.least(s["n"], s["m"]) - s["h"]))
+        return T.let(F.struct(*fields(s, "a", "b", "n", "m", "h"), tail.alias("t")), build)
 
     def build(s):
-        a, b, h, t = s["a"], s["b"], s["h"], s["t"]
-        every = F.array(part("same", text(a, F.lit(1), h)), part("del", text(a, h + 1, F.size(a) - h - t)), part("ins", text(b, h + 1, F.size(b) - h - t)), part("same", text(a, F.size(a) - t + 1, t)))
+        a, b, n, m, h, t = (s[c] for c in ("a", "b", "n", "m", "h", "t"))
+        every = F.array(part("same", F.left(a, h)), part("del", F.substr(a, h + 1, n - h - t)), part("ins", F.substr(b, h + 1, m - h - t)), part("same", F.substr(a, n - t + 1, t)))
         return F.filter(every, lambda p: p["value"] != "")
 
-    def measured(s):
-        with_head = F.struct(s["a"].alias("a"), s["b"].alias("b"), parts(s)[0].cast("int").alias("h"))
-        return T.let(with_head, lambda x: T.let(F.struct(x["a"].alias("a"), x["b"].alias("b"), x["h"].alias("h"), parts(x)[1].cast("int").alias("t")), build))
-
-    return T.let(F.struct(chars(T.text_of(old)).alias("a"), chars(T.text_of(new)).alias("b"), F.lit(0).alias("h")), measured)
+    x, y = T.text_of(old), T.text_of(new)
+    return T.let(F.struct(x.alias("a"), y.alias("b"), F.length(x).alias("n"), F.length(y).alias("m")), measured)
 
 
 def lcs_parts(old: str, new: str) -> list[dict]:

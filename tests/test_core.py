@@ -41,6 +41,29 @@ def test_normal_forms(spark):
     assert one(spark, T.clamp_integer("n", 1, 12, 3), n=99) == 12 and one(spark, T.clamp_number("t", 0.5, 1, 0.92), t=None) == 0.5 and one(spark, T.clamp_number("t", 0.5, 1, 0.92), t="x") == 0.92
 
 
+def test_texts_that_skip_compatibility_forms(spark):
+    """No character of the first two blocks that is taken as stable changes, alone or beside others."""
+    import re
+    import unicodedata
+
+    stable = "".join(c for c in map(chr, range(256)) if not re.search(T.UNSTABLE, c))
+    assert len(stable) > 200 and unicodedata.normalize("NFKC", stable) == stable and all(unicodedata.normalize("NFKC", a + b) == a + b for a in stable for b in stable)
+    texts = ["ﬁ", "é", "e" + chr(0x301), "½", "Ａ", "a", chr(0xA0) + "x", "ö·©", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.c for r in df.select("i", T.canonical("t").alias("c")).orderBy("i").collect()] == ["fi", "é", "é", "1⁄2", "a", "a", "x", "ö·©", ""]
+
+
+def test_common_ends(spark):
+    rng = random.Random(3)
+    rows_ = [(i, "".join(rng.choice("aé𠮷") for _ in range(rng.randint(0, 9))), "".join(rng.choice("aé𠮷") for _ in range(rng.randint(0, 9)))) for i in range(150)] + [(900, "x" * 70_000 + "y", "x" * 70_000 + "z"), (901, "", ""), (902, None, "q")]
+    for r in spark.createDataFrame(rows_, "i int, a string, b string").select("a", "b", diff.prefix_suffix(F.col("a"), F.col("b")).alias("p")).collect():
+        a, b = r.a or "", r.b or ""
+        h = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        t = next((k for k in range(min(len(a), len(b)) - h) if a[-1 - k] != b[-1 - k]), min(len(a), len(b)) - h)
+        want = [("same", a[:h]), ("del", a[h : len(a) - t]), ("ins", b[h : len(b) - t]), ("same", a[len(a) - t :])]
+        assert [(x["type"], x["value"]) for x in r.p] == [w for w in want if w[1]]
+
+
 def test_hashes(spark):
     assert one(spark, hashing.short_hash("t"), t="abc") == "7aigaz"
 
