@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import decisions, hashing, script
 from .functions import text as T
-from .operators import align, browse, context, diff, notes, rows
+from .operators import align, browse, context, diff, notes, prefilter, rows
 from .plans import sinks
 from .queries import _BASE36, _FNV
 from .registry import GRAMS, JACCARD, PAIRS, pairs, query, table
+from .sources import plain
 
 # ---- decisions: contents of six forms, fields under several names, summaries that decide ----
 
@@ -215,3 +216,45 @@ def script_similarity(spark, sf_dir):
     p = pairs(spark, sf_dir).select("pair", align.cjk(F.expr(_AS_TRADITIONAL.format("`left`"))).alias("a"), align.cjk(F.expr(_AS_SIMPLIFIED.format("`right`"))).alias("b"))
     g = p.select("pair", F.md5("a").alias("normal"), T.bigrams(F.col("a")).alias("ga"), T.bigrams(F.col("b")).alias("gb"), F.length("a").alias("x"), F.length("b").alias("y"))
     return g.select("pair", "normal", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"), F.round(T.paragraph_score(F.col("ga"), F.col("gb"), F.col("x"), F.col("y"), F.lit(False)), 6).alias("score"))
+
+
+# ---- normal texts, counters, rows as a page shows them ----
+
+
+@query(r"""with t as (select doc_id, chr(65279) || replace(replace(replace(text, '. ', '.' || chr(160) || ' ' || chr(13) || chr(10)), ', ', ',' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || '  '), chr(10), chr(10)) as t from documents),
+a as (select doc_id, replace(replace(replace(replace(t, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') as t from t),
+b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') as t from a)
+select doc_id, md5(trim(t, ' ' || chr(9) || chr(10))) as text from b""")
+def document_texts(spark, sf_dir):
+    """Documents with a byte order mark, hard blanks, line ends of two kinds and too many empty lines, in normal form."""
+    t = F.replace("text", F.lit(". "), F.lit(".  \r\n"))
+    t = F.concat(F.lit("﻿"), F.replace(t, F.lit(", "), F.lit(",\t\n\n\n\n  ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.document_text(t)).alias("text"))
+
+
+_STATUS = ["rule-prefilter", "similarity-prefilter", "rule-conflict", "suggestion", "error", "same", "target-better"]
+
+
+@query(f"""with s as (select event_type, {_STATUS!r}[(event_id % 7)::int + 1] as status from events)
+select event_type, count(*) as processed, count(*) filter (where status not in ('rule-conflict', 'suggestion', 'error')) as handled, count(*) filter (where status in ('rule-prefilter', 'similarity-prefilter', 'rule-conflict')) as prefiltered,
+  count(*) filter (where status = 'rule-prefilter') as rule_prefiltered, count(*) filter (where status = 'similarity-prefilter') as similarity_prefiltered, count(*) filter (where status = 'rule-conflict') as structured_conflicts,
+  count(*) filter (where status = 'suggestion') as suggested, count(*) filter (where status = 'error') as errors, count(*) filter (where status not in ('rule-prefilter', 'similarity-prefilter', 'rule-conflict')) as model_processed from s group by event_type""")
+def all_counters(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("event_id") % 7 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_type", status.alias("status")).withColumn("done", ~F.col("status").isin("rule-conflict", "suggestion", "error"))
+    return prefilter.counters(e, "event_type")
+
+
+@query("""with r as (select doc_id, 0.05::double * (doc_id * 7 % 20) as score, case when doc_id % 3 > 0 then 0.031::double * (doc_id % 30) end as jp from documents)
+select doc_id as index, case when score >= 0.35 then 'ok' when score >= 0.18 then 'watch' else 'review' end as cls, floor(score * 100 + 0.5)::bigint::varchar || '%' as score_text, case when jp is null then '' else floor(jp * 100 + 0.5)::bigint::varchar || '%' end as jp_align_score_text, doc_id::varchar as signature from r""")
+def client_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), (F.col("doc_id") * 7 % 20 * 0.05).alias("score"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 30 * 0.031).alias("jp_align_score"))
+    return browse.client_rows(d, F.col("index").cast("string")).select("index", "cls", "score_text", "jp_align_score_text", "signature")
+
+
+@query("""with f as (select page_id // 25 as g, case page_id // 25 % 3 when 0 then 'txt' when 1 then 'EPUB' else case page_id % 2 when 0 then 'txt' else 'md' end end as ext from pages)
+select g as folder, case when bool_and(lower(ext) = 'txt') then 'txt' when bool_and(lower(ext) = 'epub') then 'epub' else 'document' end as input_mode from f group by g""")
+def input_modes(spark, sf_dir):
+    folder = F.floor(F.col("page_id") / 25)
+    ext = F.when(folder % 3 == 0, "txt").when(folder % 3 == 1, "EPUB").when(F.col("page_id") % 2 == 0, "txt").otherwise("md")
+    return plain.input_mode(table(spark, sf_dir, "pages").select(folder.alias("folder"), F.concat(F.lit("in/x."), ext).alias("path")), "path", "folder")

@@ -91,9 +91,10 @@ def read_inputs(spark: SparkSession, directory: str, inline: dict | None = None,
     return plain.unionByName(html).unionByName(books).unionByName(other)
 
 
-def input_mode(files: DataFrame, path: str = "path") -> DataFrame:
+def input_mode(files: DataFrame, path: str = "path", *keys: str) -> DataFrame:
+    """What kind of input the files are, all of them or those of each key."""
     ext = extension(F.col(path))
-    return files.agg(F.when(F.every(ext == "txt"), "txt").when(F.every(ext == "epub"), "epub").otherwise("document").alias("input_mode"))
+    return files.groupBy(*keys).agg(F.when(F.every(ext == "txt"), "txt").when(F.every(ext == "epub"), "epub").otherwise("document").alias("input_mode"))
 
 
 def guess_roles(files: DataFrame, mode: str = "trilingual") -> DataFrame:
