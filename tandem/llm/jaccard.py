@@ -42,7 +42,7 @@ MAX_HOT, LEAST_HOT, MAX_LIGHT, CHECK_COST, MAX_NODES = 500_000, 16, 40, 8.0, 2_0
 #: Members of one task of a list that is compared.
 SLICE = 256
 #: Shingles that are sorted and sent to be counted at once, and that one count is to take.
-RUN, PER_COUNT = 2 << 20, 4 << 20
+RUN, PER_COUNT = 1 << 20, 2 << 20
 
 
 def overlap(a: int, b: int, percent: int) -> int:

@@ -32,7 +32,7 @@ from .common import read, unclash
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD, HELD_OUT = 4000, 20_000, 0.3, 2
 STARTS = (3, 4, 5, 6)
-CELLS, FLOOR = 1 << 19, 0.02
+CELLS, FLOOR = 1 << 18, 0.02
 TOKEN = re.compile(r"[^\W\d_]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
 
@@ -75,7 +75,7 @@ class Field:
     def emission(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             found = self.known[word] = self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
         return found
@@ -259,8 +259,8 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             scores, spans = [], []
-            for lo in range(0, len(column), 1000):
-                s, x = shared.value.score([t or "" for t in column[lo : lo + 1000].to_pylist()])
+            for lo in range(0, len(column), 250):
+                s, x = shared.value.score([t or "" for t in column[lo : lo + 250].to_pylist()])
                 scores.append(s)
                 spans += [[{"start": a, "end": b, "p": q} for a, b, q in row] for row in x]
             added = [pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(spans, span)]
