@@ -182,8 +182,8 @@ def shingle_sets(column: pa.Array, k: int):
 # ---- ranks without gathering a group in one task ----
 
 
-def positions(rows: DataFrame, group: list[str], order: list[str], ws: Workspace, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows (kept as a table) with `pos`, each row's place from 0 in its group by order; the table.
+def positions(rows: DataFrame, group: list[str], order: list[str], ws: Workspace, parts: int | None = None, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (kept as a table) with `pos`, each row's place from 0 in its group by order, and in the column `total`, if it is named, the number of the group's rows; the table.
 
     A range partitioning by group and order splits large groups over tasks. The place within a partition and
     the number of a group's rows in the partitions before add up to the place; only these counts, one for each group
@@ -198,9 +198,10 @@ def positions(rows: DataFrame, group: list[str], order: list[str], ws: Workspace
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("_g", "_part", (before - F.col("_first")).alias("_shift"))
+    every = [F.sum("_n").over(Window.partitionBy("_g")).alias(total)] if total else []
+    cells = cells.select("_g", "_part", (before - F.col("_first")).alias("_shift"), *every)
     out = kept.withColumns({"_part": part, "_place": place, "_g": null_safe[0]}).alias("k").join(cells.alias("c"), (F.col("k._part") == F.col("c._part")) & F.col("k._g").eqNullSafe(F.col("c._g")))
-    return out.select(*[F.col(f"k.{c}") for c in rows.columns], (F.col("k._place") + F.col("c._shift")).alias("pos")), kept
+    return out.select(*[F.col(f"k.{c}") for c in rows.columns], (F.col("k._place") + F.col("c._shift")).alias("pos"), *([F.col(f"c.{total}")] if total else [])), kept
 
 
 # ---- joins in which a key may have very many rows ----

@@ -16,6 +16,9 @@ TABLE = {
     "op1_benchmark_leaks": ("decontaminate", "SQL"),
     "op3_source_mix": ("mixing", "SQL"),
     "op8_histogram_shards": ("sharding", None),
+    "op11_sibling_manifest": ("manifest", "SQL"),
+    "op12_importance_draw": ("importance", "SQL"),
+    "op13_rank_array_bpe": ("bpe", None),
 }
 
 
