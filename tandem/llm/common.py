@@ -92,6 +92,12 @@ def unclash(df: DataFrame, added) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of <name>_0, <name>_1 and so on that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count())) if n.lower() not in taken)
+
+
 def text_size(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, positions, text_size
+from .common import Workspace, free_name, positions, text_size
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2.0, 17
@@ -70,11 +70,11 @@ def _planned(slim: DataFrame, ties: list[str], ws: Workspace, weights, share: fl
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: documents with their columns, each row as often as the plan says."""
     ws = Workspace(documents.sparkSession, "mix")
-    kept = ws.keep(documents.withColumn("_mix_row", F.monotonically_increasing_id()))
-    slim = kept.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_mix_text"), "_mix_row")
-    plan = _planned(slim, ["_mix_text", "_mix_row"], ws, weights, share, most, seed).where("copies > 0").select("_mix_row", F.col("copies").cast("int").alias("_mix_copies"))
-    found = kept.join(plan, "_mix_row")
-    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*documents.columns)
+    row, copies, copy = (free_name(documents, name) for name in ("_mix_row", "_mix_copies", "_mix_copy"))
+    kept = ws.keep(documents.withColumn(row, F.monotonically_increasing_id()))
+    slim = kept.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie_text"), F.col(row).alias("_tie_row"))
+    plan = _planned(slim, ["_tie_text", "_tie_row"], ws, weights, share, most, seed).where("copies > 0").select(F.col("_tie_row").alias(row), F.col("copies").cast("int").alias(copies))
+    return kept.join(plan, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
 
 
 def op3_source_mix(spark, sf_dir):

@@ -1,16 +1,15 @@
 """Sharding by histogram sort.
 
-Documents are ordered by a key of two 63-bit numbers: a hash of the text, so that equal texts stand together, then a hash of
-doc_id. Round by round, every partition counts exactly the rows and bytes below candidate boundaries; the candidates
+Documents are ordered by a key of three 63-bit numbers: a hash of the text, so that equal texts stand together, a hash of
+doc_id, and a hash of the row's number in a written table, which tells repeated rows apart. Round by round, every partition counts exactly the rows and bytes below candidate boundaries; the candidates
 close in on each wanted byte total until a boundary is within the tolerance or falls between two neighbouring keys. A
 boundary stays between texts where that is within the tolerance; only inside a group of equal texts too large for that it
-goes on with the second number. Then the rows are exchanged once, by part.
+goes on with the second number, and inside a group of equal rows with the third, so a group of any size is cut. Then the rows are exchanged once, by part.
 
 A shard is a row of consecutive parts, so no task holds a shard: parts have 64 MB each up to 65,536 parts (4 TB); beyond they grow, to 1.6 GB at
 100 TB, and a part is sorted in one task, which may spill. The counts below the boundaries give each part's first slot, so slots need no pass of their own.
 
-Null texts have no bytes: size 1, crc32 0, the hash of the empty text. Null doc_ids get one hash; rows that tie in both
-numbers stay in one part and have their slots in order of doc_id and size. Extra columns pass through; an empty table gives an empty one.
+Null texts have no bytes: size 1, crc32 0, the hash of the empty text. Null doc_ids get one hash. Extra columns pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,21 +35,23 @@ class Boundary:
     """The search for one boundary: the wanted bytes below it, and the nearest keys known on either side with (bytes, rows) below."""
 
     want: int
-    low: tuple[int, int] = (0, 0)
-    high: tuple[int, int] = (TOP, 0)
+    low: tuple[int, int, int] = (0, 0, 0)
+    high: tuple[int, int, int] = (TOP, 0, 0)
     below_low: tuple[int, int] = (0, 0)
     below_high: tuple[int, int] = (0, 0)
     done: tuple | None = field(default=None)  # key, bytes, rows
 
-    def probes(self, n: int) -> list[tuple[int, int]]:
-        (a1, a2), (b1, b2) = self.low, self.high
-        if b1 - a1 > 1 or (b1 > a1 and a2 == 0 and b2 > 0):
-            step = [a1 + (b1 - a1) * i // (n + 1) for i in range(1, n + 1)]
-            return [(x, 0) for x in sorted({*step}) if a1 < x <= b1 and (x, 0) < self.high and (x, 0) > self.low]
-        top = b2 if b1 == a1 else TOP
-        return [(a1, x) for x in sorted({a2 + (top - a2) * i // (n + 1) for i in range(1, n + 1)}) if a2 < x < top]
-
-    def learn(self, key: tuple[int, int], below: tuple[int, int]) -> None:
+    def probes(self, n: int) -> list[tuple[int, int, int]]:
+        """Some n keys between the two, in the first of the numbers that still leaves room."""
+        for k in range(3):
+            at, top = self.low[k], self.high[k] if self.low[:k] == self.high[:k] else TOP - 1
+            steps = {at + max(1, (top - at) * i // (n + 1)) for i in range(1, n + 1)}
+            found = [key for x in sorted(steps) if x <= top and self.low < (key := (*self.low[:k], x, *(0,) * (2 - k))) < self.high]
+            if found:
+                return found
+        return []
+
+    def learn(self, key: tuple[int, int, int], below: tuple[int, int]) -> None:
         if below[0] <= self.want and key >= self.low:
             self.low, self.below_low = key, below
         if below[0] >= self.want and key <= self.high:
@@ -72,35 +73,36 @@ def keyed(documents: DataFrame) -> DataFrame:
     })
 
 
-def bucket_of(keys: list[tuple[int, int]]):
-    """For arrays k1, k2: how many of the sorted keys are at or below each row's."""
-    firsts, seconds = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+def bucket_of(keys: list[tuple[int, ...]]):
+    """For arrays of the numbers of rows' keys: how many of the sorted keys are at or below each row's."""
+    firsts = np.array([k[0] for k in keys], np.int64)
 
-    def find(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        out = np.searchsorted(firsts, k1, "left")
-        if len(firsts):
-            tied = np.flatnonzero(firsts[np.minimum(out, len(firsts) - 1)] == k1)
-            for a in np.unique(k1[tied]):  # rows that share their first number with keys are decided by the second
-                mine, lo, hi = tied[k1[tied] == a], *np.searchsorted(firsts, [a, a + 1])
-                out[mine] = lo + np.searchsorted(seconds[lo:hi], k2[mine], "right")
+    def find(first: np.ndarray, *others: np.ndarray) -> np.ndarray:
+        if not others or not len(firsts):
+            return np.searchsorted(firsts, first, "right")
+        out = np.searchsorted(firsts, first, "left")
+        tied = np.flatnonzero(firsts[np.minimum(out, len(firsts) - 1)] == first)
+        for a in np.unique(first[tied]):  # rows that share their first number with keys are decided by the others
+            mine, lo, hi = tied[first[tied] == a], *np.searchsorted(firsts, [a, a + 1])
+            out[mine] = lo + bucket_of([k[1:] for k in keys[lo:hi]])(*(x[mine] for x in others))
         return out
 
     return find
 
 
-def histogram(slim: DataFrame, keys: list[tuple[int, int]]) -> np.ndarray:
+def histogram(slim: DataFrame, keys: list[tuple[int, int, int]]) -> np.ndarray:
     """Exact (bytes, rows) below each key: partitions count, Spark sums."""
 
     def count(batches):
         find, out = bucket_of(keys), np.zeros((len(keys) + 1, 2), np.int64)
         for b in batches:
-            at = find(b.k1.to_numpy(), b.k2.to_numpy())
+            at = find(b.k1.to_numpy(), b.k2.to_numpy(), b.k3.to_numpy())
             out[:, 0] += np.bincount(at, b["size"].to_numpy(), len(keys) + 1).astype(np.int64)
             out[:, 1] += np.bincount(at, minlength=len(keys) + 1)
         some = np.flatnonzero(out[:, 1])
         yield pd.DataFrame({"bucket": some, "bytes": out[some, 0], "n": out[some, 1]})
 
-    rows = slim.select("k1", "k2", "size").mapInPandas(count, "bucket long, bytes long, n long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
+    rows = slim.select("k1", "k2", "k3", "size").mapInPandas(count, "bucket long, bytes long, n long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
     table = np.zeros((len(keys) + 1, 2), np.int64)
     for r in rows:
         table[r.bucket] = r.bytes, r.n
@@ -117,7 +119,7 @@ def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> lis
         b.settle(s)
     if any(b.done is None for b in found):
         spread = min(MAX_KEYS, 8 * n + 64)
-        keys = [(TOP * i // spread, 0) for i in range(1, spread)]
+        keys = [(TOP * i // spread, 0, 0) for i in range(1, spread)]
         below = histogram(slim, keys)
         totals = below[:-1, 0]
         for b, s in zip(found, slack):
@@ -142,13 +144,12 @@ def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> lis
 
 def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, columns: list[str] | None = None) -> DataFrame:
     """documents (or the given columns) with size, text_crc32, shard and slot; the exchange is by part."""
-    documents = unclash(documents, ["size", "text_crc32", "k1", "k2", "part", "start", "_p", "shard", "slot"])
+    documents = unclash(documents, ["size", "text_crc32", "k1", "k2", "k3", "part", "start", "_p", "shard", "slot"])
     columns = documents.columns if columns is None else columns
     ws = Workspace(documents.sparkSession, "shard")
-    rows = keyed(documents).select(*columns, "size", "text_crc32", "k1", "k2")
-    slim = ws.keep(rows.select("k1", "k2", "size") if "text" in columns else rows)
-    if "text" not in columns:
-        rows = slim
+    # the rows are written once: what tells equal rows apart has to be the same whenever they are read
+    numbered = keyed(documents).withColumn("k3", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(TOP - 1))
+    slim = rows = ws.keep(numbered.select(*columns, "size", "text_crc32", "k1", "k2", "k3"))
     total = slim.agg(F.sum("size")).first()[0] or 0
     parts = max(1, min(MAX_PARTS // shards, -(-total // (shards * part_bytes))))
     cuts = splitters(slim, shards, parts, tolerance)
@@ -157,12 +158,12 @@ def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     first = np.array([below[p] - below[p // parts * parts] for p in range(shards * parts)], np.int64)
 
     @F.pandas_udf("part int, start long")
-    def part_of(k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
-        part = find(k1.to_numpy(), k2.to_numpy())
+    def part_of(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.DataFrame:
+        part = find(k1.to_numpy(), k2.to_numpy(), k3.to_numpy())
         return pd.DataFrame({"part": part.astype(np.int32), "start": first[part]})
 
-    dealt = rows.withColumn("_p", part_of("k1", "k2")).select("*", F.col("_p.part").alias("part"), F.col("_p.start").alias("start")).repartition(shards * parts, "part")
-    at = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2", *(["doc_id"] if "doc_id" in columns else []), "size")) - 1
+    dealt = rows.withColumn("_p", part_of("k1", "k2", "k3")).select("*", F.col("_p.part").alias("part"), F.col("_p.start").alias("start")).repartition(shards * parts, "part")
+    at = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2", "k3")) - 1
     return dealt.select(*columns, "size", "text_crc32", (F.col("part") / parts).cast("int").alias("shard"), (at + F.col("start")).cast("long").alias("slot"))
 
 

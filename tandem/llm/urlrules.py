@@ -27,8 +27,6 @@ from .components import connected_components
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: A table of at most so many rules is broadcast, a longer one joined by host.
 MAX_RULES = 100_000
-#: Characters of folder and link up to which steps upward are walked; longer ones with such steps are no links.
-MAX_STEPS = 8000
 ADDED = ["host", "path", "rule", "verdict"]
 
 
@@ -50,14 +48,30 @@ def plain(url: Column) -> Column:
     return F.when(host != "", F.replace(form, F.lit("://"), F.lit(":")))  # a form is no url, so no rule fits one that its query holds
 
 
+def walked_up(parts: Column) -> Column:
+    """Parts of a path without those that a `..` takes back; one at the root takes nothing.
+
+    Every part is a run of steps up and of names; neighbours are joined round by round, half as many each time, so a path of n parts takes n log n.
+    """
+    run = lambda p: F.struct(F.when(p == "..", 1).otherwise(0).alias("up"), F.when(p == "..", F.array().cast("array<string>")).otherwise(F.array(p)).alias("names"))
+
+    def joined(a: Column, b: Column) -> Column:
+        left = F.size(a["names"])
+        both = F.struct((a["up"] + F.greatest(b["up"] - left, F.lit(0))).alias("up"), F.concat(F.slice(a["names"], F.lit(1), F.greatest(left - b["up"], F.lit(0))), b["names"]).alias("names"))
+        return F.when(b.isNull(), a).otherwise(both)
+
+    # a string has fewer than 2 ** 31 parts; once one run is left, a round changes nothing
+    halved = lambda runs, _: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(runs) - 1) / 2).cast("int"))), lambda i: joined(F.get(runs, 2 * i), F.get(runs, 2 * i + 1)))
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.transform(parts, run), halved), F.lit(0))["names"]
+
+
 def absolute(link: Column, url: Column) -> Column:
     """A link as it stands in the page of a url; null for other schemes, for places within the page and where the url has no host."""
     base, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    up = lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(p)))
     parts = F.filter(F.split(F.concat(folder, F.regexp_extract(link, r"(?s)^([^?#]*)", 1)), "/"), lambda p: p != ".")
-    steps = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit("")), up)
-    walked = F.when(~F.contains(link, F.lit("..")), F.array_join(parts, "/")).when(F.length(folder) + F.length(link) <= MAX_STEPS, F.array_join(steps, "/"))
+    steps = F.concat(F.array(F.lit("")), F.coalesce(walked_up(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))), F.array().cast("array<string>")))
+    walked = F.array_join(F.when(F.contains(link, F.lit("..")), steps).otherwise(parts), "/")
     near = F.concat(base, walked, F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1))
     return (
         F.when((link == "") | link.startswith("#") | (base == ""), None)
@@ -144,7 +158,7 @@ found as (select url, host, path, base, case when path = '' then '/' else regexp
   unnest([regexp_extract(list_filter(regexp_extract_all(head, '(?i)<link\b[^<>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*[\x22'']?canonical\b'))[1], '(?i)\bhref\s*=\s*[\x22'']?([^\x22''\s>]+)', 1),
     regexp_extract(list_filter(regexp_extract_all(head, '(?i)<meta\b[^<>]*>'), lambda t: regexp_matches(t, '(?i)http-equiv\s*=\s*[\x22'']?refresh\b'))[1], '(?i)\burl\s*=\s*[\x22'']?([^\x22''\s>;]+)', 1)]) as raw from u0 where url is not null),
 links as (select *, replace(raw, '&amp;', '&') as link from found where raw <> ''),
-near as (select *, case when not contains(link, '..') then array_to_string([p for p in string_split(folder || regexp_extract(link, '(?s)^([^?#]*)', 1), '/') if p <> '.'], '/') when len(folder) + len(link) <= 8000 then array_to_string(list_reduce([[p] for p in string_split(folder || regexp_extract(link, '(?s)^([^?#]*)', 1), '/') if p <> '.'],
+near as (select *, case when not contains(link, '..') then array_to_string([p for p in string_split(folder || regexp_extract(link, '(?s)^([^?#]*)', 1), '/') if p <> '.'], '/') else array_to_string(list_reduce([[p] for p in string_split(folder || regexp_extract(link, '(?s)^([^?#]*)', 1), '/') if p <> '.'],
   lambda acc, p: case when p[1] = '..' then acc[1 : greatest(len(acc) - 1, 1)] else list_concat(acc, p) end), '/') end || regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) as walked from links),
 edges as (select distinct a, b from (
     select url as a, case when host <> '' then replace(regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(rtrim(path, '/'), '\.html?$', '') || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end, '://', ':') end as b from u0 where url is not null

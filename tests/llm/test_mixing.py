@@ -73,3 +73,10 @@ def test_very_long_texts_and_clashing_columns(spark):
     assert {d: r["size"] for d, r in plan.items()} == {1: 1_000_000, 2: 1, 3: 2, 4: 0, None: 0} and all(r.taken <= 2 * r["size"] for r in plan.values())
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and {r.target for r in mixed.collect()} <= {5}
+
+
+def test_columns_named_like_the_row_numbers_keep_their_values(spark):
+    rows = [(i, " ".join("w" * (i + 1)), "ab"[i % 2], 10 * i, 3, 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_row int, _mix_copies int, _mix_copy int")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and all(r._mix_row == 10 * r.doc_id and r._mix_copies == 3 and r._mix_copy == 4 for r in got.collect())

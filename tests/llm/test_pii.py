@@ -147,3 +147,16 @@ def test_long_words_take_linear_time():
     text = "x" * 1_000_000
     assert pii.Classifier({}).spans(text, pii.base_spans(text)) == []
     assert time.time() - began < 1
+
+
+def test_very_long_tokens_and_addresses_are_proposed():
+    import time
+
+    key, name = "a1b2C3d4" * 12_500, "x1y" * 40_000
+    text = f"token = {key} and {name}@{'host1.' * 20_000}com or {name} (at) {'host1.' * 20_000}org"
+    began = time.time()
+    found = {(k, text[a:b]) for k, a, b in pii.proposals(text)}
+    assert (4, key) in found and (0, f"{name}@{'host1.' * 20_000}com") in found and any(k == 0 and "(at)" in s and len(s) > 200_000 for k, s in found)
+    for k, a, b in pii.proposals(text):
+        pii.pattern(k, text, a, b)
+    assert time.time() - began < 10

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tandem.llm import sharding
 
 
@@ -43,7 +45,7 @@ def test_few_rows_and_none(spark):
 def test_against_sorting_by_key_and_cutting_at_byte_totals(spark):
     rows = [(i, "é" * (i * 53 % 300) + str(i % 700)) for i in range(2000)] + [(i, "copy" * 50) for i in range(3000, 3400)] + [(5000, None), (None, "x"), (7, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    keys = sorted(((r.k1, r.k2, r.doc_id, r["size"], r.text) for r in sharding.keyed(df).collect()), key=lambda k: k[:2])
+    keys = sorted(((r.k1, r.k2, r.doc_id, r["size"], r.text) for r in sharding.keyed(df).collect()), key=lambda k: k[:2])  # no two rows are equal here
     sums = [0]
     for k in keys:
         sums.append(sums[-1] + k[3])
@@ -64,3 +66,24 @@ def test_buckets_against_comparing_pairs():
     k1, k2 = rng.integers(0, 7, 400), rng.integers(0, 7, 400)
     want = [sum(k <= (a, b) for k in keys) for a, b in zip(k1.tolist(), k2.tolist())]
     assert sharding.bucket_of(keys)(k1, k2).tolist() == want and sharding.bucket_of([])(k1, k2).tolist() == [0] * 400
+
+
+def test_buckets_of_three_numbers_against_comparing():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    keys = sorted({tuple(map(int, k)) for k in rng.integers(0, 4, (20, 3))})
+    rows = rng.integers(0, 5, (500, 3))
+    assert sharding.bucket_of(keys)(*rows.T).tolist() == [sum(k <= tuple(r) for k in keys) for r in rows.tolist()]
+
+
+def test_equal_rows_are_cut_to_the_tolerance(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("cast(7 as bigint) as doc_id", "repeat('equal row ', 5) as text").unionByName(spark.range(1000).selectExpr("id as doc_id", "concat('own ', id) as text"))
+    for columns, part_bytes in ((["doc_id"], sharding.PART_BYTES), (None, 100_000)):
+        got = sharding.shard(df, columns=columns, part_bytes=part_bytes)
+        counts = [F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("top")]
+        sizes = {r.shard: r for r in got.groupBy("shard").agg(*counts).collect()}
+        mean = sum(r.bytes for r in sizes.values()) / 8
+        assert len(sizes) == 8 and all(abs(r.bytes - mean) <= 0.005 * mean + 60 and r.n == r.slots == r.top + 1 for r in sizes.values())
+        assert sum(r.n for r in sizes.values()) == n + 1000

@@ -77,3 +77,33 @@ def test_query_and_sql_where_aliases_decide(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/pages.parquet")
     by_alias = [r for r in urlrules.judge(got, urlrules.rule_table(spark, urlrules.RULES)).collect() if r.rule is None and r.verdict == "block"]
     assert len(by_alias) > 10
+
+
+def test_steps_upward_against_a_stack(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    def walked(parts):
+        out = []
+        for p in parts:
+            if p == "..":
+                del out[-1:]
+            else:
+                out.append(p)
+        return out
+
+    rng = random.Random(2)
+    rows = [(i, [rng.choice(["..", "a", "", "b"]) for _ in range(rng.randint(0, 40))]) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, parts array<string>").withColumn("w", F.coalesce(urlrules.walked_up(F.col("parts")), F.array())).collect()
+    assert all(r.w == walked(r.parts) for r in got)
+
+
+def test_links_of_any_length_reach_their_target(spark):
+    far = "c/" * 500_000
+    pages = [
+        (1, "http://p.io/a/b", f'<link rel=canonical href="../es/{"x" * 9000}">', ""), (2, "http://q.io/a/b", f'<link rel=canonical href="{far}{"../" * 500_000}../es/1">', ""),
+        (3, "http://r.io/a/" + far + "z", f'<link rel=canonical href="{"../" * 500_001}../t">', ""),
+    ]
+    red = [(f"http://p.io/es/{'x' * 9000}", "http://z.org/es/1"), ("http://q.io/es/1", "http://z.org/es/2"), ("http://r.io/t", "http://z.org/es/3")]
+    assert {i: r.verdict for i, r in judge(spark, pages, red).items()} == {1: "block", 2: "block", 3: "block"}
