@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from tandem.llm.common import Workspace, read
+from tandem.llm.common import Workspace, free_name, read
 
 
 def apart(docs: DataFrame, added: set[str]) -> tuple[DataFrame, list[Column]]:
@@ -34,13 +34,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the smallest doc_id (null last), of each group that links of 5-word shingles at a Jaccard similarity of 0.8 or more join."""
-    kept = Workspace(spark, "copies").keep(docs.withColumn("_copy_row", F.monotonically_increasing_id()))
-    slim = kept.select(F.col("_copy_row").alias("doc_id"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    number = free_name(docs, "_copy_row")
+    kept = Workspace(spark, "copies").keep(docs.withColumn(number, F.monotonically_increasing_id()))
+    slim = kept.select(F.col(number).alias("doc_id"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
     found = jaccard.join(slim, k=5, percent=80, columns=["doc_id", "_id", "_text"])
     row = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text", F.col("doc_id").alias("row"))
     first = found.groupBy("component_id").agg(F.min(row)["row"].alias("_first"))
-    gone = found.join(first, F.col("doc_id") == F.col("_first"), "left_anti").select(F.col("doc_id").alias("_copy_row"))
-    return kept.join(gone, "_copy_row", "left_anti").select(docs.columns)
+    gone = found.join(first, F.col("doc_id") == F.col("_first"), "left_anti").select(F.col("doc_id").alias(number))
+    return kept.join(gone, number, "left_anti").select(docs.columns)
 
 
 def benchmark_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
