@@ -4,10 +4,11 @@ A vocabulary is a file of the tokenizers library: a byte-level BPE model with th
 signs, each with at most one space before it, and white space), no normaliser, and added tokens, which are taken out of a text first, the longest
 where several begin. Files of other kinds are refused. The driver reads the file and broadcasts it, so its size bounds what is sent.
 
-A word of at most SHORT bytes is held as an array of part boundaries beside an array of the ranks of adjacent parts. The lowest rank, the first of equal
-ones, is found by scanning; its boundary is deleted and the ranks of its two neighbours are looked up anew, until no adjacent parts have a rank. Scanning
-a longer word so would be quadratic, so there the ranks stand in a heap and the parts in a linked list, which merges in the same order. The encodings
-of short words are remembered, up to MEMO words a task; nothing else outlives a text.
+A word of at most SHORT bytes is an array of its parts, one between every two boundaries, beside an array of the ranks of adjacent parts. The lowest rank, the first of equal
+ones, is found by scanning; the boundary within that pair is deleted, and the ranks of the joined part and its two neighbours are looked up anew, until no adjacent parts
+have a rank. The new words of many texts are rows of such arrays, of which numpy takes a step at once. Scanning a longer word so would be quadratic; there the ranks stand
+in a heap and the parts in a linked list, which merges in the same order. Encodings of short words are remembered, the last MEMO to 2 * MEMO words that a task met;
+nothing else outlives a run of texts.
 
 Characters that the vocabulary's Unicode version (16) does not assign are signs, neither letters nor numbers. Null and empty texts have no tokens. Very long texts are split
 in blocks, at white space after other characters, where a word begins in any case; a single word is held whole. Rows are encoded each for itself, so
@@ -32,11 +33,11 @@ from pyspark.sql import types as T
 
 from .common import read, unclash
 
-#: Bytes of a word that is merged by scanning; words that a task remembers.
-SHORT, MEMO = 128, 1 << 17
-#: Characters of a text that are split into words at once, and tokens that are decoded at once.
+#: Bytes of a word that is merged by scanning; words that a task remembers; words that are merged at once.
+SHORT, MEMO, ROWS = 128, 1 << 17, 2048
+#: Characters that are split into words at once, and tokens that are decoded at once.
 BLOCK, TOKENS = 1 << 20, 1 << 20
-NONE = 1 << 40
+NONE = 1 << 30
 
 #: Code points to which later versions of Unicode than 16 give a letter or a number, so that the vocabulary takes them for signs.
 LATER = (
@@ -95,28 +96,68 @@ class Vocabulary:
         self.special = {t["id"] for t in config["added_tokens"] if t["special"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: raw(t) for t, i in self.added.items()}
         self.taken_out = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        # the same by numbers: pairs of ids in order with their ranks, the id that each rank makes, ids of bytes, ranks of pairs of bytes
+        coded = sorted((self.ids[raw(a)] << 32 | self.ids[raw(b)], r) for r, (a, b) in enumerate(pairs))
+        self.pairs, self.pair_ranks = (np.array([x[i] for x in coded], np.int64) for i in (0, 1))
+        self.made = np.array([self.ids[raw(a) + raw(b)] for a, b in pairs], np.int64)
+        self.bytes = np.array([self.ids[bytes([i])] for i in range(256)], np.int64)
+        self.byte_ranks = np.array([[self.ranks.get((bytes([i]), bytes([j])), NONE) for j in range(256)] for i in range(256)], np.int64)
 
     @classmethod
     def open(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def cuts(self, word: bytes) -> list[int]:
-        """Boundaries of the parts of a word, by one contiguous array of boundaries and one of ranks."""
-        rank = self.ranks.get
-        cut = list(range(len(word) + 1))
-        ranks = [rank((word[i : i + 1], word[i + 1 : i + 2]), NONE) for i in range(len(word) - 1)]
-        while ranks and (low := min(ranks)) < NONE:
-            i = ranks.index(low)
-            del cut[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank((word[cut[i - 1] : cut[i]], word[cut[i] : cut[i + 1]]), NONE)
-            if i < len(ranks):
-                ranks[i] = rank((word[cut[i] : cut[i + 1]], word[cut[i + 1] : cut[i + 2]]), NONE)
-        return cut
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NONE where they have none or an id is -1."""
+        if not len(self.pairs):
+            return np.full(a.shape, NONE, np.int64)
+        code = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.pair_ranks[at], NONE)
+
+    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of short words: rows of parts (-1 behind the last) and of ranks, where rank j is that of parts j and j + 1."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for lo in range(0, len(order), ROWS):
+            rows = np.array(order[lo : lo + ROWS])
+            sizes = np.array([len(words[i]) for i in rows])
+            width = max(2, int(sizes.max()))
+            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width)
+            column = np.arange(width)
+            parts = np.where(column < sizes[:, None], self.bytes[raw], -1)
+            ranks = np.where(column[1:] < sizes[:, None], self.byte_ranks[raw[:, :-1], raw[:, 1:]], NONE)
+            while len(rows):
+                at = ranks.argmin(axis=1)
+                row = np.arange(len(rows))
+                low = ranks[row, at]
+                done = low == NONE
+                if done.any():
+                    for i, ids in zip(rows[done].tolist(), parts[done].tolist()):
+                        out[i] = tuple(ids[: ids.index(-1)] if ids[-1] < 0 else ids)
+                    rows, parts, ranks, at, low = (x[~done] for x in (rows, parts, ranks, at, low))
+                    row = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                    # the longest row left says how many columns there still are
+                    width = max(2, int((parts >= 0).sum(axis=1).max()))
+                    parts, ranks = parts[:, :width], ranks[:, : width - 1]
+                    at = np.minimum(at, width - 2)
+                parts[row, at] = self.made[low]
+                gone = at[:, None]
+                kept = np.arange(width - 1)
+                parts[:, :-1] = np.take_along_axis(parts, kept + (kept > gone), 1)
+                parts[:, -1] = -1
+                ranks[:, :-1] = np.take_along_axis(ranks, kept[:-1] + (kept[:-1] >= gone), 1)
+                ranks[:, -1] = NONE
+                ranks[row, at] = self.rank_of(parts[row, at], parts[row, at + 1])
+                left = np.flatnonzero(at > 0)
+                ranks[left, at[left] - 1] = self.rank_of(parts[left, at[left] - 1], parts[left, at[left]])
+        return out
 
     def cuts_of_long(self, word: bytes) -> list[int]:
-        """The same for a long word: ranks in a heap, parts in a list linked both ways. An entry counts only while its two parts are those that it was made for."""
+        """Boundaries of the parts of a long word: ranks in a heap, parts in a list linked both ways. An entry counts only while its two parts are those that it was made for."""
         rank, n = self.ranks.get, len(word)
         after, before, there = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1" * n)
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank((word[i : i + 1], word[i + 1 : i + 2]))) is not None]
@@ -136,37 +177,57 @@ class Vocabulary:
                     heapq.heappush(heap, (r, p, a, end))
         return [*(i for i in range(n) if there[i]), n]
 
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
-        cut = self.cuts(word) if len(word) <= SHORT else self.cuts_of_long(word)
-        return tuple(self.ids[word[a:b]] for a, b in zip(cut, cut[1:]))
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        found = dict(zip(short := [w for w in words if len(w) <= SHORT], self.merge(short)))
+        for w in words:
+            if len(w) > SHORT:
+                cut = self.cuts_of_long(w)
+                found[w] = tuple(self.ids[w[a:b]] for a, b in zip(cut, cut[1:]))
+        return [found[w] for w in words]
 
 
-class Encoder(dict):
-    """Ids of a word by the word; those of short words are remembered."""
+class Encoder:
+    """Encodes texts with a memory of short words in two generations: what the older one still knows moves to the younger when it is met again."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        found = self.vocabulary.encode_word(raw)
-        if len(raw) <= SHORT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = found
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        added, out = self.vocabulary.added, []
-        for i, piece in enumerate(self.vocabulary.taken_out.split(text) if self.vocabulary.taken_out else [text]):
-            if i % 2:
-                out.append(np.array([added[piece]], np.int32))
-            elif piece:
-                out += [np.fromiter(chain.from_iterable(map(self.__getitem__, block)), np.int32) for block in words(piece)]
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        self.vocabulary, self.memo, self.old = vocabulary, {}, {}
+
+    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids by word, for the given words and others."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        new = words - self.memo.keys()
+        known = {w: self.old[w] for w in new & self.old.keys()}
+        rest = list(new - known.keys())
+        found = dict(zip(rest, self.vocabulary.encode_words([w.encode() for w in rest])))
+        self.memo |= known
+        self.memo |= {w: ids for w, ids in found.items() if len(w) <= SHORT}
+        return self.memo if all(len(w) <= SHORT for w in found) else self.memo | found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts are taken together until they have BLOCK characters, longer ones a block at a time."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        added, taken_out, waiting, size = self.vocabulary.added, self.vocabulary.taken_out, [], 0
+
+        def settle():
+            ids = self.learn({w for _, block in waiting if block.__class__ is list for w in block})
+            for i, block in waiting:
+                out[i].append(np.fromiter(chain.from_iterable(map(ids.__getitem__, block)), np.int32) if block.__class__ is list else np.array([block], np.int32))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for k, piece in enumerate(taken_out.split(text) if taken_out else [text]):
+                if k % 2:
+                    waiting.append((i, added[piece]))
+                elif piece:
+                    for block in words(piece):
+                        waiting.append((i, block))
+                        size += min(len(piece), BLOCK)
+                        if size >= BLOCK:
+                            settle()
+                            size = 0
+        settle()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
 
 
 class Decoder:
@@ -198,7 +259,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, column: str = "text", a
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            found = [encoder.encode(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(column))]
+            found = encoder.encode([t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()])
             for lo, hi in blocks([len(f) for f in found]):
                 ends = np.cumsum([0, *[len(f) for f in found[lo:hi]]]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found[lo:hi], np.zeros(0, np.int32)])))

@@ -37,7 +37,7 @@ def test_against_the_library_on_drawn_texts(vocabulary, library):
     texts = [drawn(rng) for _ in range(1500)] + ["".join(chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0x10000, 0x20000)])) for _ in range(40)) for _ in range(500)]
     for text in texts:
         want = library.encode(text, add_special_tokens=False).ids
-        got = encoder.encode(text)
+        got = encoder.encode([text])[0]
         assert got.tolist() == want, text
         assert decoder.decode(got) == library.decode(want, skip_special_tokens=False)
         assert without.decode(got) == library.decode(want, skip_special_tokens=True)
@@ -70,13 +70,14 @@ def merged_by_definition(vocabulary, word):
 
 
 def test_both_ways_of_merging_give_the_same_parts(vocabulary):
-    rng = random.Random(7)
+    rng, words = random.Random(7), []
     for n in [0, 1, 2, 3, *range(5, 400, 13)]:
         for letters in ("ab", "etaoin ", "aaaa", "".join(map(chr, range(33, 127)))):
             word = "".join(rng.choice(letters) for _ in range(n)).encode()
-            want = merged_by_definition(vocabulary, word)
-            for cuts in (vocabulary.cuts(word), vocabulary.cuts_of_long(word)):
-                assert [word[a:b] for a, b in zip(cuts, cuts[1:])] == want
+            words.append(word)
+    for word, ids in zip(words, vocabulary.merge(words)):
+        want, cuts = merged_by_definition(vocabulary, word), vocabulary.cuts_of_long(word)
+        assert [vocabulary.tokens[i] for i in ids] == want and [word[a:b] for a, b in zip(cuts, cuts[1:])] == want
 
 
 def test_long_words_and_texts(vocabulary, library, monkeypatch):
@@ -85,17 +86,18 @@ def test_long_words_and_texts(vocabulary, library, monkeypatch):
     encoder = bpe.Encoder(vocabulary)
     for text in ("ab" * 150_000, "x" * 300_000, " " * 300_000, "é!" * 100_000, "A man 12 \n\n a plan " * 20_000):
         began = time.time()
-        got = encoder.encode(text)
+        got = encoder.encode([text])[0]
         assert time.time() - began < 20
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
     rng = random.Random(8)
     monkeypatch.setattr(bpe, "BLOCK", 7)  # every text in many blocks
     monkeypatch.setattr(bpe, "MEMO", 5)
     monkeypatch.setattr(bpe, "TOKENS", 3)
-    decoder = bpe.Decoder(vocabulary, False)
-    for _ in range(300):
-        text = drawn(rng)
-        got = bpe.Encoder(vocabulary).encode(text)
+    monkeypatch.setattr(bpe, "ROWS", 4)
+    monkeypatch.setattr(bpe, "SHORT", 6)
+    decoder, encoder = bpe.Decoder(vocabulary, False), bpe.Encoder(vocabulary)
+    for text, got in zip(texts := [drawn(rng) for _ in range(300)], encoder.encode(texts)):
+        assert len(encoder.memo) < 100
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
         assert decoder.decode(got) == text
 
