@@ -54,7 +54,7 @@ SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 WORDS_ASCII = re.compile(SPLIT.format(L="[A-Za-z]", N="[0-9]", S=r"\x09-\x0D\x20", O="A-Za-z0-9"))
 WORDS_ANY = regex.compile(SPLIT.format(L=r"\p{L}", N=r"\p{N}", S=SPACES, O=r"\p{L}\p{N}"))
 WORDS_LATER = regex.compile("(?V1)" + SPLIT.format(L=rf"[\p{{L}}--[{LATER}]]", N=rf"[\p{{N}}--[{LATER}]]", S=SPACES, O=rf"[\p{{L}}--[{LATER}]][\p{{N}}--[{LATER}]]"))
-IS_LATER = re.compile(f"[{LATER}]")
+IS_LATER, MAY_BE_LATER = re.compile(f"[{LATER}]"), re.compile(r"[\u0558-\U0010FFFF]")
 #: White space after another character: a word begins there, whatever stands around.
 CUT = re.compile(rf"[^{SPACES}](?=[{SPACES}])")
 
@@ -67,7 +67,7 @@ def byte_signs() -> dict[str, int]:
 
 def words(text: str):
     """Lists of the words of a text, by blocks."""
-    find = (WORDS_ASCII if text.isascii() else WORDS_LATER if IS_LATER.search(text) else WORDS_ANY).findall
+    find = (WORDS_ASCII if text.isascii() else WORDS_LATER if MAY_BE_LATER.search(text) and IS_LATER.search(text) else WORDS_ANY).findall
     at = 0
     while len(text) - at > BLOCK and (cut := CUT.search(text, at + BLOCK)):
         yield find(text[at : cut.end()])
@@ -111,10 +111,10 @@ class Vocabulary:
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE where they have none or an id is -1."""
         if not len(self.pairs):
-            return np.full(a.shape, NONE, np.int64)
-        code = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+            return np.full(a.shape, NONE, np.int32)
+        code = a.astype(np.int64) << 32 | b  # negative where an id is
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == code, self.pair_ranks[at], NONE)
+        return np.where(self.pairs[at] == code, self.pair_ranks[at], NONE).astype(np.int32)
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of short words: rows of parts (-1 behind the last) and of ranks, where rank j is that of parts j and j + 1."""
@@ -123,37 +123,29 @@ class Vocabulary:
         for lo in range(0, len(order), ROWS):
             rows = np.array(order[lo : lo + ROWS])
             sizes = np.array([len(words[i]) for i in rows])
-            width = max(2, int(sizes.max()))
+            width = max(1, int(sizes.max()))
             raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width)
             column = np.arange(width)
-            parts = np.where(column < sizes[:, None], self.bytes[raw], -1)
-            ranks = np.where(column[1:] < sizes[:, None], self.byte_ranks[raw[:, :-1], raw[:, 1:]], NONE)
+            parts = np.where(column < sizes[:, None], self.bytes[raw], -1).astype(np.int32)
+            ranks = np.where(column[1:] < sizes[:, None], self.byte_ranks[raw[:, :-1], raw[:, 1:]], NONE).astype(np.int32)
             while len(rows):
-                at = ranks.argmin(axis=1)
-                row = np.arange(len(rows))
-                low = ranks[row, at]
-                done = low == NONE
-                if done.any():
-                    for i, ids in zip(rows[done].tolist(), parts[done].tolist()):
-                        out[i] = tuple(ids[: ids.index(-1)] if ids[-1] < 0 else ids)
+                row, n = np.arange(len(rows)), parts.shape[1]
+                at = ranks.argmin(axis=1) if n > 1 else row
+                low = ranks[row, at] if n > 1 else np.full(len(rows), NONE)
+                if (done := low == NONE).any():
+                    for i, ids, size in zip(rows[done].tolist(), parts[done].tolist(), (parts[done] >= 0).sum(axis=1).tolist()):
+                        out[i] = tuple(ids[:size])
                     rows, parts, ranks, at, low = (x[~done] for x in (rows, parts, ranks, at, low))
                     row = np.arange(len(rows))
                     if not len(rows):
                         break
-                    # the longest row left says how many columns there still are
-                    width = max(2, int((parts >= 0).sum(axis=1).max()))
-                    parts, ranks = parts[:, :width], ranks[:, : width - 1]
-                    at = np.minimum(at, width - 2)
                 parts[row, at] = self.made[low]
-                gone = at[:, None]
-                kept = np.arange(width - 1)
-                parts[:, :-1] = np.take_along_axis(parts, kept + (kept > gone), 1)
-                parts[:, -1] = -1
-                ranks[:, :-1] = np.take_along_axis(ranks, kept[:-1] + (kept[:-1] >= gone), 1)
-                ranks[:, -1] = NONE
-                ranks[row, at] = self.rank_of(parts[row, at], parts[row, at + 1])
-                left = np.flatnonzero(at > 0)
-                ranks[left, at[left] - 1] = self.rank_of(parts[left, at[left] - 1], parts[left, at[left]])
+                # every row loses one boundary, so the arrays stay rectangular
+                kept = np.ones(parts.shape, bool)
+                kept[row, at + 1] = False
+                parts, ranks = parts[kept].reshape(len(rows), n - 1), ranks[kept[:, 1:]].reshape(len(rows), n - 2)
+                for some, first in ((np.flatnonzero(at < n - 2), at), (np.flatnonzero(at > 0), at - 1)):
+                    ranks[some, first[some]] = self.rank_of(parts[some, first[some]], parts[some, first[some] + 1])
         return out
 
     def cuts_of_long(self, word: bytes) -> list[int]:
@@ -192,17 +184,15 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.memo, self.old = vocabulary, {}, {}
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids by word, for the given words and others."""
+    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct words."""
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
-        new = words - self.memo.keys()
-        known = {w: self.old[w] for w in new & self.old.keys()}
-        rest = list(new - known.keys())
+        new = [w for w in words if w not in self.memo]
+        rest = [w for w in new if w not in self.old]
         found = dict(zip(rest, self.vocabulary.encode_words([w.encode() for w in rest])))
-        self.memo |= known
-        self.memo |= {w: ids for w, ids in found.items() if len(w) <= SHORT}
-        return self.memo if all(len(w) <= SHORT for w in found) else self.memo | found
+        self.memo |= {w: ids for w in new if len(w) <= SHORT and (ids := found.get(w) or self.old.get(w))}
+        return [self.memo.get(w) or found[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; texts are taken together until they have BLOCK characters, longer ones a block at a time."""
@@ -210,9 +200,18 @@ class Encoder:
         added, taken_out, waiting, size = self.vocabulary.added, self.vocabulary.taken_out, [], 0
 
         def settle():
-            ids = self.learn({w for _, block in waiting if block.__class__ is list for w in block})
+            number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(block for _, block in waiting if block.__class__ is list)))}
+            ids = self.ids_of(list(number))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, first = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
             for i, block in waiting:
-                out[i].append(np.fromiter(chain.from_iterable(map(ids.__getitem__, block)), np.int32) if block.__class__ is list else np.array([block], np.int32))
+                if block.__class__ is not list:
+                    out[i].append(np.array([block], np.int32))
+                    continue
+                word = np.fromiter(map(number.__getitem__, block), np.int64, len(block))
+                ends = np.cumsum(sizes[word])
+                # the ids of each word stand together, from its first place on
+                out[i].append(flat[np.arange(ends[-1]) + np.repeat(first[word] - ends + sizes[word], sizes[word])])
             waiting.clear()
 
         for i, text in enumerate(texts):

@@ -62,7 +62,8 @@ def walked_up(parts: Column) -> Column:
 
     # a string has fewer than 2 ** 31 parts; once one run is left, a round changes nothing
     halved = lambda runs, _: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(runs) - 1) / 2).cast("int"))), lambda i: joined(F.get(runs, 2 * i), F.get(runs, 2 * i + 1)))
-    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.transform(parts, run), halved), F.lit(0))["names"]
+    runs = F.concat(F.array(run(F.lit(".."))), F.transform(parts, run))  # a step up from the root, so there is one run at least
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(31)), runs, halved), F.lit(0))["names"]
 
 
 def absolute(link: Column, url: Column) -> Column:
@@ -70,7 +71,7 @@ def absolute(link: Column, url: Column) -> Column:
     base, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
     parts = F.filter(F.split(F.concat(folder, F.regexp_extract(link, r"(?s)^([^?#]*)", 1)), "/"), lambda p: p != ".")
-    steps = F.concat(F.array(F.lit("")), F.coalesce(walked_up(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))), F.array().cast("array<string>")))
+    steps = F.concat(F.array(F.lit("")), walked_up(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))))
     walked = F.array_join(F.when(F.contains(link, F.lit("..")), steps).otherwise(parts), "/")
     near = F.concat(base, walked, F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1))
     return (
