@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -100,22 +100,123 @@ def compact(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("run", run).groupBy(*keys, "run", "type").agg(joined.alias("value"))
 
 
-_WORDS = re.compile(r"\w+|\s+|[^\w\s]")
+# ---- words ----
+
+#: What makes a word, and white space other than line breaks. Any other character is a token of its own, so ideographs are.
+WORD = r"a-zA-Z0-9_\u00AD\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02C6\u02C8-\u02D7\u02DE-\u02FF\u1E00-\u1EFF"
+BLANK = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+TOKENS = re.compile(rf"\r?\n|[{WORD}]+|[{BLANK}]+|[^{WORD}]")
+TRIMMED = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Edits between two states of the front that are remembered on the way; those in between are worked out again on the way back.
+STRIDE, NOWHERE = 128, -(1 << 30)
+
+
+class Edits:
+    """A shortest edit script of two sequences of numbers: the front of the furthest places on every diagonal, an edit at a time (Myers 1986).
+
+    Place x of a and y of b stand on diagonal x - y. Of two ways to a diagonal the one further in a is taken, and a deletion where both are as far. All
+    diagonals of a step are arrays. Memory is that of every STRIDE-th front and of the fronts of one stride, not of all edits.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.n, self.m = len(a), len(b)
+        self.a, self.b = np.append(a, -1), np.append(b, -2)
+        front = np.full(self.n + self.m + 3, NOWHERE, np.int32)
+        front[self.m + 1] = 0
+        self.extend(front, np.zeros(1, np.int64))
+        self.kept, self.edits = [front.copy()], 0
+        while front[self.n + 1] < self.n:
+            self.step(front, self.edits + 1)
+            self.edits += 1
+            if self.edits % STRIDE == 0:
+                self.kept.append(front.copy())
+
+    def diagonals(self, d: int) -> np.ndarray:
+        low = -d if d <= self.m else -self.m + (d - self.m) % 2
+        high = d if d <= self.n else self.n - (d - self.n) % 2
+        return np.arange(low, high + 1, 2)
+
+    def step(self, front: np.ndarray, d: int) -> None:
+        k = self.diagonals(d)
+        at = k + self.m + 1
+        insert, delete = front[at + 1], front[at - 1] + 1
+        can_insert, can_delete = (insert >= 0) & (insert - k <= self.m), (delete > 0) & (delete <= self.n)
+        front[at] = np.where(can_insert & (~can_delete | (delete <= insert)), insert, np.where(can_delete, delete, NOWHERE))
+        self.extend(front, k)
+
+    def extend(self, front: np.ndarray, k: np.ndarray) -> None:
+        """Goes on along each diagonal while both sides are equal; those that do are compared in longer and longer blocks."""
+        k, size = k[front[k + self.m + 1] >= 0], 1
+        while len(k):
+            x = front[k + self.m + 1]
+            along = np.arange(size)
+            same = self.a[np.minimum(x[:, None] + along, self.n)] == self.b[np.minimum((x - k)[:, None] + along, self.m)]
+            whole = same.all(axis=1)
+            front[k + self.m + 1] += np.where(whole, size, same.argmin(axis=1)).astype(np.int32)
+            k, size = k[whole], min(8 * size, 4096)
+
+    def script(self) -> list[tuple[str, int]]:
+        """(`del`, place in a) and (`ins`, place in b) in order."""
+        out, k, d = [], self.n - self.m, self.edits
+        while d:
+            first = (d - 1) // STRIDE
+            fronts = [self.kept[first].copy()]
+            for i in range(first * STRIDE + 1, d):
+                fronts.append(fronts[-1].copy())
+                self.step(fronts[-1], i)
+            for front in reversed(fronts):
+                insert, delete = int(front[k + self.m + 2]), int(front[k + self.m]) + 1
+                can_insert, can_delete = insert >= 0 and insert - k <= self.m, 0 < delete <= self.n
+                if can_insert and (not can_delete or delete <= insert):
+                    out.append(("ins", insert - k - 1))
+                    k += 1
+                else:
+                    out.append(("del", delete - 1))
+                    k -= 1
+            d = first * STRIDE
+        return out[::-1]
+
+
+def word_parts(old: str, new: str) -> list[dict]:
+    """Parts {type, value} of a shortest difference by words: what stays, goes and comes, in order."""
+    x, y = TOKENS.findall(old), TOKENS.findall(new)
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(t, len(number)) for t in tokens], np.int64) for tokens in (x, y))
+    out, i, j = [], 0, 0
+
+    def stays(to: int) -> None:
+        if to > i:
+            out.append({"type": "same", "value": "".join(x[i:to])})
+
+    for (kind, _), run in groupby(enumerate(Edits(a, b).script()), lambda e: (e[1][0], e[1][1] - e[0])):
+        places = [place for _, (_, place) in run]
+        to = places[0] if kind == "del" else i + places[0] - j
+        stays(to)
+        i, j = to, j + to - i
+        out.append({"type": kind, "value": "".join((x if kind == "del" else y)[p] for p in places)})
+        i, j = (i + len(places), j) if kind == "del" else (i, j + len(places))
+    stays(len(x))
+    return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def word_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(old, new):
-        x, y, found = _WORDS.findall(a or ""), _WORDS.findall(b or ""), []
-        for op, i, k, j, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            for sign, value in (("-", "".join(x[i:k]).strip() if op in ("delete", "replace") else ""), ("+", "".join(y[j:m]).strip() if op in ("insert", "replace") else "")):
-                if value:
-                    found.append(f"{sign} {value}")
-        out.append(found[:CHANGES])
-    return pd.Series(out, dtype=object)
+@F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("value", StringType())])))
+def _word_parts(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([word_parts(a, b) if a is not None and b is not None else None for a, b in zip(old, new)], dtype=object)
+
+
+def word_diff(old: Column, new: Column) -> Column:
+    """Parts of a shortest difference by words. Equal texts never reach Python."""
+    a, b = T.text_of(old), T.text_of(new)
+    equal = F.when(a == "", F.array().cast(PARTS)).otherwise(F.array(part("same", a)))
+    return F.when(a == b, equal).otherwise(_word_parts(F.when(a != b, a), F.when(a != b, b)))
+
+
+def word_changes(parts: Column, most: int = CHANGES) -> Column:
+    """Lines of what goes and comes, without white space at their ends; empty ones do not count, and after `most` there are no more."""
+    line = lambda p: F.concat(F.when(p["type"] == "del", "- ").otherwise("+ "), F.trim(p["value"], F.lit(TRIMMED)))
+    return F.slice(F.transform(F.filter(parts, lambda p: (p["type"] != "same") & (F.trim(p["value"], F.lit(TRIMMED)) != "")), line), 1, most)
 
 
 def summary(old: Column, new: Column, left: str = "非原文 B", right: str = "非原文 C") -> Column:
-    changes = F.array_join(word_changes(T.text_of(old), T.text_of(new)), "\n")
+    changes = F.array_join(word_changes(word_diff(old, new)), "\n")
     return F.when(changes == "", "差异辅助未发现明显词级差异。").otherwise(F.concat(F.lit(f"{left} -> {right}简体化\n"), changes))

@@ -458,4 +458,4 @@ def replace_lists(spark, sf_dir):
 
 
 # the queries of further modules register themselves
-from . import queries_align, queries_books, queries_runs  # noqa: E402, F401
+from . import queries_align, queries_books, queries_runs, queries_words  # noqa: E402, F401
