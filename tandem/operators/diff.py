@@ -107,15 +107,15 @@ WORD = r"a-zA-Z0-9_\u00AD\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02C6\u02C8-\u02D7\u0
 BLANK = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 TOKENS = re.compile(rf"\r?\n|[{WORD}]+|[{BLANK}]+|[^{WORD}]")
 TRIMMED = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: Edits between two states of the front that are remembered on the way; those in between are worked out again on the way back.
-STRIDE, NOWHERE = 128, -(1 << 30)
+#: Numbers of fronts that are remembered on the way; beyond, every second one is forgotten and worked out again on the way back.
+REMEMBERED, NOWHERE = 1 << 22, -(1 << 30)
 
 
 class Edits:
     """A shortest edit script of two sequences of numbers: the front of the furthest places on every diagonal, an edit at a time (Myers 1986).
 
     Place x of a and y of b stand on diagonal x - y. Of two ways to a diagonal the one further in a is taken, and a deletion where both are as far. All
-    diagonals of a step are arrays. Memory is that of every STRIDE-th front and of the fronts of one stride, not of all edits.
+    diagonals of a step are arrays. Memory is REMEMBERED numbers and the fronts of one stride between two that are remembered, not all fronts.
     """
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
@@ -124,12 +124,14 @@ class Edits:
         front = np.full(self.n + self.m + 3, NOWHERE, np.int32)
         front[self.m + 1] = 0
         self.extend(front, np.zeros(1, np.int64))
-        self.kept, self.edits = [front.copy()], 0
+        self.kept, self.edits, self.stride = [front.copy()], 0, 1
         while front[self.n + 1] < self.n:
             self.step(front, self.edits + 1)
             self.edits += 1
-            if self.edits % STRIDE == 0:
+            if self.edits % self.stride == 0:
                 self.kept.append(front.copy())
+                if len(self.kept) * len(front) > REMEMBERED and len(self.kept) > 2 * self.stride:
+                    self.kept, self.stride = self.kept[::2], 2 * self.stride
 
     def diagonals(self, d: int) -> np.ndarray:
         low = -d if d <= self.m else -self.m + (d - self.m) % 2
@@ -159,9 +161,9 @@ class Edits:
         """(`del`, place in a) and (`ins`, place in b) in order."""
         out, k, d = [], self.n - self.m, self.edits
         while d:
-            first = (d - 1) // STRIDE
+            first = (d - 1) // self.stride
             fronts = [self.kept[first].copy()]
-            for i in range(first * STRIDE + 1, d):
+            for i in range(first * self.stride + 1, d):
                 fronts.append(fronts[-1].copy())
                 self.step(fronts[-1], i)
             for front in reversed(fronts):
@@ -173,7 +175,7 @@ class Edits:
                 else:
                     out.append(("del", delete - 1))
                     k -= 1
-            d = first * STRIDE
+            d = first * self.stride
         return out[::-1]
 
 

@@ -50,10 +50,10 @@ def lcs(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("stride", [1, 3, 128])
-def test_edits_against_a_plain_front_and_a_common_subsequence(monkeypatch, stride):
-    monkeypatch.setattr(diff, "STRIDE", stride)
-    rng = random.Random(stride)
+@pytest.mark.parametrize("remembered", [1, 150, 1 << 22])
+def test_edits_against_a_plain_front_and_a_common_subsequence(monkeypatch, remembered):
+    monkeypatch.setattr(diff, "REMEMBERED", remembered)
+    rng = random.Random(remembered)
     for _ in range(300):
         letters = rng.choice([2, 3, 9])
         a, b = ([rng.randrange(letters) for _ in range(rng.randint(0, 18))] for _ in "ab")
