@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,9 +38,31 @@ def in_order(head: list[str], rows: DataFrame, tail: list[str] = ()) -> DataFram
     return every.repartitionByRange("_at", "index").sortWithinPartitions("_at", "index").select(F.col("line").alias("value"))
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "trilingual") -> None:
-    """Parts in order of index that are one file together: the header once and without quotes, then every value in quotes. A value's line breaks stay."""
-    in_order([csv_header(mode)], csv_lines(rows, mode)).write.mode("overwrite").text(path)
+def write_csv(rows: DataFrame, path: str, mode: str = "trilingual", keys: tuple[str, ...] = ()) -> None:
+    """Parts in order of index that are one file together: the header once and without quotes, then every value in quotes. A value's line breaks stay.
+
+    With keys each project gets one file, see write_files.
+    """
+    if not keys:
+        return in_order([csv_header(mode)], csv_lines(rows, mode)).write.mode("overwrite").text(path)
+    lines = rows.select(*keys, "index", F.concat_ws(",", *[quoted(F.col(NAMES.get(c, c))) for c in CSV_COLUMNS[mode]]).alias("line"))
+    first = F.concat(F.lit(csv_header(mode) + "\n"), "line")
+    write_files(lines, path, keys, first)
+
+
+def write_files(lines: DataFrame, path: str, keys: tuple[str, ...], first: Column, other: Column | None = None, tail: str = "") -> None:
+    """One file for each project, in <path>/<key>=<value>/: its lines (keys, index, line) in order of index, the first one as `first` says, the rest as `other`, then the tail.
+
+    A project is one task's, which sorts it, on disk where it has to, and writes it line by line. Files appear when all tasks are done; a task that fails leaves nothing.
+    """
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy(*keys).orderBy("index", "line")
+    last = F.lead(F.lit(1)).over(order).isNull() if tail else F.lit(False)
+    text = F.when(F.row_number().over(order) == 1, first).otherwise(F.col("line") if other is None else other)
+    # dealt by number, so that no project is cut in two and no two tasks write one
+    rows = lines.repartition(parts, *keys).select(*keys, F.when(last, F.concat(text, F.lit(tail))).otherwise(text).alias("value"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
 
 
 def json_rows(rows: DataFrame) -> DataFrame:
@@ -56,12 +78,38 @@ def write_json(rows: DataFrame, path: str) -> None:
 DOCUMENT = ("project", "files", "labels", "counts", "rowsSignature")
 
 
+def document_head(about: dict) -> str:
+    return json.dumps({k: about.get(k) for k in DOCUMENT}, ensure_ascii=False)[:-1] + ', "rows": ['
+
+
 def write_document(rows: DataFrame, path: str, about: dict) -> None:
-    """One JSON document, {project, files, labels, counts, rowsSignature, rows}, as parts that make it one after the other. about holds all but the rows, which never meet on the driver."""
-    head = json.dumps({k: about.get(k) for k in DOCUMENT}, ensure_ascii=False)[:-1] + ', "rows": ['
-    first = rows.agg(F.min("index")).first()[0]
-    lines = json_rows(rows).select("index", F.concat(F.when(F.col("index") == F.lit(first), "").otherwise(","), "json").alias("line"))
-    in_order([head], lines, ["]}"]).write.mode("overwrite").text(path)
+    """One JSON document, {project, files, labels, counts, rowsSignature, rows}, as parts that make it one after the other. about holds all but the rows, which never meet on the driver.
+
+    Of the rows only the least one does; it and its like stand in the line of the head, so every other row begins with a comma.
+    """
+    every = json_rows(rows)
+    least = every.agg(F.min(F.struct("index", "json")).alias("row")).first().row
+    if least is None:
+        return in_order([document_head(about)], every.select("index", F.col("json").alias("line")), ["]}"]).write.mode("overwrite").text(path)
+    same = (F.col("index") == F.lit(least["index"])) & (F.col("json") == F.lit(least["json"]))
+    copies = every.where(same).count()
+    lines = every.where(~same).select("index", F.concat(F.lit(","), "json").alias("line"))
+    in_order([document_head(about) + ",".join([least["json"]] * copies)], lines, ["]}"]).write.mode("overwrite").text(path)
+
+
+def write_documents(rows: DataFrame, path: str, keys: tuple[str, ...], about: DataFrame | None = None) -> None:
+    """One JSON document for each project (keys), each a file of its own. about has (keys, head), what document_head says of each project."""
+    columns = [c for c in rows.columns if c not in keys]
+    lines = rows.select(*keys, "index", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+    lines = lines.join(about.select(*keys, "head"), list(keys), "left") if about is not None else lines.withColumn("head", F.lit(None).cast("string"))
+    head = F.coalesce("head", F.lit(document_head({})))
+    write_files(lines, path, keys, F.concat(head, "line"), F.concat(F.lit(","), "line"), "]}")
+
+
+def read_files(spark: SparkSession, path: str, keys: tuple[str, ...], types: dict[str, str] | None = None) -> DataFrame:
+    """(keys, content): the files that write_files wrote, each whole."""
+    found = spark.read.option("basePath", path).text(f"{path}/*" + "/*" * (len(keys) - 1), wholetext=True)
+    return found.select(*[F.col(k).cast((types or {}).get(k, "string")).alias(k) for k in keys], F.col("value").alias("content"))
 
 
 def script_safe(json: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Registered queries of word differences and of phrase-wise conversion, with SQL that works the differences out by recursion."""
+"""Registered queries of word differences, of phrase-wise conversion and of written files, with SQL; the differences are worked out there by recursion."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import script
 from .operators import diff
+from .plans import sinks, store
 from .registry import query, table
 
 _WORD = r"a-zA-Z0-9_\x{00AD}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02C6}\x{02C8}-\x{02D7}\x{02DE}-\x{02FF}\x{1E00}-\x{1EFF}"
@@ -73,3 +74,24 @@ def converted_phrases(spark, sf_dir):
     pairs = script.dictionary(b.select(phrase.alias("phrase")).distinct().select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("to")), "phrase", "to")
     d = table(spark, sf_dir, "documents").select("doc_id", script.converter(pairs)("text").alias("c"))
     return d.select("doc_id", F.md5("c").alias("converted"), F.length("c").cast("long").alias("n"))
+
+
+# ---- files of projects, written and read back ----
+
+
+@query("""select lang, md5('index,chapter,relation,score,jpAlignScore,jp,cn' || chr(10) || string_agg('"' || doc_id::varchar || '","' || replace(lang, '"', '""') || '","' || source || '","","","' || replace(text, '"', '""') || '",""' || chr(10), '' order by doc_id)) as content from documents group by lang""")
+def csv_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("index"), F.col("lang").alias("chapter"), F.col("source").alias("relation"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("jp_align_score"), F.col("text").alias("jp"), F.lit(None).cast("string").alias("cn"))
+    sinks.write_csv(d, path := f"{store.scratch(spark)}/csv", "bilingual", ("lang",))
+    return sinks.read_files(spark, path, ("lang",)).select("lang", F.md5("content").alias("content"))
+
+
+@query("""select conv_id, count(*) as n, md5(string_agg(turn::varchar || ':' || coalesce(role, '-') || ':' || coalesce(text, '-'), chr(31) order by turn)) as rows from conversations group by conv_id""")
+def document_files(spark, sf_dir):
+    """A JSON document for each conversation, read back as JSON."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("index"), "role", "text")
+    sinks.write_documents(c, path := f"{store.scratch(spark)}/json", ("conv_id",))
+    read = sinks.read_files(spark, path, ("conv_id",), {"conv_id": "long"})
+    rows = F.from_json("content", "project string, files string, labels string, counts string, rowsSignature string, rows array<struct<index:bigint,role:string,text:string>>")["rows"]
+    line = lambda r: F.concat_ws(":", r["index"].cast("string"), F.coalesce(r["role"], F.lit("-")), F.coalesce(r["text"], F.lit("-")))
+    return read.select("conv_id", rows.alias("r")).select("conv_id", F.size("r").cast("long").alias("n"), F.md5(F.array_join(F.transform("r", line), "\x1f")).alias("rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -84,12 +84,20 @@ def watch(events: DataFrame) -> DataFrame:
     return events.groupBy("run").transformWithStateInPandas(statefulProcessor=Breaker(), outputStructType="run string, event_id long, seen long, error_rate double, tripped boolean", outputMode="Append", timeMode="None")
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
 def start_log(events: DataFrame, path: str, checkpoint: str, run: str = "run", order: tuple[str, ...] = ("event_id",), **trigger):
     """Appends a stream to a log, with revisions that go on from what the log holds. A batch that is written again after a failure replaces itself, as its number is part of its path.
 
-    Beside each batch stands one row for each run with its last revision, so a batch reads the counts of the batch before and never the log.
+    Beside each batch stands one row for each run with its last revision, so a batch reads the counts of the batch before and never the log. A new checkpoint
+    would number batches from 0 and write over what an existing log holds, so it is refused.
     """
     spark = events.sparkSession
+    if exists(spark, f"{path}/batch=*") and not exists(spark, f"{checkpoint}/offsets/*"):
+        raise ValueError("the log exists and its checkpoint is another one")
     counter = f"`{run}` {events.schema[run].dataType.simpleString()}, last long"
 
     def append(batch: DataFrame, number: int) -> None:
