@@ -35,8 +35,8 @@ FRONT_MATTER = [
     r"(?i)^(制作信息|製作信息|网翻|翻译|翻譯|校对|校對|美工|录入|錄入|简介|簡介)(?:\s|：|:|$)",
     r"(?i)本電子書籍|本电子书籍|リーディングシステム|再ダウンロード|ePub3|Reasily|图书观看|內容由|内容由|试看学习交流|商業用途|商业用途|转载时请保留|如有任何问题请联系|汉化组|漢化組",
 ]
-#: Titles and authors that stand alone before the body; of other books other ones are given.
-SERIES = [r"(?i)^(暗部共生少女|某暗部的少女共栖|とある暗部の少女共棲)\s*\d*$", r"^(鎌池和馬|镰池和马|鎌池和馬かまちかずま)$"]
+#: Patterns of titles and authors that stand alone before the body; they are of one book or series, so there are none unless they are given.
+SERIES: list[str] = []
 SYNOPSIS = r"(?i)^(简介|簡介)(?:\s|：|:|$)"
 
 
@@ -174,9 +174,9 @@ def is_front_matter(block: Column, lang: Column, series: list[str] = SERIES) ->
     return out
 
 
-def is_likely_body(block: Column, lang: Column) -> Column:
+def is_likely_body(block: Column, lang: Column, series: list[str] = SERIES) -> Column:
     t = collapse(block)
-    return ~is_front_matter(t, lang) & (text_length(t) >= 18) & (t.rlike(SENTENCE_MARKS) | (text_length(t) >= 80))
+    return ~is_front_matter(t, lang, series) & (text_length(t) >= 18) & (t.rlike(SENTENCE_MARKS) | (text_length(t) >= 80))
 
 
 def comparable_units(c) -> Column:

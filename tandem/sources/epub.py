@@ -16,7 +16,7 @@ from . import markup
 #: What labels and beginnings say of a spine document.
 NON_BODY = r"(?i)後記|后记|あとがき|特典|番外|extra|bonus|版權|版权|colophon|copyright|cover|書封|封面|目錄|目录|contents|制作信息|簡介|简介"
 BODY = r"(?i)序|章|行間|行间|終章|终章|prologue|chapter|epilogue|between"
-FRONT = r"(?i)^(contents|目錄|目录|ＣＯＮＴＥＮＴＳ|navigation|本電子書籍|本电子书籍|Kadokawa|暗部共生少女\s*1?$)"
+FRONT = r"(?i)^(contents|目錄|目录|ＣＯＮＴＥＮＴＳ|navigation|本電子書籍|本电子书籍|Kadokawa)"
 BACK = r"(?i)^(後記|后记|あとがき|特典|電子書特典|番外|extra|bonus|版權頁|版权页|colophon|copyright|Kadokawa Fantastic Novels)(?:\s|$|[：:])"
 PRODUCTION = r"(?i)©|copyright|all rights reserved|isbn|kadokawa|出版|發行|发行|著者|作者|譯者|译者|校[對对]|製作|制作|電子書籍|电子书|本電子書|本电子书|无断転載|無断転載|版权所有|版權所有|版权页|版權頁"
 NAV_MARK = r"(?i)<\s*nav\b|epub:type\s*=\s*[\x22'][^\x22']*(toc|landmarks|page-list)"
