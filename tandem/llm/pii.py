@@ -2,9 +2,9 @@ r"""Personal data by weak supervision.
 
 Wide patterns propose spans: whatever has an at sign, three or more dotted numbers, eight colon-separated hexadecimal groups, 12 or more
 digits, 7 or more digits with phone separators, or a token of 12 or more characters with a digit. Five labelers vote on each (yes, no, abstain):
-its strict pattern, a gazetteer of known beginnings and endings, words around it, a validity check and its borders. Spans with equal votes and
+its strict pattern, a gazetteer (tables of known beginnings and endings, a parameter), words around it, a validity check and its borders. Spans with equal votes and
 features are counted over all documents; expectation-maximisation over these counts estimates how often each labeler is right for each kind,
-from a prior belief in each labeler (RATES) that weighs as a tenth of the spans and ten more. Its posteriors train a logistic classifier on the spans'
+from a prior belief in each labeler (RATES) that weighs as ten spans and the square root of their number, so its share vanishes as spans are found. Its posteriors train a logistic classifier on the spans'
 features, which decides. Both models see counts of patterns, of which there is a fixed number, never the spans themselves.
 
 Base spans (email, ip, card, phone by the contract's expressions) always stay; the classifier's spans are added where
@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +57,13 @@ STRICT = {
     "phone": re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}"),
     "secret": re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|[0-9a-f]{16,}|[0-9A-F]{16,}"),
 }
-GAZETTEER = {
-    "email": re.compile(r"(?i)(?:\.|dot[)\]]?\s?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"),
-    "ip": re.compile(r"^(?:10|127|172|192|8|1)\."),
-    "card": re.compile(r"^(?:4|5[1-5]|2[2-7]|34|37|6011|65)"),
-    "phone": re.compile(r"^(?:\+|00|\()"),
-    "secret": re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox)"),
+#: The gazetteer's tables: what a span of a kind ends with (after its last dot or a spelled-out one) or begins with.
+ENDINGS = {"email": {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info"}}
+BEGINNINGS = {
+    "ip": {"10.", "127.", "172.", "192.", "8.", "1."},
+    "card": {"4", "34", "37", "65", "6011", *map(str, range(51, 56)), *map(str, range(22, 28))},
+    "phone": {"+", "00", "("},
+    "secret": {"AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghr_", "ghs_", "sk-", "sk_", "xox"},
 }
 CUES = {
     "email": re.compile(r"(?i)e-?mail|contact|write"),
@@ -135,13 +137,13 @@ def valid(kind: str, span: str) -> int:
     return 1 if re.fullmatch("[A-Za-z]{2}", span[-2:]) else -1
 
 
-def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
+def votes(kind: str, text: str, start: int, end: int, gazetteer: Gazetteer | None = None) -> tuple[int, ...]:
     """By LABELERS: 1 yes, -1 no, 0 abstains."""
     span, before = text[start:end], text[max(0, start - 30) : start]
     border = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
     return (
         1 if STRICT[kind].fullmatch(span) else -1,
-        1 if GAZETTEER[kind].search(span) else 0,
+        1 if (gazetteer or DEFAULT).knows(kind, span) else 0,
         1 if CUES[kind].search(before) else -1 if AGAINST.search(before) else 0,
         valid(kind, span),
         1 if border else -1,
@@ -175,8 +177,8 @@ def proposals(text: str):
             yield k, start, end
 
 
-def pattern(k: int, text: str, start: int, end: int) -> str:
-    v, f = votes(KINDS[k], text, start, end), features(KINDS[k], text, start, end)
+def pattern(k: int, text: str, start: int, end: int, gazetteer: Gazetteer | None = None) -> str:
+    v, f = votes(KINDS[k], text, start, end, gazetteer), features(KINDS[k], text, start, end)
     return f"{k}|{','.join(map(str, v))}|{','.join(map(str, f))}"
 
 
@@ -186,11 +188,32 @@ def prior_rates() -> np.ndarray:
     return rates / rates.sum(2, keepdims=True)
 
 
+@dataclass(frozen=True)
+class Gazetteer:
+    """Tables by kind, small enough to be sent to every task."""
+
+    endings: dict[str, set[str]] = field(default_factory=lambda: ENDINGS)
+    beginnings: dict[str, set[str]] = field(default_factory=lambda: BEGINNINGS)
+
+    def knows(self, kind: str, span: str) -> bool:
+        ends = self.endings.get(kind)
+        if ends:
+            last = re.search(r"[A-Za-z0-9-]*$", span[-64:])[0]
+            before = span[: len(span) - len(last)]
+            known = last.lower() in ends and (before.endswith(".") or re.search(r"(?i)dot[)\]]?\s?$", before[-6:]) is not None)
+            return known or any(last.lower() == f"dot{e}" for e in ends)
+        begins = self.beginnings.get(kind, ())
+        return any(span.startswith(b) for b in begins)
+
+
+DEFAULT = Gazetteer()
+
+
 class Aggregator:
     """Posteriors of vote patterns of one kind by expectation-maximisation; given are votes by LABELERS, counts how many spans have them."""
 
     def __init__(self, given: np.ndarray, counts: np.ndarray, rounds: int = 50):
-        believed, mass = prior_rates(), 10 + 0.1 * counts.sum()
+        believed, mass = prior_rates(), 10 + math.sqrt(counts.sum())
         self.rates, self.prior = believed, 0.5
         for _ in range(rounds):
             self.posterior = self.judge(given)
@@ -237,6 +260,11 @@ class Classifier:
                 w = w + np.clip(np.linalg.solve(h, x.T @ (scale * (y - q)) - w), -3, 3)
             self.weights[k] = w
 
+    def reliabilities(self) -> list[tuple[str, str, bool, int, float]]:
+        """(kind, labeler, whether a span is one, vote, how often it votes so), as estimated."""
+        rows = [(KINDS[k], x, bool(real), v - 1, float(a.rates[j, real, v])) for k, a in self.aggregators.items() for j, x in enumerate(LABELERS) for real in (0, 1) for v in range(3)]
+        return rows
+
     def accepts(self, k: int, text: str, start: int, end: int) -> bool:
         """Whether the classifier takes a span; there are few different features, so each answer is kept."""
         if k not in self.weights:
@@ -260,13 +288,13 @@ class Classifier:
         return sorted([*base, *added])
 
 
-def train(documents: DataFrame) -> Classifier:
+def train(documents: DataFrame, gazetteer: Gazetteer | None = None) -> Classifier:
     def count(batches):
         found = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    found.update(pattern(*p[:1], text, *p[1:]) for p in proposals(text))
+                    found.update(pattern(*p[:1], text, *p[1:], gazetteer) for p in proposals(text))
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     rows = documents.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
