@@ -40,10 +40,12 @@ class Boundary:
     below_low: tuple[int, int] = (0, 0)
     below_high: tuple[int, int] = (0, 0)
     done: tuple | None = field(default=None)  # key, bytes, rows
+    numbers: int = 3  # of a key that tell rows apart
+    tied: bool = False  # ended among rows that these do not tell apart
 
     def probes(self, n: int) -> list[tuple[int, int, int]]:
         """Some n keys between the two, in the first of the numbers that still leaves room."""
-        for k in range(3):
+        for k in range(self.numbers):
             at, top = self.low[k], self.high[k] if self.low[:k] == self.high[:k] else TOP - 1
             steps = {at + max(1, (top - at) * i // (n + 1)) for i in range(1, n + 1)}
             found = [key for x in sorted(steps) if x <= top and self.low < (key := (*self.low[:k], x, *(0,) * (2 - k))) < self.high]
@@ -59,7 +61,9 @@ class Boundary:
 
     def settle(self, slack: float) -> None:
         under, over = self.want - self.below_low[0], self.below_high[0] - self.want
-        if min(under, over) <= slack or self.below_high[1] - self.below_low[1] <= 1 or not self.probes(1):
+        near = min(under, over) <= slack or self.below_high[1] - self.below_low[1] <= 1
+        if near or not self.probes(1):
+            self.tied = not near
             self.done = (self.low, *self.below_low) if under <= over else (self.high, *self.below_high)
 
 
@@ -109,11 +113,11 @@ def histogram(slim: DataFrame, keys: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(table, axis=0)
 
 
-def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> list[tuple]:
-    """(key, bytes below, rows below) of the boundaries between shards * parts parts; every parts-th is a shard's."""
+def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float, numbers: int = 3) -> tuple[list[tuple], bool]:
+    """(key, bytes below, rows below) of the boundaries between shards * parts parts, of which every parts-th is a shard's; whether one missed its total as rows have equal numbers."""
     total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     n = shards * parts
-    found = [Boundary(total * i // n, below_high=(total, rows)) for i in range(1, n)]
+    found = [Boundary(total * i // n, below_high=(total, rows), numbers=numbers) for i in range(1, n)]
     slack = [tolerance * total / shards if i % parts == 0 else 0.1 * total / n for i in range(1, n)]
     for b, s in zip(found, slack):
         b.settle(s)
@@ -139,7 +143,7 @@ def splitters(slim: DataFrame, shards: int, parts: int, tolerance: float) -> lis
     out = []
     for b in found:  # boundaries may fall together, never back
         out.append(max(b.done, out[-1]) if out else b.done)
-    return out
+    return out, any(b.tied for b in found)
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, columns: list[str] | None = None) -> DataFrame:
@@ -147,12 +151,19 @@ def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     documents = unclash(documents, ["size", "text_crc32", "k1", "k2", "k3", "part", "start", "_p", "shard", "slot"])
     columns = documents.columns if columns is None else columns
     ws = Workspace(documents.sparkSession, "shard")
-    # the rows are written once: what tells equal rows apart has to be the same whenever they are read
-    numbered = keyed(documents).withColumn("k3", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(TOP - 1))
-    slim = rows = ws.keep(numbered.select(*columns, "size", "text_crc32", "k1", "k2", "k3"))
+    rows = keyed(documents).withColumn("k3", F.lit(0).cast("long")).select(*columns, "size", "text_crc32", "k1", "k2", "k3")
+    numbered = lambda df: df.withColumn("k3", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(TOP - 1))
+    wide = "text" in columns
+    slim = ws.keep(rows.select("k1", "k2", "k3", "size") if wide else numbered(rows))
     total = slim.agg(F.sum("size")).first()[0] or 0
     parts = max(1, min(MAX_PARTS // shards, -(-total // (shards * part_bytes))))
-    cuts = splitters(slim, shards, parts, tolerance)
+    cuts, tied = splitters(slim, shards, parts, tolerance, 2 if wide else 3)
+    if tied:
+        # what tells equal rows apart has to be the same whenever they are read, so only then are whole rows written
+        slim = rows = ws.keep(numbered(rows))
+        cuts, _ = splitters(slim, shards, parts, tolerance)
+    elif not wide:
+        rows = slim
     find = bucket_of([c[0] for c in cuts])
     below = [0, *[c[2] for c in cuts]]
     first = np.array([below[p] - below[p // parts * parts] for p in range(shards * parts)], np.int64)
