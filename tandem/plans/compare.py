@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import align, browse, rows, segment
-from . import sinks
+from . import crosslingual, sinks
 from .store import scratch
 
 MAX_CHARS, DIMENSIONS = 420, 256
@@ -61,17 +61,26 @@ def side(paragraphs: DataFrame, keys: list[str], lang: str, text: str = "text")
     return paragraphs.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), F.col(text).alias("text"))
 
 
-def compare(paragraphs: DataFrame, keys: list[str], mode: str = "trilingual", pivot: str = "cn", load=lambda: hashed_ngrams, normal=align.cjk, keep=None) -> DataFrame:
+def embedded(paragraphs: DataFrame, keys: list[str], pivot: str, load, keep, learnt: bool) -> DataFrame:
+    """Paragraphs of the source and the pivot with vectors. If learnt, source vectors are turned into the pivot's space by a mapping from anchors, where there are enough."""
+    vectors = keep(embed(paragraphs.where(F.col("lang").isin("jp", pivot)), load))
+    matrix = crosslingual.learn(vectors, crosslingual.anchor_pairs(paragraphs, keys, "jp", pivot), keys, "jp", pivot) if learnt else None
+    if matrix is None:
+        return vectors
+
+    return keep(vectors.withColumn("vector", F.when(F.col("lang") == "jp", crosslingual.turned(matrix)("vector")).otherwise(F.col("vector"))))
+
+
+def compare(paragraphs: DataFrame, keys: list[str], mode: str = "trilingual", pivot: str = "cn", load=lambda: hashed_ngrams, normal=align.cjk, keep=None, learnt: bool = False) -> DataFrame:
     """Signed comparison rows of paragraphs (keys, lang, source_index, chapter, text, cn_text, chars); see rows.compare_rows.
 
-    Each stage is written under the shared folder and read back, unless keep says otherwise.
+    learnt maps the source's vectors into the pivot's space, see crosslingual. Each stage is written under the shared folder and read back, unless keep says otherwise.
     """
     keep = keep or kept_in(paragraphs.sparkSession)
     paragraphs = keep(paragraphs)
     pivot = "cn" if mode == "bilingual" else pivot
-    vectors = embed(paragraphs.where(F.col("lang").isin("jp", pivot)), load)
+    vectors = embedded(paragraphs, keys, pivot, load, keep, learnt)
     of = lambda lang: vectors.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), "vector")
-    vectors = keep(vectors)
     source = keep(align.align_vectors(of("jp"), of(pivot), keys))
     version = keep(align.align_versions(side(paragraphs, keys, "cn"), side(paragraphs, keys, "tw", "cn_text"), keys, normal=normal))
     found = rows.compare_rows(paragraphs, version, source, keys, mode, pivot, normal, keep)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import align, rows
-from .plans import compare
+from .plans import compare, crosslingual
 from .queries import _PARAGRAPHS, _VECTORS, mutual_best_vectors, paragraphs, vectors
-from .registry import GRAMS, JACCARD, canon, query, simil
+from .registry import GRAMS, JACCARD, canon, query, simil, table
 
 _A, _B = "[2, 2, 1, 1, 1, 0]", "[2, 1, 2, 1, 0, 1]"
 
@@ -80,6 +80,17 @@ def vector_mapping(spark, sf_dir):
     return align.point_mapping(vectors(spark, sf_dir, 0), vectors(spark, sf_dir, 1), ["label"])
 
 
+@query("""with p as (select a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 and a.vec_id % 2 = 0),
+c as (select i - 1 as row, j - 1 as col, sum(x[i]::double * y[j]::double) as value, count(*) as n from p, range(1, 65) r(i), range(1, 65) s(j) group by i, j) select row::int as row, col::int as col, round(value, 4) as value, n from c""")
+def vector_covariance(spark, sf_dir):
+    """Cross-covariance of embeddings 2n and 2n + 1, as a mapping is learnt from."""
+    e = table(spark, sf_dir, "embeddings")
+    even = e.where("vec_id % 2 = 0").select("vec_id", F.col("embedding").alias("left"))
+    found, n = crosslingual.cross_covariance(even.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("right")), "vec_id"))
+    rows = [(i, j, float(v), n) for i, row in enumerate(found) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "row int, col int, value double, n long").withColumn("value", F.round("value", 4))
+
+
 # ---- versions ----
 
 
