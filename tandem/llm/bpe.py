@@ -7,7 +7,7 @@ where several begin. Files of other kinds are refused. The driver reads the file
 A word of at most SHORT bytes is an array of its parts, one between every two boundaries, beside an array of the ranks of adjacent parts. The lowest rank, the first of equal
 ones, is found by scanning; the boundary within that pair is deleted, and the ranks of the joined part and its two neighbours are looked up anew, until no adjacent parts
 have a rank. The new words of many texts are rows of such arrays, of which numpy takes a step at once. Scanning a longer word so would be quadratic; there the ranks stand
-in a heap and the parts in a linked list, which merges in the same order. Encodings of short words are remembered, the last MEMO to 2 * MEMO words that a task met;
+in a heap and the parts in a linked list, which merges in the same order. Encodings of short words are remembered until there are MEMO of them, then all are forgotten;
 nothing else outlives a run of texts.
 
 Characters that the vocabulary's Unicode version (16) does not assign are signs, neither letters nor numbers. Null and empty texts have no tokens. Very long texts are split
@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import types as T
 from .common import read, unclash
 
 #: Bytes of a word that is merged by scanning; words that a task remembers; words that are merged at once.
-SHORT, MEMO, ROWS = 128, 1 << 17, 2048
+SHORT, MEMO, ROWS = 128, 1 << 18, 2048
 #: Characters that are split into words at once, and tokens that are decoded at once.
 BLOCK, TOKENS = 1 << 20, 1 << 20
 NONE = 1 << 30
@@ -116,9 +115,9 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
         return np.where(self.pairs[at] == code, self.pair_ranks[at], NONE).astype(np.int32)
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of short words: rows of parts (-1 behind the last) and of ranks, where rank j is that of parts j and j + 1."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short words one after the other, and how many each has: rows of parts (-1 behind the last) and of ranks, where rank j is that of parts j and j + 1."""
+        counts, ended = np.zeros(len(words), np.int64), []
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for lo in range(0, len(order), ROWS):
             rows = np.array(order[lo : lo + ROWS])
@@ -133,8 +132,8 @@ class Vocabulary:
                 at = ranks.argmin(axis=1) if n > 1 else row
                 low = ranks[row, at] if n > 1 else np.full(len(rows), NONE)
                 if (done := low == NONE).any():
-                    for i, ids, size in zip(rows[done].tolist(), parts[done].tolist(), (parts[done] >= 0).sum(axis=1).tolist()):
-                        out[i] = tuple(ids[:size])
+                    ended.append((rows[done], parts[done]))
+                    counts[rows[done]] = (parts[done] >= 0).sum(axis=1)
                     rows, parts, ranks, at, low = (x[~done] for x in (rows, parts, ranks, at, low))
                     row = np.arange(len(rows))
                     if not len(rows):
@@ -146,7 +145,12 @@ class Vocabulary:
                 parts, ranks = parts[kept].reshape(len(rows), n - 1), ranks[kept[:, 1:]].reshape(len(rows), n - 2)
                 for some, first in ((np.flatnonzero(at < n - 2), at), (np.flatnonzero(at > 0), at - 1)):
                     ranks[some, first[some]] = self.rank_of(parts[some, first[some]], parts[some, first[some] + 1])
-        return out
+        flat, first = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        for rows, parts in ended:
+            column = np.arange(parts.shape[1])
+            inside = column < counts[rows][:, None]
+            flat[(first[rows][:, None] + column)[inside]] = parts[inside]
+        return flat, counts
 
     def cuts_of_long(self, word: bytes) -> list[int]:
         """Boundaries of the parts of a long word: ranks in a heap, parts in a list linked both ways. An entry counts only while its two parts are those that it was made for."""
@@ -169,51 +173,61 @@ class Vocabulary:
                     heapq.heappush(heap, (r, p, a, end))
         return [*(i for i in range(n) if there[i]), n]
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        found = dict(zip(short := [w for w in words if len(w) <= SHORT], self.merge(short)))
-        for w in words:
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of any length."""
+        short = [w if len(w) <= SHORT else b"" for w in words]
+        flat, counts = self.merge(short)
+        if all(short):
+            return flat, counts
+        ends, pieces, at = np.cumsum(counts), [], 0
+        for i, w in enumerate(words):
             if len(w) > SHORT:
                 cut = self.cuts_of_long(w)
-                found[w] = tuple(self.ids[w[a:b]] for a, b in zip(cut, cut[1:]))
-        return [found[w] for w in words]
+                pieces += [flat[at : ends[i]], np.array([self.ids[w[a:b]] for a, b in zip(cut, cut[1:])], np.int32)]
+                counts[i], at = len(cut) - 1, ends[i]
+        return np.concatenate([*pieces, flat[at:]]), counts
 
 
 class Encoder:
-    """Encodes texts with a memory of short words in two generations: what the older one still knows moves to the younger when it is met again."""
+    """Encodes texts. memo has the number of a word that is remembered; sizes, first and flat say by these numbers what its ids are."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.memo, self.old = vocabulary, {}, {}
-
-    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        new = [w for w in words if w not in self.memo]
-        rest = [w for w in new if w not in self.old]
-        found = dict(zip(rest, self.vocabulary.encode_words([w.encode() for w in rest])))
-        self.memo |= {w: ids for w in new if len(w) <= SHORT and (ids := found.get(w) or self.old.get(w))}
-        return [self.memo.get(w) or found[w] for w in words]
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.sizes, self.first, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: set[str]) -> None:
+        """Puts words that are new to the memo, long ones too; see settle()."""
+        new = list(words.difference(self.memo))
+        flat, sizes = self.vocabulary.encode_words([w.encode() for w in new])
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+
+    def settle(self, waiting: list, out: list[list[np.ndarray]]) -> None:
+        """Ids of the waiting blocks (text, list of words or an id) into the lists of their texts."""
+        self.learn(set().union(*(block for _, block in waiting if block.__class__ is list)))
+        for i, block in waiting:
+            if block.__class__ is not list:
+                out[i].append(np.array([block], np.int32))
+                continue
+            word = np.fromiter(map(self.memo.__getitem__, block), np.int64, len(block))
+            sizes = self.sizes[word]
+            ends = np.cumsum(sizes)
+            # the ids of each word stand together, from its first place on
+            out[i].append(self.flat[np.arange(ends[-1]) + np.repeat(self.first[word] - ends + sizes, sizes)])
+        waiting.clear()
+        # a long word takes as much memory as its text, so it is not kept beyond it
+        if len(self.memo) > MEMO or len(self.flat) > 4 * MEMO:
+            self.forget()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; texts are taken together until they have BLOCK characters, longer ones a block at a time."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         added, taken_out, waiting, size = self.vocabulary.added, self.vocabulary.taken_out, [], 0
-
-        def settle():
-            number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(block for _, block in waiting if block.__class__ is list)))}
-            ids = self.ids_of(list(number))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat, first = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
-            for i, block in waiting:
-                if block.__class__ is not list:
-                    out[i].append(np.array([block], np.int32))
-                    continue
-                word = np.fromiter(map(number.__getitem__, block), np.int64, len(block))
-                ends = np.cumsum(sizes[word])
-                # the ids of each word stand together, from its first place on
-                out[i].append(flat[np.arange(ends[-1]) + np.repeat(first[word] - ends + sizes[word], sizes[word])])
-            waiting.clear()
-
         for i, text in enumerate(texts):
             for k, piece in enumerate(taken_out.split(text) if taken_out else [text]):
                 if k % 2:
@@ -223,9 +237,9 @@ class Encoder:
                         waiting.append((i, block))
                         size += min(len(piece), BLOCK)
                         if size >= BLOCK:
-                            settle()
+                            self.settle(waiting, out)
                             size = 0
-        settle()
+        self.settle(waiting, out)
         return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
 
 
