@@ -211,6 +211,7 @@ def ask(rows: DataFrame, client: Callable[[], Callable[[str, str], str]], config
     return rows.select("run", "place", "index", "source", "target", "counterpart", "helper", "context").repartition(config.concurrency).mapInPandas(task, ANSWER)
 
 
+STOP = "run string, reason string, errors long, seen long"
 ANSWER = "run string, place long, content string, error string, fatal boolean, rounds int"
 #: Rows of a run in the first wave, as many as the breaker needs, and at most in a later one.
 FIRST_WAVE, MOST_WAVE = LEAST, 2000
@@ -228,7 +229,8 @@ def run(rows: DataFrame, done: DataFrame, client, config: Config, labels: dict[s
 
     Rows are asked in waves that double, in order of index. What a wave answered is written before it is used, so no row is asked twice by what is done with
     the answers, and between the waves the log decides: a run with a fatal error, or with half of its last twenty outcomes failed, takes part in no further
-    wave. stop() is asked between the waves and before each row. Rows that were not asked have no event and are pending as before.
+    wave. stop() is asked between the waves and before each row. Rows that were not asked have no event and are pending as before. A task that Spark starts
+    again asks its rows again; only the answers of the attempt that is committed count.
     """
     spark, keep, labels, by = rows.sparkSession, kept_in(rows.sparkSession), labels or {}, [*keys, "index"]
     left = keep(prefilter.classify(prefilter.sides(prefilter.pending(rows, done, by), config.mode), config.threshold))
@@ -238,20 +240,26 @@ def run(rows: DataFrame, done: DataFrame, client, config: Config, labels: dict[s
     other_cn = F.coalesce(F.nullif(T.text_of("tw_cn"), F.lit("")), T.text_of("tw"))
     helper = F.lit(NO_DIFFERENCE) if config.mode == "bilingual" else diff.summary(T.text_of("cn"), other_cn, labels.get("cn") or LABELS["cn"], labels.get("tw") or LABELS["tw"])
     waiting = left.where("kind is null").select(*by, "signature", helper.alias("helper"))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("index")).cast("long")
-    queue = keep(context.context(texts, ["run"]).join(waiting, by).withColumn("place", place))
+    queue = keep(placed(context.context(texts, ["run"]).join(waiting, by), keep))
     path, start, size, stopped, waves = scratch(spark), 0, FIRST_WAVE, False, 0
     total = queue.agg(F.max("place")).first()[0] or 0
-    answers, stops = spark.createDataFrame([], ANSWER), spark.createDataFrame([], "run string, reason string, errors long, seen long")
+    answers, stops = spark.createDataFrame([], ANSWER), spark.createDataFrame([], STOP)
+    # of what was answered before, a wave needs the last outcomes and two counts of each run
+    tail, counts = answers.select("run", "place", "error", "fatal"), stops.select("run", "errors", "seen")
     while start < total and not stopped:
         wave = queue.where((F.col("place") > start) & (F.col("place") <= start + size)).join(stops.select("run"), "run", "left_anti")
-        ask(wave, client, config, labels, stop).write.parquet(f"{path}/wave={waves}")
+        ask(wave, client, config, labels, stop).write.parquet(at := f"{path}/wave={waves}")
+        now = spark.read.schema(ANSWER).parquet(at).select("run", "place", "error", "fatal")
+        before, start, size, waves, stopped = start, start + size, min(2 * size, MOST_WAVE), waves + 1, bool(stop and stop())
+        recent = tail.unionByName(now)
+        counts = keep(counts.unionByName(counted(now)).groupBy("run").agg(F.sum("errors").alias("errors"), F.sum("seen").alias("seen")))
+        stops = keep(stops.unionByName(ended(recent, before).join(stops.select("run"), "run", "left_anti").select("run", "reason").join(counts, "run")))
+        last = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("place")))
+        tail = keep(recent.withColumn("_n", last).where(F.col("_n") <= LAST).drop("_n"))
+    if waves:
         answers = spark.read.schema(ANSWER).parquet(f"{path}/wave=*")
-        start, size, waves, stopped = start + size, min(2 * size, MOST_WAVE), waves + 1, bool(stop and stop())
-        stops = keep(ended(answers))
     if stopped:
         rest = queue.join(answers, ["run", "place"], "left_anti").select("run").distinct().join(stops, "run", "left_anti")
-        counts = answers.groupBy("run").agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count("*").alias("seen"))
         none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         stops = stops.unionByName(rest.join(counts, "run", "left").select("run", F.lit("stopped").alias("reason"), none("errors"), none("seen")))
     asked = keep(queue.select(*by, "run", "place", "signature", "counterpart").join(answers, ["run", "place"]))
@@ -265,11 +273,26 @@ def run(rows: DataFrame, done: DataFrame, client, config: Config, labels: dict[s
     return Run(events, projects.join(stops, "run").select(*keys, "reason", "errors", "seen"))
 
 
-def ended(answers: DataFrame) -> DataFrame:
-    """(run, reason, errors, seen) of runs of which the log of answers (run, place, error, fatal) says that they end."""
-    rated = context.rolling_rate(answers, F.col("error").isNotNull(), ["run"], ["place"])
-    of = rated.groupBy("run").agg(F.bool_or("fatal").alias("fatal"), F.bool_or("tripped").alias("tripped"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count("*").alias("seen"))
-    return of.where("fatal or tripped").select("run", F.when(F.col("fatal"), "fatal").otherwise("errors").alias("reason"), "errors", "seen")
+def counted(answers: DataFrame) -> DataFrame:
+    """(run, errors, seen) of answers."""
+    return answers.groupBy("run").agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count("*").alias("seen"))
+
+
+def placed(rows: DataFrame, keep) -> DataFrame:
+    """rows with place, their number from 1 in their run in order of index. A run of any size is dealt by ranges, and only the counts of the ranges meet."""
+    kept = keep(rows.repartitionByRange("run", "index").sortWithinPartitions("run", "index").withColumn("_id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    cells = kept.groupBy("run", part.alias("_part")).agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("run").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("run", "_part", (before - F.col("_first") + 1).alias("_shift"))
+    return kept.withColumns({"_part": part, "_at": at}).join(cells, ["run", "_part"]).withColumn("place", (F.col("_at") + F.col("_shift")).cast("long")).drop("_id", "_part", "_at", "_shift")
+
+
+def ended(answers: DataFrame, before: int = 0) -> DataFrame:
+    """(run, reason) of runs that end by answers (run, place, error, fatal) after place `before`; of the earlier ones the last LAST of a run are enough."""
+    rated = context.rolling_rate(answers, F.col("error").isNotNull(), ["run"], ["place"]).where(F.col("place") > before)
+    of = rated.groupBy("run").agg(F.bool_or("fatal").alias("fatal"), F.bool_or("tripped").alias("tripped"))
+    return of.where("fatal or tripped").select("run", F.when(F.col("fatal"), "fatal").otherwise("errors").alias("reason"))
 
 
 def proofread(rows: DataFrame, done: DataFrame, client, config: Config, labels: dict[str, str] | None = None, keys: tuple[str, ...] = (), stop: Callable[[], bool] | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tandem.operators import context
 from tandem.plans import proofread
+from tandem.plans.compare import kept_in
 from tandem.plans.proofread import FatalRequestError
 
 
@@ -136,3 +138,26 @@ def test_options():
     assert proofread.restorable_options(saved) == ["a", "b"]
     assert proofread.restorable_options({**saved, "base_url": "http://other"}) == proofread.restorable_options(None) == proofread.restorable_options({**saved, "model_options": "a"}) == []
     assert proofread.clean_config({"threshold": None}).threshold == 0.5 and proofread.clean_config({"concurrency": 99}).concurrency == 12
+
+
+def test_a_wave_and_the_last_outcomes_say_what_the_whole_log_says(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"r{n}", i, "e" if rng.random() < rate else None, False) for n, rate in enumerate([0.1, 0.3, 0.4, 0.45, 0.6] * 6) for i in range(1, 91)]
+    log = spark.createDataFrame(rows, "run string, place long, error string, fatal boolean").cache()
+    whole = {r.run: r.trip_at for r in context.trip_point(log, F.col("error").isNotNull(), ["run"], ["place"]).collect()}
+    for before, to in ((0, 10), (10, 30), (30, 90)):
+        recent = log.where((F.col("place") > before - context.LAST) & (F.col("place") <= to))
+        want = {run for run, place in whole.items() if place <= before}  # those have ended; of the others the ones that trip in the wave
+        got = {r.run for r in proofread.ended(recent, before).collect()} - want
+        assert got == {run for run, place in whole.items() if before < place <= to}
+    assert 0 < len(whole) < 30
+
+
+def test_places_count_each_run(spark):
+    rows = [(f"r{i % 3}", 7 * i % 1000, i) for i in range(300)]
+    got = proofread.placed(spark.createDataFrame(rows, "run string, index int, x int").repartition(5), kept_in(spark)).collect()
+    for run in ("r0", "r1", "r2"):
+        mine = sorted((r["index"], r.place) for r in got if r.run == run)
+        assert [p for _, p in mine] == list(range(1, 101))
