@@ -22,7 +22,7 @@ def by_spark(spark, name, path, **tables):
     return sorted(map(tuple, QUERIES[name](spark, str(path)).collect()), key=str)
 
 
-@pytest.mark.parametrize("name", ["page_texts", "protected_noterefs"])
+@pytest.mark.parametrize("name", ["page_texts", "protected_noterefs", "spine_features"])
 def test_entities_without_a_semicolon_stay_in_pages(spark, tmp_path, name):
     text = "und&amp;&amp; ver&amp"
     pages = spark.createDataFrame([(1, "u", f"<html><head><title>{text}</title></head><body><nav><a href=\"x?a=1&amp;b=2\">n &amp</a></nav><h1>{text}</h1><p><b>{text};</b> a &amp b, &amplify, &lt; &quot</p></body></html>")], "page_id long, url string, html string")
