@@ -57,7 +57,9 @@ def classify(rows: DataFrame, threshold: float = THRESHOLD, compatibility: bool
     out = out.withColumn("_step", F.when(~fails, F.col("_step"))).withColumn("similarity", F.when(~fails, F.col("similarity")))
     reason = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
     kind = F.when(F.col("_step") == "structured-differs", "structured-conflict").otherwise(F.col("_step"))
-    return out.select(*kept, kind.alias("kind"), F.element_at(reason, F.col("_step")).alias("reason"), "similarity")
+    found = F.struct(kind.alias("kind"), F.element_at(reason, F.col("_step")).alias("reason"), "similarity")
+    # as an element of an array the outcome is worked out once; a filter on plain columns would be pushed below them and work them out again
+    return out.select(*kept, F.explode_outer(F.array(found)).alias("_found")).select(*kept, "_found.*")
 
 
 def sides(rows: DataFrame, mode: str = "trilingual") -> DataFrame:

@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from tandem.functions import text as T
+from tandem.operators import prefilter
 from tandem.queries import QUERIES, SQL
 from tandem.sources import markup
 
@@ -32,3 +34,16 @@ def test_entities_without_a_semicolon_stay_in_pages(spark, tmp_path, name):
 def test_entities_of_html_need_no_semicolon():
     assert markup.read_html("<p>a &amp b &lt;</p>", True)[0] == "a & b <"
     assert markup.read_html("<p>a &amp b &lt; &#38; &#x26; &</p>", True, ended=True)[0] == "a &amp b < & & &"
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_on_the_outcome_does_not_screen_twice(spark):
+    rows = spark.createDataFrame([("", "a b", "a c", 0.5, 1, "")], "source string, left string, right string, score double, index long, signature string")
+    assert optimized(prefilter.results(prefilter.classify(rows))).count("array_intersect") == 1
+
+
+def test_characters_of_the_first_block_are_looked_up():
+    assert "-" not in T.UNSTABLE and "-" not in T.NOTHING.split("|")[0]
