@@ -109,6 +109,8 @@ TOKENS = re.compile(rf"\r?\n|[{WORD}]+|[{BLANK}]+|[^{WORD}]")
 TRIMMED = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Numbers of fronts that are remembered on the way; beyond, every second one is forgotten and worked out again on the way back.
 REMEMBERED, NOWHERE = 1 << 22, -(1 << 30)
+#: Numbers of fronts that pairs worked out together may have at most, and pairs whose tokens are in memory.
+TOGETHER, MANY = 1 << 23, 1000
 
 
 class Edits:
@@ -179,18 +181,122 @@ class Edits:
         return out[::-1]
 
 
+def scripts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[str, int]]]:
+    """The scripts of Edits of many pairs, which take each edit together: a row of the front is a pair. All fronts are remembered, so pairs come in sets that fit."""
+    n, m = (np.array([len(p[i]) for p in pairs], np.int32) for i in (0, 1))
+    wide, high = int(n.max()), int(m.max())
+    a, b = np.full((len(pairs), wide + 1), -1, np.int32), np.full((len(pairs), high + 1), -2, np.int32)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)], b[i, : len(y)] = x, y
+    a, b = a.ravel(), b.ravel()
+    starts = [np.arange(len(pairs), dtype=np.int32) * (width + 1) for width in (wide, high)]
+
+    def along(places: np.ndarray, low: int) -> None:
+        """Goes on along every second diagonal from low."""
+        x = np.maximum(places, 0)
+        x_at, y_at = starts[0][rows, None] + x, starts[1][rows, None] + x
+        y_at -= low + 2 * np.arange(places.shape[1], dtype=np.int32)
+        # most go no further, so all are compared in one place first; where there is nothing, the place is any
+        at, flat, size = np.flatnonzero((a.take(x_at, mode="clip") == b.take(y_at, mode="clip")) & (places >= 0)), places.ravel(), 1
+        flat[at] += 1
+        who, col = np.divmod(at, places.shape[1])
+        who, k = rows[who], (low + 2 * col).astype(np.int32)
+        while len(at):
+            x, more = flat[at], np.arange(size)
+            same = a[starts[0][who, None] + np.minimum(x[:, None] + more, n[who, None])] == b[starts[1][who, None] + np.minimum((x - k)[:, None] + more, m[who, None])]
+            whole = same.all(axis=1)
+            flat[at] += np.where(whole, size, same.argmin(axis=1)).astype(np.int32)
+            at, k, who = at[whole], k[whole], who[whole]
+            size = min(4 * size, 4096)
+
+    rows, edits, d = np.arange(len(pairs)), np.zeros(len(pairs), np.int64), 0
+    front = np.full((len(pairs), wide + high + 3), NOWHERE, np.int32)
+    first = np.zeros((len(pairs), 1), np.int32)
+    along(first, 0)
+    front[:, high + 1 : high + 2] = first
+    told = [(rows, 0, first)]
+    while True:
+        going = front[np.arange(len(rows)), n[rows] - m[rows] + high + 1] < n[rows]
+        edits[rows[~going]] = d
+        if not going.all():
+            rows, front = rows[going], front[going]
+        if not len(rows):
+            break
+        d += 1
+        low = -d if d <= high else -high + (d - high) % 2
+        top = d if d <= wide else wide - (d - wide) % 2
+        k, at = np.arange(low, top + 1, 2, dtype=np.int32), low + high + 1
+        end = at + 2 * len(k) - 1
+        insert, delete = front[:, at + 1 : end + 1 : 2], front[:, at - 1 : end - 1 : 2] + 1
+        can_insert, can_delete = (insert >= 0) & (insert - k <= m[rows, None]), (delete > 0) & (delete <= n[rows, None])
+        places = np.where(can_insert & (~can_delete | (delete <= insert)), insert, np.where(can_delete, delete, NOWHERE)).astype(np.int32)
+        along(places, low)
+        front[:, at:end:2] = places
+        told.append((rows, low, places))
+    inserts, spots, k = np.zeros((d, len(pairs)), bool), np.zeros((d, len(pairs)), np.int64), (n - m).astype(np.int64)
+    for step in range(d, 0, -1):
+        who = np.flatnonzero(edits >= step)
+        rows, low, places = told[step - 1]
+        at = np.searchsorted(rows, who)
+
+        def reached(to: np.ndarray) -> np.ndarray:
+            col = (to - low) // 2  # noqa: B023
+            return np.where((col >= 0) & (col < places.shape[1]), places[at, np.clip(col, 0, places.shape[1] - 1)], NOWHERE)  # noqa: B023
+
+        insert, delete = reached(k[who] + 1), reached(k[who] - 1) + 1
+        can_insert, can_delete = (insert >= 0) & (insert - k[who] <= m[who]), (delete > 0) & (delete <= n[who])
+        chosen = can_insert & (~can_delete | (delete <= insert))
+        inserts[step - 1, who], spots[step - 1, who] = chosen, np.where(chosen, insert - k[who] - 1, delete - 1)
+        k[who] += np.where(chosen, 1, -1)
+    return [[("ins" if c else "del", s) for c, s in zip(inserts[:e, i].tolist(), spots[:e, i].tolist())] for i, e in enumerate(edits.tolist())]
+
+
+def every_script(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = TOGETHER) -> list[list[tuple[str, int]]]:
+    """Scripts in order of the pairs, like ones in size together, as many as `most` numbers of fronts hold; a pair beyond that goes by itself and forgets fronts."""
+    out: list = [None] * len(pairs)
+    size = [len(a) + len(b) + 1 for a, b in pairs]
+    chosen: list[int] = []
+
+    def flush() -> None:
+        if chosen:
+            for i, script in zip(chosen, scripts([pairs[i] for i in chosen])):
+                out[i] = script
+            chosen.clear()
+
+    for i in sorted(range(len(pairs)), key=size.__getitem__):
+        if size[i] ** 2 // 2 > most:
+            out[i] = Edits(*pairs[i]).script()
+            continue
+        if (len(chosen) + 1) * (size[i] ** 2 // 2) > most:
+            flush()
+        chosen.append(i)
+    flush()
+    return out
+
+
+def word_parts_of(old: list[str], new: list[str]) -> list[list[dict]]:
+    """For each pair the parts {type, value} of a shortest difference by words: what stays, goes and comes, in order."""
+    tokens = [(TOKENS.findall(a), TOKENS.findall(b)) for a, b in zip(old, new)]
+    numbered = []
+    for x, y in tokens:
+        number: dict[str, int] = {}
+        numbered.append(tuple(np.array([number.setdefault(t, len(number)) for t in side], np.int32) for side in (x, y)))
+    return [assembled(x, y, script) for (x, y), script in zip(tokens, every_script(numbered))]
+
+
 def word_parts(old: str, new: str) -> list[dict]:
-    """Parts {type, value} of a shortest difference by words: what stays, goes and comes, in order."""
-    x, y = TOKENS.findall(old), TOKENS.findall(new)
-    number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(t, len(number)) for t in tokens], np.int64) for tokens in (x, y))
+    return word_parts_of([old], [new])[0]
+
+
+def assembled(x: list[str], y: list[str], script: list[tuple[str, int]]) -> list[dict]:
+    """Parts of a script of tokens."""
     out, i, j = [], 0, 0
 
     def stays(to: int) -> None:
         if to > i:
             out.append({"type": "same", "value": "".join(x[i:to])})
 
-    for (kind, _), run in groupby(enumerate(Edits(a, b).script()), lambda e: (e[1][0], e[1][1] - e[0])):
+    for (kind, _), run in groupby(enumerate(script), lambda e: (e[1][0], e[1][1] - e[0])):
         places = [place for _, (_, place) in run]
         to = places[0] if kind == "del" else i + places[0] - j
         stays(to)
@@ -203,7 +309,14 @@ def word_parts(old: str, new: str) -> list[dict]:
 
 @F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("value", StringType())])))
 def _word_parts(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([word_parts(a, b) if a is not None and b is not None else None for a, b in zip(old, new)], dtype=object)
+    some = (old.notna() & new.notna()).to_numpy()
+    out = pd.Series([None] * len(old), index=old.index, dtype=object)
+    at = np.flatnonzero(some)
+    for begin in range(0, len(at), MANY):  # so many pairs at a time, so that their tokens are not all in memory
+        part = at[begin : begin + MANY]
+        for i, parts in zip(part.tolist(), word_parts_of(old.iloc[part].tolist(), new.iloc[part].tolist())):
+            out.iat[i] = parts
+    return out
 
 
 def word_diff(old: Column, new: Column) -> Column:

@@ -53,7 +53,9 @@ select conv_id, turn, count(parts.run) as n_parts, md5(coalesce(string_agg(type
 from sized left join parts using (conv_id, turn) left join changes using (conv_id, turn) group by conv_id, turn""")
 def word_differences(spark, sf_dir):
     """Each turn of a conversation beside the turn before: all parts of the difference by words, and its lines as a model is told them."""
-    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    # dealt by number, as little data that is much work would else come to few tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = table(spark, sf_dir, "conversations").repartition(parts, "conv_id").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     d = c.select("conv_id", "turn", diff.word_diff(F.col("before"), F.col("text")).alias("parts"))
     lines = diff.word_changes(F.col("parts"))
     joined = F.array_join(F.transform("parts", lambda p: F.concat(p["type"], F.lit(":"), p["value"])), "\x1f")

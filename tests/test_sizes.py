@@ -1,10 +1,13 @@
 """Queries on odd and on large input: what a larger table or a rare text once broke."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 
 from tandem.functions import text as T
-from tandem.operators import prefilter
+from tandem.operators import diff, prefilter
 from tandem.queries import QUERIES, SQL
 from tandem.sources import markup
 
@@ -47,3 +50,17 @@ def test_a_filter_on_the_outcome_does_not_screen_twice(spark):
 
 def test_characters_of_the_first_block_are_looked_up():
     assert "-" not in T.UNSTABLE and "-" not in T.NOTHING.split("|")[0]
+
+
+def test_differences_of_many_pairs_are_those_of_each():
+    r = random.Random(5)
+    pairs = [tuple(np.array([r.randrange(v) for _ in range(r.choice([0, 1, 2, 5, 12, 30]))], np.int64) for _ in "ab") for v in (1, 2, 3, 8) * 60]
+    base = np.arange(3000)
+    pairs += [(base, base), (base, np.delete(base, [5, 2000])), (base[:50], base)]
+    want = [diff.Edits(*p).script() for p in pairs]
+    assert all(diff.every_script(pairs, most) == want for most in (1, 50, 3000, 1 << 22))
+
+
+def test_pairs_of_a_batch_take_their_edits_together(spark, monkeypatch):
+    monkeypatch.setattr(diff, "Edits", None)  # one by one would need it
+    assert diff.word_parts_of(["a b", "x", ""], ["a c", "x", "y"]) == [diff.word_parts("a b", "a c"), [{"type": "same", "value": "x"}], [{"type": "ins", "value": "y"}]]
