@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.functions import text as T
 from tandem.operators import diff, prefilter
@@ -64,3 +65,11 @@ def test_differences_of_many_pairs_are_those_of_each():
 def test_pairs_of_a_batch_take_their_edits_together(spark, monkeypatch):
     monkeypatch.setattr(diff, "Edits", None)  # one by one would need it
     assert diff.word_parts_of(["a b", "x", ""], ["a c", "x", "y"]) == [diff.word_parts("a b", "a c"), [{"type": "same", "value": "x"}], [{"type": "ins", "value": "y"}]]
+
+
+def test_references_are_restored_in_small_batches(spark):
+    page = '<a class="noteref" href="#N1">1</a>'
+    df = spark.createDataFrame([(page, ['<a class="noteref" href="#n1">*</a>']), (page, None), (None, [])], "page string, given array<string>")
+    out = df.select(markup.restore_noterefs(F.col("page"), F.col("given")).alias("p"))
+    assert [r.p for r in out.collect()] == ['<a class="noteref" href="#n1">*</a>', page, ""]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
