@@ -31,8 +31,17 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 64) -
     return found.where(F.col("_a") == F.floor(F.greatest("start", "b_start") / width)).drop("_a", "_b")
 
 
-def islands(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """intervals (keys, start, end) with island: its number, from 1, among runs of intervals that overlap directly or through others."""
+#: Intervals that a task sorts, where their number is told.
+SORTED = 1 << 20
+
+
+def islands(intervals: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+    """intervals (keys, start, end) with island: its number, from 1, among runs of intervals that overlap directly or through others.
+
+    size, the number of intervals where it is known, makes the partitions as many as they have to be for a task to sort about SORTED at most.
+    """
+    if size is not None:
+        intervals = intervals.repartition(max(int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SORTED)), *keys)
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = (reach.isNull() | (F.col("start") >= reach)).cast("int")

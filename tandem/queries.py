@@ -207,7 +207,8 @@ def intervals(spark, sf_dir) -> DataFrame:
 n as (select k, s, e, sum(case when reach is null or s >= reach then 1 else 0 end) over (partition by k order by s, e rows between unbounded preceding and current row) as island from m)
 select k, island::bigint as island, min(s) as start, max(e) as end, count(*) as n from n group by k, island""")
 def interval_islands(spark, sf_dir):
-    marked = rows.islands(intervals(spark, sf_dir), ["k"])
+    i = intervals(spark, sf_dir)
+    marked = rows.islands(i, ["k"], i.count())
     return marked.groupBy("k", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tandem.functions import text as T
-from tandem.operators import align, segment
+from tandem.operators import align, rows, segment
 
 
 def test_band_sends_a_left_item_once(spark, capsys):
@@ -21,9 +21,9 @@ def test_band_sends_a_left_item_once(spark, capsys):
 
 def test_blocks_are_judged_before_they_are_sorted(spark):
     docs = spark.createDataFrame([(1, "a\n\nbc\n \n\n\nd")], "id int, text string")
-    rows = segment.block_ranges(docs, told={"long": F.length("block_text") > 1}).orderBy("block").collect()
-    assert [(r.start, r.end, r.long) for r in rows] == [(0, 1, False), (3, 5, True), (10, 11, False)]
-    assert "block_text" not in rows[0].asDict()
+    found = segment.block_ranges(docs, told={"long": F.length("block_text") > 1}).orderBy("block").collect()
+    assert [(r.start, r.end, r.long) for r in found] == [(0, 1, False), (3, 5, True), (10, 11, False)]
+    assert "block_text" not in found[0].asDict()
 
 
 def test_collapse_and_dropped_by_tables_take_the_same_characters(spark):
@@ -52,3 +52,12 @@ def test_whole_table_of_a_gap_scores_as_its_rows(monkeypatch):
     whole = align.Band(30, 26, 60, align.EMPTY, align.text_scorer(left, right)).path()
     monkeypatch.setattr(align, "WHOLE", 0)
     assert whole == align.Band(30, 26, 60, align.EMPTY, align.text_scorer(left, right)).path()
+
+
+def test_islands_of_many_intervals_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rows, "SORTED", 10)
+    i = spark.range(200).select((F.col("id") % 20).alias("k"), F.floor(F.col("id") / 20).cast("int").alias("start"), (F.floor(F.col("id") / 20) + 1).cast("int").alias("end"))
+    found = rows.islands(i, ["k"], 200)
+    assert found.rdd.getNumPartitions() == 20
+    plain = rows.islands(i, ["k"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
