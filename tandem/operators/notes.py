@@ -19,16 +19,32 @@ def lines(note: Column) -> Column:
 
 
 def marker(note: Column) -> Column:
-    t = F.regexp_replace(T.text_of(note), rf"^[{T.WS}]+", "")
-    out = F.lit("")
-    for m in reversed(MARKERS):
-        out = F.when(t.startswith(m), m).otherwise(out)
-    return out
+    def test(t: Column) -> Column:
+        out = F.lit("")
+        for m in reversed(MARKERS):
+            out = F.when(t.startswith(m), m).otherwise(out)
+        return out
+
+    return T.let(F.regexp_replace(T.text_of(note), rf"^[{T.WS}]+", ""), test)
+
+
+def failed(x: Column) -> Column:
+    """is_failure of a note's lines."""
+    return (F.size(x) > 0) & F.coalesce(F.get(x, F.lit(0)).startswith(MARKERS[0]), F.lit(False)) & F.exists(F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda y: y.rlike(FAILED))
 
 
 def is_failure(note: Column) -> Column:
     """An automated note that tells of a failed call or a stopped run."""
-    return T.let(lines(note), lambda x: (F.size(x) > 0) & F.coalesce(F.get(x, F.lit(0)).startswith(MARKERS[0]), F.lit(False)) & F.exists(F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda y: y.rlike(FAILED)))
+    return T.let(lines(note), failed)
+
+
+def field_of(line: Column) -> Column:
+    """struct(name, value) of a line: each pattern is tested once, and all end with the first colon; a line without a name is its own value."""
+    name = F.lit("")
+    for known, pattern in reversed(FIELDS):
+        name = F.when(line.rlike(pattern), known).otherwise(name)
+    value = lambda n: F.when(n == "", line).otherwise(T.strip(F.substr(line, F.locate("：", line) + 1)))
+    return T.let(name, lambda n: F.struct(n.alias("name"), value(n).alias("value")))
 
 
 def parse(note: Column) -> Column:
@@ -38,31 +54,26 @@ def parse(note: Column) -> Column:
     """
     empty = F.struct(*[F.lit("").alias(c) for c in ("semantic", "modify", "severity", "revision", "analysis", "field")])
 
-    def rest(line, pattern):
-        return T.strip(F.regexp_replace(line, pattern, ""))
-
     def more(old, line):
         return F.concat_ws("\n", F.nullif(old, F.lit("")), F.nullif(line, F.lit("")))
 
     def step(s, line):
-        is_ = {name: line.rlike(p) for name, p in FIELDS}
-        p = dict(FIELDS)
-        plain = ~(is_["semantic"] | is_["modify"] | is_["severity"] | is_["revision"] | is_["advice"] | is_["reason"])
-        more_revision = plain & (s["field"] == "revision")
-        analysis = F.when(is_["reason"], rest(line, p["reason"])).when(is_["advice"], more(s["analysis"], F.concat(F.lit("建议改法："), rest(line, p["advice"])))).when(plain & ~more_revision, more(s["analysis"], line)).otherwise(s["analysis"])
-        revision = F.when(is_["revision"], rest(line, p["revision"])).when(more_revision, more(s["revision"], line)).otherwise(s["revision"])
-        field = F.when(is_["semantic"] | is_["modify"] | is_["severity"], "").when(is_["revision"] | more_revision, "revision").otherwise("analysis")
+        name, value = line["name"], line["value"]
+        more_revision = (name == "") & (s["field"] == "revision")
+        analysis = F.when(name == "reason", value).when(name == "advice", more(s["analysis"], F.concat(F.lit("建议改法："), value))).when((name == "") & ~more_revision, more(s["analysis"], value)).otherwise(s["analysis"])
+        revision = F.when(name == "revision", value).when(more_revision, more(s["revision"], value)).otherwise(s["revision"])
+        field = F.when(name.isin("semantic", "modify", "severity"), "").when((name == "revision") | more_revision, "revision").otherwise("analysis")
         return F.struct(
-            F.when(is_["semantic"], rest(line, p["semantic"])).otherwise(s["semantic"]).alias("semantic"), F.when(is_["modify"], rest(line, p["modify"])).otherwise(s["modify"]).alias("modify"),
-            F.when(is_["severity"], decisions.issue_severity(rest(line, p["severity"]))).otherwise(s["severity"]).alias("severity"), revision.alias("revision"), analysis.alias("analysis"), field.alias("field"),
+            F.when(name == "semantic", value).otherwise(s["semantic"]).alias("semantic"), F.when(name == "modify", value).otherwise(s["modify"]).alias("modify"),
+            F.when(name == "severity", decisions.issue_severity(value)).otherwise(s["severity"]).alias("severity"), revision.alias("revision"), analysis.alias("analysis"), field.alias("field"),
         )
 
     def out(s):
         some = F.concat(s["semantic"], s["modify"], s["severity"], s["revision"], s["analysis"]) != ""
         return F.when(some, F.struct(*[s[c].alias(c) for c in ("semantic", "modify", "severity", "revision", "analysis")]))
 
-    body = T.let(lines(note), lambda x: F.aggregate(F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), empty, step, out))
-    return F.when((marker(note) != "") & ~is_failure(note), body)
+    body = lambda x: F.aggregate(F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), field_of), empty, step, out)
+    return F.when(marker(note) != "", T.let(lines(note), lambda x: F.when(~failed(x), body(x))))
 
 
 def split_stored(note: Column, manual: Column) -> Column:

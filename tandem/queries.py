@@ -107,10 +107,13 @@ h as (select *, case when a = '' and b = '' then 'rule-empty' when a <> '' and a
 k as (select *, case when step = 'structured-differs' then 'structured-conflict' else step end as kind from h)"""
 
 
-def classified(spark, sf_dir):
+def variants(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    v = d.select(F.col("doc_id").alias("pair"), "lang", F.expr(_PICK(0)).alias("source"), F.expr(_PICK(1)).alias("left"), F.expr(_PICK(2)).alias("right"), F.lit(0.0).alias("score"))
-    return prefilter.classify(v)
+    return d.select(F.col("doc_id").alias("pair"), "lang", F.expr(_PICK(0)).alias("source"), F.expr(_PICK(1)).alias("left"), F.expr(_PICK(2)).alias("right"), F.lit(0.0).alias("score"))
+
+
+def classified(spark, sf_dir):
+    return prefilter.classify(variants(spark, sf_dir))
 
 
 @query(f"with {_CLASSIFY} select pair, kind, round(case when kind = 'similarity' then j end, 6) as similarity from k")
@@ -294,13 +297,14 @@ _STATES = f"""{_CLASSIFY}, st as (select *, case when kind is null then 'none' w
 
 
 def noted(spark, sf_dir):
-    """Rows with the notes of their pre-screening, every third one confirmed by hand."""
+    """Rows with the notes of their pre-screening, every third one confirmed by hand. The outcomes are written once; the rows, whose texts are cheap, come from the table."""
     c = classified(spark, sf_dir).withColumns({"index": F.col("pair"), "signature": F.lit("")})
     ev = prefilter.results(c).select(F.col("index").cast("string").alias("id"), F.col("note").alias("new_note"), F.lit(True).alias("new_ai_done"), F.lit("").alias("new_target"))
+    ev = store.kept(ev)
     empty = spark.createDataFrame([], "id string, note string, manual_note string, done boolean, manual_done boolean, ai_done boolean, revision_text string, revision_target string")
     stored = notes.upsert(empty, ev)
     stored = notes.confirm(stored, stored.where("cast(id as long) % 3 = 0").select("id"))
-    rows_ = c.select("index", "lang", F.lit("c").alias("chapter"), F.lit("1:1").alias("relation"), F.col("source").alias("jp"), F.col("left").alias("cn"), F.col("right").alias("tw"), F.lit("").alias("tw_cn"), (F.col("index") * 7 % 10 * 0.05).alias("score"))
+    rows_ = variants(spark, sf_dir).withColumn("index", F.col("pair")).select("index", "lang", F.lit("c").alias("chapter"), F.lit("1:1").alias("relation"), F.col("source").alias("jp"), F.col("left").alias("cn"), F.col("right").alias("tw"), F.lit("").alias("tw_cn"), (F.col("index") * 7 % 10 * 0.05).alias("score"))
     return browse.with_notes(rows_, stored)
 
 

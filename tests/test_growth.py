@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tandem.functions import text as T
-from tandem.operators import align, rows, segment
+from tandem.operators import align, notes, rows, segment
+from tandem.queries import QUERIES
 
 
 def test_band_sends_a_left_item_once(spark, capsys):
@@ -61,3 +62,19 @@ def test_islands_of_many_intervals_are_dealt_to_more_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 20
     plain = rows.islands(i, ["k"])
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_noted_rows_are_screened_once_and_their_outcomes_written(spark, tmp_path):
+    text = "a longer text with é in it, so that it is like its variant"
+    docs = spark.createDataFrame([(i, "en", text) for i in range(10)], "doc_id long, lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["browse_states"](spark, str(tmp_path))
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n for r in found.collect()) == 10
+
+
+def test_a_line_of_a_note_is_tested_once_by_each_pattern(spark):
+    d = spark.createDataFrame([("[AI校对]\n语义是否相同：相同\n是否需要修改：是\n问题严重程度：致命\n修改结果：a：b\nc\n建议改法：d\n分析：e\nf",), ("[AI校对]\n调用失败：x",), ("x",)], "note string")
+    parsed = d.select(notes.parse(F.col("note")).alias("p"))
+    assert [r.p and tuple(r.p) for r in parsed.collect()] == [("相同", "是", "critical", "a：b\nc", "e\nf"), None, None]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= len(notes.FIELDS) + 1
