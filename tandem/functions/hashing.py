@@ -1,7 +1,10 @@
-"""Signatures: 32-bit FNV-1a over UTF-16 units, in base 36."""
+"""Signatures: 32-bit FNV-1a over UTF-16 units, in base 36; MD5 that goes on from a state."""
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +47,41 @@ def project_signature(files: dict[str, str | Column], input_mode: str, start_mar
     column = lambda x: x if isinstance(x, Column) else F.lit(x)
     parts = [files.get(r, "") for r in ("jp", "cn", "tw")] + (["bilingual"] if comparison_mode == "bilingual" else [])
     return short_hash(F.concat_ws(FIELD, *map(column, [*parts, input_mode, start_markers, inline_markup])))
+
+
+# ---- MD5 from part to part ----
+
+#: Bytes of OpenSSL's MD5_CTX: 22 words and a count.
+_STATE = 92
+
+
+def _crypto():
+    """The library that Python's own hashes use; hashlib does not give a hash's state away, its MD5_CTX is plain data."""
+    import _hashlib
+
+    for name in (_hashlib.__file__, ctypes.util.find_library("crypto")):
+        lib = ctypes.CDLL(name) if name else None
+        if lib is not None and hasattr(lib, "MD5_Update"):
+            lib.MD5_Init.argtypes, lib.MD5_Update.argtypes, lib.MD5_Final.argtypes = [ctypes.c_void_p], [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t], [ctypes.c_char_p, ctypes.c_void_p]
+            return lib
+    raise RuntimeError("MD5 over several parts needs OpenSSL's MD5_Update")
+
+
+def _context(state: bytes):
+    context = ctypes.create_string_buffer(state, _STATE) if state else ctypes.create_string_buffer(_STATE)
+    if not state:
+        _crypto().MD5_Init(context)
+    return context
+
+
+def md5_resumed(state: bytes, content: bytes) -> bytes:
+    """The state after content; an empty state is the beginning."""
+    context = _context(bytes(state))
+    _crypto().MD5_Update(context, bytes(content), len(content))
+    return context.raw
+
+
+def md5_ended(state: bytes) -> str:
+    context, out = _context(bytes(state)), ctypes.create_string_buffer(16)
+    _crypto().MD5_Final(out, context)
+    return out.raw.hex()

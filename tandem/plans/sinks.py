@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions import text as T
 
 #: Columns of a result by mode, and the part of a replace list that is filled.
 CSV_COLUMNS = {"bilingual": ["index", "chapter", "relation", "score", "jpAlignScore", "jp", "cn"], "trilingual": ["index", "chapter", "relation", "score", "jpAlignScore", "jp", "cn", "tw", "twCn"]}
 NAMES = {"jpAlignScore": "jp_align_score", "twCn": "tw_cn"}
 PAIR = re.compile(r"(^[ \t]*)<searchtext>[\s\S]*?</searchtext>(\r?\n)\1<replacetext>[\s\S]*?</replacetext>", re.M)
+#: Bytes of a project's lines beyond which its CSV file is written as several parts.
+PART = 64 << 20
 TEMPLATE = "<list>\n  <searchtext></searchtext>\n  <replacetext></replacetext>\n</list>\n"
 
 
@@ -41,13 +46,47 @@ def in_order(head: list[str], rows: DataFrame, tail: list[str] = ()) -> DataFram
 def write_csv(rows: DataFrame, path: str, mode: str = "trilingual", keys: tuple[str, ...] = ()) -> None:
     """Parts in order of index that are one file together: the header once and without quotes, then every value in quotes. A value's line breaks stay.
 
-    With keys each project gets one file, see write_files.
+    With keys each project gets one file, see write_files, or more than one where its lines have over PART bytes: cut by index, in order of the numbers of the files.
     """
     if not keys:
         return in_order([csv_header(mode)], csv_lines(rows, mode)).write.mode("overwrite").text(path)
     lines = rows.select(*keys, "index", F.concat_ws(",", *[quoted(F.col(NAMES.get(c, c))) for c in CSV_COLUMNS[mode]]).alias("line"))
     first = F.concat(F.lit(csv_header(mode) + "\n"), "line")
-    write_files(lines, path, keys, first)
+    sizes = lines.groupBy(*keys).agg(F.sum(F.octet_length("line")).alias("bytes"))
+    # as few as the bytes of all lines hold PART
+    large = sizes.where(F.col("bytes") > PART).collect()
+    if not large:
+        return write_files(lines, path, keys, first)
+    small = in_files(lines.where(~among(large, keys)), keys, first).select(*keys, F.lit(1).alias("_at"), F.col("_row").cast("long").alias("index"), "value")
+    every = small.unionByName(in_parts(lines.where(among(large, keys)), keys, csv_header(mode), large))
+    # the writer asks for rows sorted by keys and would sort them anew, were they not
+    every.sortWithinPartitions(*keys, "_at", "index", "value").select(*keys, "value").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+
+
+def among(projects: list[Row], keys: tuple[str, ...]) -> Column:
+    """Whether a row is of one of a few projects; a null key is one."""
+    return functools.reduce(operator.or_, [functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.lit(p[k])) for k in keys]) for p in projects])
+
+
+def in_parts(lines: DataFrame, keys: tuple[str, ...], head: str, sizes: list[Row]) -> DataFrame:
+    """(keys, _at, index, value): lines of large projects (keys, bytes) and the head before each, dealt to one task for each PART of a project by quantiles of index; tasks of a project follow its order."""
+    spark = lines.sparkSession
+    parts = [-(-p["bytes"] // PART) for p in sizes]
+    most = max(parts)
+    quantiles = lines.groupBy(*keys).agg(F.percentile_approx(F.col("index").cast("long"), [n / most for n in range(1, most)], 20 * most).alias("_cuts"))
+    found = {tuple(r[k] for k in keys): r["_cuts"] for r in quantiles.collect()}
+    told, start = [], 0
+    for p, n in zip(sizes, parts):
+        key = tuple(p[k] for k in keys)
+        told.append((*key, start, [found[key][i * most // n - 1] for i in range(1, n)]))
+        start += n
+    schema = ", ".join(f"`_{k}` {lines.schema[k].dataType.simpleString()}" for k in keys) + ", _start int, _cuts array<long>"
+    cuts = spark.createDataFrame(told, schema)
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    index = F.col("index").cast("long")
+    rows = lines.join(F.broadcast(cuts), same).select(*keys, F.lit(1).alias("_at"), index.alias("index"), F.col("line").alias("value"), (F.col("_start") + F.size(F.filter("_cuts", lambda c: c < index))).alias("_part"))
+    heads = cuts.select(*[F.col(f"_{k}").alias(k) for k in keys], F.lit(0).alias("_at"), F.lit(0).cast("long").alias("index"), F.lit(head).alias("value"), F.col("_start").alias("_part"))
+    return rows.unionByName(heads).repartitionById(start, "_part").drop("_part")
 
 
 def write_files(lines: DataFrame, path: str, keys: tuple[str, ...], first: Column, other: Column | None = None, tail: str = "") -> None:
@@ -55,14 +94,18 @@ def write_files(lines: DataFrame, path: str, keys: tuple[str, ...], first: Colum
 
     A project is one task's, which sorts it, on disk where it has to, and writes it line by line. Files appear when all tasks are done; a task that fails leaves nothing.
     """
-    spark = lines.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_files(lines, keys, first, other, tail).drop("_row").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+
+
+def in_files(lines: DataFrame, keys: tuple[str, ...], first: Column, other: Column | None = None, tail: str = "") -> DataFrame:
+    """(keys, _row, value): what write_files writes, a project in one task and in order, its rows numbered."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy(*keys).orderBy("index", "line")
     last = F.lead(F.lit(1)).over(order).isNull() if tail else F.lit(False)
-    text = F.when(F.row_number().over(order) == 1, first).otherwise(F.col("line") if other is None else other)
+    row = F.row_number().over(order)
+    text = F.when(row == 1, first).otherwise(F.col("line") if other is None else other)
     # dealt by number, so that no project is cut in two and no two tasks write one
-    rows = lines.repartition(parts, *keys).select(*keys, F.when(last, F.concat(text, F.lit(tail))).otherwise(text).alias("value"))
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+    return lines.repartition(parts, *keys).select(*keys, row.alias("_row"), F.when(last, F.concat(text, F.lit(tail))).otherwise(text).alias("value"))
 
 
 def json_rows(rows: DataFrame) -> DataFrame:
@@ -107,11 +150,33 @@ def write_documents(rows: DataFrame, path: str, keys: tuple[str, ...], about: Da
 
 
 def read_files(spark: SparkSession, path: str, keys: tuple[str, ...], types: dict[str, str] | None = None) -> DataFrame:
-    """(keys, content): the files that write_files wrote, each whole."""
+    """(keys, content): the files that write_files wrote, each whole; of a project that write_csv cut, its parts."""
     found = spark.read.option("basePath", path).text(f"{path}/*" + "/*" * (len(keys) - 1), wholetext=True)
     return found.select(*[F.col(k).cast((types or {}).get(k, "string")).alias(k) for k in keys], F.col("value").alias("content"))
 
 
+def digests(spark: SparkSession, path: str, keys: tuple[str, ...], types: dict[str, str] | None = None) -> DataFrame:
+    """(keys, md5): of each project's content as write_csv wrote it. Where it has several parts, a task reads one and goes on from the state that the part before left, so the driver sees states alone."""
+    typed = lambda df: df.withColumns({k: F.col(k).cast((types or {}).get(k, "string")) for k in keys})
+    binary = lambda *paths: spark.read.option("basePath", path).format("binaryFile").load(list(paths))
+    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long")
+    files = typed(binary(f"{path}/*" + "/*" * (len(keys) - 1))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "path"))).alias("files"))
+    large = files.where(F.size("files") > 1).collect()
+    whole = read_files(spark, path, keys, types)
+    if not large:
+        return whole.select(*keys, F.md5("content").alias("md5"))
+    states: dict[int, bytes] = dict.fromkeys(range(len(large)), b"")
+    resumed = F.udf(hashing.md5_resumed, "binary", useArrow=True)
+    for turn in range(max(len(p["files"]) for p in large)):
+        given = [(n, p["files"][turn]["path"], states[n]) for n, p in enumerate(large) if turn < len(p["files"])]
+        of = lambda at: F.create_map(*[F.lit(x) for g in given for x in (g[1], g[at])])[F.col("path")]
+        now = binary(*[g[1] for g in given]).select(of(0).alias("n"), resumed(of(2), "content").alias("state"))
+        states |= {r["n"]: bytes(r["state"]) for r in now.collect()}
+    schema = ", ".join(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in keys) + ", md5 string"
+    chained = spark.createDataFrame([(*[p[k] for k in keys], hashing.md5_ended(states[n])) for n, p in enumerate(large)], schema)
+    return whole.where(~among(large, keys)).select(*keys, F.md5("content").alias("md5")).unionByName(chained)
+
+
 def script_safe(json: Column) -> Column:
     """JSON for a script element of a page."""
     return F.replace(json, F.lit("<"), F.lit(chr(92) + "u003c"))

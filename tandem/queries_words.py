@@ -85,7 +85,7 @@ def converted_phrases(spark, sf_dir):
 def csv_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("index"), F.col("lang").alias("chapter"), F.col("source").alias("relation"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("jp_align_score"), F.col("text").alias("jp"), F.lit(None).cast("string").alias("cn"))
     sinks.write_csv(d, path := f"{store.scratch(spark)}/csv", "bilingual", ("lang",))
-    return sinks.read_files(spark, path, ("lang",)).select("lang", F.md5("content").alias("content"))
+    return sinks.digests(spark, path, ("lang",)).select("lang", F.col("md5").alias("content"))
 
 
 @query("""select conv_id, count(*) as n, md5(string_agg(turn::varchar || ':' || coalesce(role, '-') || ':' || coalesce(text, '-'), chr(31) order by turn)) as rows from conversations group by conv_id""")

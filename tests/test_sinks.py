@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import hashlib
 import io
 import json
 
@@ -64,3 +65,19 @@ def test_a_log_is_not_written_over_by_a_new_checkpoint(spark, tmp_path):
     results.start_log(events(), log, checkpoint).awaitTermination()
     found = spark.read.schema("run string, event_id long, revision long").parquet(f"{log}/batch=*")
     assert [r.n for r in results.pages(found, "run").groupBy("page").agg(F.count("*").alias("n")).orderBy("page").collect()] == [64, 64, 22]
+
+
+def test_large_projects_are_cut_into_parts_that_are_one_file_together(spark, tmp_path, monkeypatch):
+    rows = compare_rows(spark, 2, 400).unionByName(compare_rows(spark, 1, 5).withColumn("project", F.lit("s"))).repartition(5)
+    sinks.write_csv(rows, str(tmp_path / "whole"), "bilingual", ("project",))
+    monkeypatch.setattr(sinks, "PART", 4000)
+    sinks.write_csv(rows, str(tmp_path / "cut"), "bilingual", ("project",))
+    want = {}
+    for p in ("p0", "p1", "s"):
+        (whole,) = glob.glob(f"{tmp_path}/whole/project={p}/part-*")
+        parts = glob.glob(f"{tmp_path}/cut/project={p}/part-*")
+        assert len(parts) == 1 if p == "s" else len(parts) > 5 and max(len(open(f, newline="").read()) for f in parts) < 8000
+        assert content(f"{tmp_path}/cut/project={p}") == open(whole).read()
+        want[p] = hashlib.md5(open(whole, "rb").read()).hexdigest()
+    for name in ("whole", "cut"):
+        assert {r.project: r.md5 for r in sinks.digests(spark, str(tmp_path / name), ("project",)).collect()} == want
