@@ -28,7 +28,8 @@ MARK = "[AI校对]"
 
 
 def first_string(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(T.strip(v), F.lit("")) for v in values], F.lit(""))
+    given = F.filter(F.transform(F.array(*values), T.strip), lambda x: x != "")
+    return F.coalesce(F.get(given, F.lit(0)), F.lit(""))
 
 
 def lowered(c: Column) -> Column:
@@ -37,16 +38,22 @@ def lowered(c: Column) -> Column:
 
 def parse_boolean(c: Column, fallback: bool = False) -> Column:
     """JSON booleans, numbers (0 is false) and words; the fallback for anything else."""
-    t = lowered(c)
-    number = F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double"))
-    return F.when(t.isin(TRUE), True).when(t.isin(FALSE), False).when(number.isNotNull(), number != 0).otherwise(fallback)
+
+    def read(t: Column) -> Column:
+        number = F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double"))
+        return F.when(t.isin(TRUE), True).when(t.isin(FALSE), False).when(number.isNotNull(), number != 0).otherwise(fallback)
+
+    return T.let(lowered(c), read)
 
 
 def words(c: Column, table: dict[str, list[str]], otherwise) -> Column:
-    out, t = F.lit(otherwise), lowered(c)
-    for name, known in reversed(table.items()):
-        out = F.when(t.isin(known), name).otherwise(out)
-    return out
+    def read(t: Column) -> Column:
+        out = F.lit(otherwise)
+        for name, known in reversed(table.items()):
+            out = F.when(t.isin(known), name).otherwise(out)
+        return out
+
+    return T.let(lowered(c), read)
 
 
 def normalize_better(c: Column) -> Column:

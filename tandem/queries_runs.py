@@ -23,7 +23,9 @@ _SEVERITY_KEY, _REVISED_KEY, _SUMMARY_KEY = ["severity", "issueSeverity", "严
 
 
 def contents(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    # dealt by number, as an event is few bytes and much work, and a file may be one row group
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type").repartition(parts, "event_id")
     i = F.col("event_id")
     pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
     said = lambda key, value: F.concat(F.lit(', "'), key, F.lit('": "'), value, F.lit('"'))

@@ -4,9 +4,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tandem.functions import decisions
 from tandem.functions import text as T
 from tandem.operators import align, notes, rows, segment
 from tandem.queries import QUERIES
+from tandem.queries_runs import contents
 
 
 def test_band_sends_a_left_item_once(spark, capsys):
@@ -73,6 +75,16 @@ def test_noted_rows_are_screened_once_and_their_outcomes_written(spark, tmp_path
     assert sum(r.n for r in found.collect()) == 10
 
 
+def test_decisions_of_one_file_are_dealt_to_all_tasks_and_a_word_is_read_once(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("event_id"), F.lit("x").alias("event_type")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = contents(spark, str(tmp_path))
+    assert c.select(F.spark_partition_id()).distinct().count() == 4
+    word = decisions.normalize_better(F.col("content"))
+    assert c.select(word.alias("w"))._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    d = spark.createDataFrame([(None, " b ", "c"), ("", " ", None)], "x string, y string, z string")
+    assert [r[0] for r in d.select(decisions.first_string(F.col("x"), F.col("y"), F.col("z"))).collect()] == ["b", ""]
+
+
 def test_a_line_of_a_note_is_tested_once_by_each_pattern(spark):
     d = spark.createDataFrame([("[AI校对]\n语义是否相同：相同\n是否需要修改：是\n问题严重程度：致命\n修改结果：a：b\nc\n建议改法：d\n分析：e\nf",), ("[AI校对]\n调用失败：x",), ("x",)], "note string")
     parsed = d.select(notes.parse(F.col("note")).alias("p"))
