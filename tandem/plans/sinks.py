@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import operator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as T
+from . import folders
 
 #: Columns of a result by mode, and the part of a replace list that is filled.
 CSV_COLUMNS = {"bilingual": ["index", "chapter", "relation", "score", "jpAlignScore", "jp", "cn"], "trilingual": ["index", "chapter", "relation", "score", "jpAlignScore", "jp", "cn", "tw", "twCn"]}
@@ -60,7 +62,7 @@ def write_csv(rows: DataFrame, path: str, mode: str = "trilingual", keys: tuple[
     small = in_files(lines.where(~among(large, keys)), keys, first).select(*keys, F.lit(1).alias("_at"), F.col("_row").cast("long").alias("index"), "value")
     every = small.unionByName(in_parts(lines.where(among(large, keys)), keys, csv_header(mode), large))
     # the writer asks for rows sorted by keys and would sort them anew, were they not
-    every.sortWithinPartitions(*keys, "_at", "index", "value").select(*keys, "value").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+    put_files(every.sortWithinPartitions(*keys, "_at", "index", "value").select(*keys, "value"), path, keys)
 
 
 def among(projects: list[Row], keys: tuple[str, ...]) -> Column:
@@ -94,7 +96,30 @@ def write_files(lines: DataFrame, path: str, keys: tuple[str, ...], first: Colum
 
     A project is one task's, which sorts it, on disk where it has to, and writes it line by line. Files appear when all tasks are done; a task that fails leaves nothing.
     """
-    in_files(lines, keys, first, other, tail).drop("_row").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+    put_files(in_files(lines, keys, first, other, tail).drop("_row"), path, keys)
+
+
+def put_files(rows: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """Writes rows (keys, value), which each task has sorted by keys, as a file for each project and task. On a local or mounted file system tasks write the files themselves, see folders; elsewhere Spark's writer does."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    if uri.getScheme() != "file":
+        return rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys).text(path)
+    spark.dataSource.register(folders.Folders)
+    rows.select(*[F.col(k).cast("string").alias(k) for k in keys], "value").write.format(folders.Folders.name()).mode("overwrite").save(uri.getPath())
+
+
+@contextlib.contextmanager
+def many_folders(spark: SparkSession):
+    """Within it, tasks that list folders take many each; Spark would start one for each folder, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def in_files(lines: DataFrame, keys: tuple[str, ...], first: Column, other: Column | None = None, tail: str = "") -> DataFrame:
@@ -151,7 +176,8 @@ def write_documents(rows: DataFrame, path: str, keys: tuple[str, ...], about: Da
 
 def read_files(spark: SparkSession, path: str, keys: tuple[str, ...], types: dict[str, str] | None = None) -> DataFrame:
     """(keys, content): the files that write_files wrote, each whole; of a project that write_csv cut, its parts."""
-    found = spark.read.option("basePath", path).text(f"{path}/*" + "/*" * (len(keys) - 1), wholetext=True)
+    with many_folders(spark):
+        found = spark.read.text(path, wholetext=True)
     return found.select(*[F.col(k).cast((types or {}).get(k, "string")).alias(k) for k in keys], F.col("value").alias("content"))
 
 
@@ -160,7 +186,9 @@ def digests(spark: SparkSession, path: str, keys: tuple[str, ...], types: dict[s
     typed = lambda df: df.withColumns({k: F.col(k).cast((types or {}).get(k, "string")) for k in keys})
     binary = lambda *paths: spark.read.option("basePath", path).format("binaryFile").load(list(paths))
     number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long")
-    files = typed(binary(f"{path}/*" + "/*" * (len(keys) - 1))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "path"))).alias("files"))
+    with many_folders(spark):
+        found = binary(path)
+    files = typed(found).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "path"))).alias("files"))
     large = files.where(F.size("files") > 1).collect()
     whole = read_files(spark, path, keys, types)
     if not large:

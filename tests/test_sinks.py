@@ -5,6 +5,7 @@ import glob
 import hashlib
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,66 @@ def test_large_projects_are_cut_into_parts_that_are_one_file_together(spark, tmp
         want[p] = hashlib.md5(open(whole, "rb").read()).hexdigest()
     for name in ("whole", "cut"):
         assert {r.project: r.md5 for r in sinks.digests(spark, str(tmp_path / name), ("project",)).collect()} == want
+
+
+def laid_out(path):
+    """Content of each folder's files, by its place under path."""
+    found = {}
+    for f in glob.glob(f"{glob.escape(str(path))}/**/part-*", recursive=True):
+        found.setdefault(os.path.relpath(os.path.dirname(f), path), []).append(open(f, newline="").read())
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def odd_projects(spark):
+    keys = [None, "", "a", "a/b", 'q"#%\'*:=?\\{}[]^', "x y", "ü語", "tab\t\x7f", "7"]
+    rows = [(k, n, i, f"line {i}\rof {k}") for k in keys for n in (None, 1, 2) for i in range(3)]
+    return spark.createDataFrame(rows, "name string, n int, index long, line string").repartition(5)
+
+
+def test_files_of_many_small_projects_are_written_and_listed_without_a_start_for_each(spark, tmp_path):
+    n = 150
+    rows = spark.range(3 * n).select((F.col("id") % n).alias("conv"), F.col("id").alias("index"), F.lit("x").alias("text"))
+    sc = spark.sparkContext
+    sc.setJobGroup("many", "many")
+    sinks.write_documents(rows, path := str(tmp_path / "d"), ("conv",))
+    read = sinks.read_files(spark, path, ("conv",), {"conv": "long"})
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("many") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    sc.setJobGroup("", "")
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10000
+    # Hadoop's local file system would leave its checksums and have set four permissions for each
+    assert len(glob.glob(f"{path}/conv=*/*")) == len(glob.glob(f"{path}/conv=*/*") + glob.glob(f"{path}/conv=*/.*")) == n
+    assert {r.conv: [x["index"] for x in json.loads(r.content)["rows"]] for r in read.collect()} == {k: [k, k + n, k + 2 * n] for k in range(n)}
+
+
+def test_files_lie_as_those_of_sparks_writer(spark, tmp_path):
+    rows = odd_projects(spark)
+    lines = sinks.in_files(rows, ("name", "n"), F.col("line"), F.concat(F.lit(","), "line"), "!").drop("_row")
+    lines.write.partitionBy("name", "n").text(str(tmp_path / "spark"))
+    # null and an empty name share a folder, and Spark's writer may put both into one file of it
+    parted = lambda found: {k: sorted(x for f in v for x in f.splitlines(True)) if "name=__" in k else v for k, v in found.items()}
+    for _ in range(2):  # the second time in place of the first
+        sinks.write_files(rows, str(tmp_path / "own"), ("name", "n"), F.col("line"), F.concat(F.lit(","), "line"), "!")
+        own = laid_out(tmp_path / "own")
+        assert parted(own) == parted(laid_out(tmp_path / "spark"))
+        assert {k: len(v) for k, v in own.items()} == {k: 2 if "name=__" in k else 1 for k in own}
+    read = sinks.read_files(spark, str(tmp_path / "own"), ("name", "n"))
+    assert read.count() == 27 and read.where("name is null and n is null").count() == 2
+    assert sorted(os.listdir(tmp_path)) == ["own", "spark"]
+
+
+def test_a_failing_task_leaves_what_was_there(spark, tmp_path):
+    rows = compare_rows(spark)
+    sinks.write_documents(rows, str(tmp_path / "d"), ("project",))
+    before = laid_out(tmp_path / "d")
+    with pytest.raises(Exception, match="no"):
+        sinks.write_documents(rows.withColumn("cn", F.when(F.col("index") == 29, F.raise_error(F.lit("no"))).otherwise("")), str(tmp_path / "d"), ("project",))
+    assert laid_out(tmp_path / "d") == before and os.listdir(tmp_path) == ["d"]
+
+
+def test_what_is_no_local_file_system_is_written_by_spark(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./x", f"file://{tmp_path}")
+    sinks.write_documents(compare_rows(spark), "viewfs://far/x/d", ("project",))
+    assert glob.glob(f"{tmp_path}/d/project=p0/.*.crc")
+    assert [len(json.loads(r.content)["rows"]) for r in sinks.read_files(spark, "viewfs://far/x/d", ("project",)).collect()] == [30, 30]
