@@ -110,7 +110,7 @@ def test_files_of_many_small_projects_are_written_and_listed_without_a_start_for
     sc.setJobGroup("", "")
     assert tasks and max(tasks) <= 4 * sc.defaultParallelism
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10000
-    # Hadoop's local file system would leave its checksums and have set four permissions for each
+    # Hadoop's local file system would leave a checksum file beside each
     assert len(glob.glob(f"{path}/conv=*/*")) == len(glob.glob(f"{path}/conv=*/*") + glob.glob(f"{path}/conv=*/.*")) == n
     assert {r.conv: [x["index"] for x in json.loads(r.content)["rows"]] for r in read.collect()} == {k: [k, k + n, k + 2 * n] for k in range(n)}
 
