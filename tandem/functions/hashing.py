@@ -5,9 +5,13 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from . import points
 from .text import text_of
 
 #: Offset and prime of the hash.
@@ -29,11 +33,28 @@ def utf16_units(text: Column) -> Column:
 def short_hash(c) -> Column:
     start = F.lit(OFFSET).cast("long")
     value = F.aggregate(utf16_units(text_of(c)), start, lambda h, u: (h.bitwiseXOR(u) * F.lit(PRIME).cast("long")).bitwiseAND(0xFFFFFFFF))
+    return short(value)
+
+
+def short(value: Column) -> Column:
+    """A number in base 36."""
     return F.lower(F.conv(value.cast("string"), 10, 36))
 
 
+#: Code points of the texts that are hashed side by side.
+HASHED = 1 << 23
+
+
+@F.pandas_udf(LongType())
+def _hashed(s: pd.Series) -> pd.Series:
+    texts = s.tolist()
+    found = [points.fnv_1a(texts[part], OFFSET, PRIME) for part in points.pieces(np.array(list(map(len, texts)), np.int64), HASHED)]
+    return pd.Series(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64))
+
+
 def row_signature(jp, cn, tw, tw_cn, relation) -> Column:
-    return short_hash(F.concat_ws(FIELD, *[text_of(c) for c in (jp, cn, tw, tw_cn, relation)]))
+    """The short hash of a row's fields. Rows are many and long, so batches of them are hashed side by side."""
+    return short(_hashed(F.concat_ws(FIELD, *[text_of(c) for c in (jp, cn, tw, tw_cn, relation)])))
 
 
 def table_signature(index: Column, signature: Column) -> Column:

@@ -66,25 +66,32 @@ def relation_summary(relation: str, left: str, right: str) -> Column:
     return F.when(F.count(relation) == 1, F.max(relation)).otherwise(F.concat_ws(":", F.coalesce(F.sum(left), F.lit(0)).cast("string"), F.coalesce(F.sum(right), F.lit(0)).cast("string")))
 
 
-def joined(column: str, index: str = "source_index") -> Column:
+def joined(column: str, index: str = "source_index", between: str = "\n\n") -> Column:
     """Aggregate: texts that are not empty, in order, with a blank line between."""
     rows = F.sort_array(F.collect_list(F.when(T.text_of(column) != "", F.struct(F.col(index).alias("i"), F.col(column).alias("t")))))
-    return F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n")
+    return F.array_join(F.transform(rows, lambda r: r["t"]), between)
 
 
 def side_texts(members: DataFrame, keys: list[str], side: str, index: str = "source_index") -> DataFrame:
-    """For each row of members (keys, row and paragraph columns) the joined texts, characters and first chapter of a side; a paragraph counts once."""
+    """For each row of members (keys, row and paragraph columns) the joined texts and, of a version, normal forms, characters and first chapter of a side; a paragraph counts once."""
     once = members.dropDuplicates([*keys, "row", "source_index"])
-    return once.groupBy(*keys, "row").agg(joined("text", index).alias(side), joined("cn_text", index).alias(f"{side}_cn"), F.sum("chars").alias(f"{side}_chars"), F.min_by("chapter", index).alias(f"{side}_chapter"), F.count("*").alias(f"{side}_items"))
+    texts = [joined("text", index).alias(side)]
+    if side == "tw":
+        texts.append(joined("cn_text", index).alias("tw_cn"))
+    if side != "jp":
+        texts.append(joined("normal", index, "").alias(f"{side}_normal"))
+    return once.groupBy(*keys, "row").agg(*texts, F.sum("chars").alias(f"{side}_chars"), F.min_by("chapter", index).alias(f"{side}_chapter"), F.count("*").alias(f"{side}_items"))
 
 
 def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list[str], normal=align.cjk) -> DataFrame:
-    """keys, row, refined_relation, refined_score of rows (keys, row, score) with a low score whose sentences align better.
+    """keys, row, refined_relation, refined_score of rows (keys, row, score, and of both sides the text and _items) with a low score whose sentences align better.
 
-    items are (keys, row, source_index, lang, text, ...). Rows whose sides are at most so many sentences, and more than their items on one side, are aligned again.
+    items are (keys, row, source_index, lang, text, ...). Rows whose sides are at most so many sentences, and more than their items on one side, are aligned again. An item
+    has one sentence at least, and no more where it has no mark that ends one, so most rows are told by their items and texts before any is cut.
     """
     by = [*keys, "row"]
-    low = rows.where(F.col("score") < LOW).select(*by, "score")
+    few = (F.col("cn_items") <= FRAGMENTS) & (F.col("tw_items") <= FRAGMENTS)
+    low = rows.where(F.col("score") < LOW).where(few & (F.col("cn").rlike(T.UNIT_ENDS) | F.col("tw").rlike(T.UNIT_ENDS))).select(*by, "score")
     cut = lambda items: segment.fragments(items.join(low.select(*by), by), by)
     cn, tw = cut(cn_items), cut(tw_items)
     count = lambda f, items, c: f.groupBy(*by).agg(F.count("*").alias(f"{c}_f")).join(items.groupBy(*by).agg(F.count("*").alias(f"{c}_n")), by)
@@ -96,10 +103,16 @@ def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list
     return found.join(low, by).where(F.col("refined_score") >= F.greatest(F.lit(ACCEPT), F.col("score") + GAIN)).drop("score")
 
 
+def compared(normal) -> Column:
+    """The form in which a version's paragraph is compared: of its text in simplified script."""
+    return normal(F.when(F.col("lang") == "tw", F.col("cn_text")).otherwise(F.col("text")))
+
+
 def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups: DataFrame, keys: list[str], mode: str = "trilingual", pivot: str = "cn", normal=align.cjk, keep=lambda df: df) -> DataFrame:
     """Rows: keys, index, chapter, relation, jp, jp_align_score, cn, tw, tw_cn, score, refined_score and characters.
 
     version_groups are align_versions of cn and tw, source_groups align of jp and the pivot (left is the source). A source group with an empty side says nothing.
+    paragraphs may have `normal`, the form in which versions are compared; where they have none, it is worked out here, once for each paragraph of a row.
     keep(df) may write a stage and read it back, which restarts and plans are the shorter for.
     """
     bilingual = mode == "bilingual"
@@ -113,7 +126,8 @@ def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups
 
     def members(groups: DataFrame, side: str, lang: str) -> DataFrame:
         spread = groups.where(F.col(f"{side}_end") > F.col(f"{side}_start")).select(*keys, "row", F.explode(F.sequence(F.col(f"{side}_start"), F.col(f"{side}_end") - 1)).alias("source_index"))
-        return spread.join(paragraphs.where(F.col("lang") == lang), [*keys, "source_index"])
+        found = spread.join(paragraphs.where(F.col("lang") == lang), [*keys, "source_index"])
+        return found if lang == "jp" or "normal" in found.columns else found.withColumn("normal", compared(normal))
 
     cn, tw, jp = keep(members(v, "left", "cn")), keep(members(v, "right", "tw")), keep(members(s, "left", "jp"))
     by = [*keys, "row"]
@@ -122,11 +136,10 @@ def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups
     out = rel(v, "_v").join(rel(s, "_s"), by).join(s.groupBy(*by).agg(F.avg("score").alias("jp_align_score")), by)
     for name, items in (("cn", cn), ("tw", tw), ("jp", jp)):
         out = out.join(side_texts(items, keys, name), by, "left")
-    texts = {c: T.text_of(c) for c in ("cn", "tw", "tw_cn", "jp")}
-    out = out.withColumns(texts)
-    norm = {"_x": normal("cn"), "_y": normal("tw_cn")}
-    score = T.paragraph_score(T.bigrams(F.col("_x")), T.bigrams(F.col("_y")), F.length("_x"), F.length("_y"), (F.col("cn") == "") | (F.col("tw_cn") == ""))
-    out = keep(out.withColumns(norm)).withColumn("score", F.col("jp_align_score") if bilingual else score)
+    out = out.withColumns({c: T.text_of(c) for c in ("cn", "tw", "tw_cn", "jp")})
+    # a normal form is worked out piece by piece, so that of a row is what its paragraphs have
+    score = T.row_score(T.text_of("cn_normal"), T.text_of("tw_normal"), (F.col("cn") == "") | (F.col("tw_cn") == ""))
+    out = out.withColumn("score", F.col("jp_align_score") if bilingual else score).drop("cn_normal", "tw_normal")
     if bilingual:
         out = out.withColumns({"refined_score": F.lit(None).cast("double"), "relation": F.concat(F.lit("原文-译文 "), "_s")})
     else:

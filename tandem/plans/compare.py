@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, points
 from ..operators import align, browse, rows, segment
 from . import crosslingual, sinks
 from .store import scratch
@@ -19,17 +19,8 @@ MAX_CHARS, DIMENSIONS = 420, 256
 
 
 def hashed_ngrams(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Default encoder: counts of hashed character pairs and triples. It knows no language; a cross-lingual model is given as another encoder."""
-    import zlib
-
-    out = np.zeros((len(texts), dimensions), np.float32)
-    for i, t in enumerate(texts):
-        t = t.lower()
-        for n in (1, 2, 3):
-            for k in range(len(t) - n + 1):
-                h = zlib.crc32(t[k : k + n].encode())
-                out[i, h % dimensions] += 1.0 if h >> 31 else -1.0
-    return out
+    """Default encoder: counts of hashed runs of one to three characters. It knows no language; a cross-lingual model is given as another encoder."""
+    return points.hashed_counts([t.lower() for t in texts], dimensions)
 
 
 def embed(items: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hashed_ngrams, text: str = "text", out: str = "vector") -> DataFrame:
@@ -58,7 +49,7 @@ def kept_in(spark: SparkSession):
 
 
 def side(paragraphs: DataFrame, keys: list[str], lang: str, text: str = "text") -> DataFrame:
-    return paragraphs.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), F.col(text).alias("text"))
+    return paragraphs.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), F.col(text).alias("text"), *[c for c in paragraphs.columns if c == "normal"])
 
 
 def embedded(paragraphs: DataFrame, keys: list[str], pivot: str, load, keep, learnt: bool) -> DataFrame:
@@ -77,12 +68,13 @@ def compare(paragraphs: DataFrame, keys: list[str], mode: str = "trilingual", pi
     learnt maps the source's vectors into the pivot's space, see crosslingual. Each stage is written under the shared folder and read back, unless keep says otherwise.
     """
     keep = keep or kept_in(paragraphs.sparkSession)
-    paragraphs = keep(paragraphs)
+    # normal forms are worked out once; both the alignment of versions and the rows need them
+    paragraphs = keep(paragraphs.withColumn("normal", F.when(F.col("lang") != "jp", rows.compared(normal))))
     pivot = "cn" if mode == "bilingual" else pivot
     vectors = embedded(paragraphs, keys, pivot, load, keep, learnt)
     of = lambda lang: vectors.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), "vector")
     source = keep(align.align_vectors(of("jp"), of(pivot), keys))
-    version = keep(align.align_versions(side(paragraphs, keys, "cn"), side(paragraphs, keys, "tw", "cn_text"), keys, normal=normal))
+    version = keep(align.align_versions(side(paragraphs, keys, "cn"), side(paragraphs, keys, "tw", "cn_text"), keys, normal=lambda c: F.col("normal")))
     found = rows.compare_rows(paragraphs, version, source, keys, mode, pivot, normal, keep)
     return found.withColumn("signature", hashing.row_signature("jp", "cn", "tw", "tw_cn", "relation"))
 
