@@ -83,7 +83,7 @@ def side_texts(members: DataFrame, keys: list[str], side: str, index: str = "sou
     return once.groupBy(*keys, "row").agg(*texts, F.sum("chars").alias(f"{side}_chars"), F.min_by("chapter", index).alias(f"{side}_chapter"), F.count("*").alias(f"{side}_items"))
 
 
-def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list[str], normal=align.cjk) -> DataFrame:
+def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list[str], normal=align.cjk, keep=lambda df: df) -> DataFrame:
     """keys, row, refined_relation, refined_score of rows (keys, row, score, and of both sides the text and _items) with a low score whose sentences align better.
 
     items are (keys, row, source_index, lang, text, ...). Rows whose sides are at most so many sentences, and more than their items on one side, are aligned again. An item
@@ -91,9 +91,10 @@ def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list
     """
     by = [*keys, "row"]
     few = (F.col("cn_items") <= FRAGMENTS) & (F.col("tw_items") <= FRAGMENTS)
-    low = rows.where(F.col("score") < LOW).where(few & (F.col("cn").rlike(T.UNIT_ENDS) | F.col("tw").rlike(T.UNIT_ENDS))).select(*by, "score")
-    cut = lambda items: segment.fragments(items.join(low.select(*by), by), by)
-    cn, tw = cut(cn_items), cut(tw_items)
+    low = keep(rows.where(F.col("score") < LOW).where(few & (F.col("cn").rlike(T.UNIT_ENDS) | F.col("tw").rlike(T.UNIT_ENDS))).select(*by, "score"))
+    # written before they are cut: Spark infers from the cut that there is something to cut and would test that on the items of all rows
+    cn_items, tw_items = (keep(items.join(low.select(*by), by)) for items in (cn_items, tw_items))
+    cn, tw = (segment.fragments(items, by) for items in (cn_items, tw_items))
     count = lambda f, items, c: f.groupBy(*by).agg(F.count("*").alias(f"{c}_f")).join(items.groupBy(*by).agg(F.count("*").alias(f"{c}_n")), by)
     able = count(cn, cn_items, "cn").join(count(tw, tw_items, "tw"), by).where((F.col("cn_f") <= FRAGMENTS) & (F.col("tw_f") <= FRAGMENTS) & ((F.col("cn_f") > F.col("cn_n")) | (F.col("tw_f") > F.col("tw_n")))).select(*by)
     side = lambda f, c: f.join(able, by).select(*by, F.col("frag").alias("idx"), F.col(c).alias("text"))
@@ -144,7 +145,7 @@ def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups
         out = out.withColumns({"refined_score": F.lit(None).cast("double"), "relation": F.concat(F.lit("原文-译文 "), "_s")})
     else:
         out = keep(out)
-        out = out.join(keep(refine(out, cn, tw, keys, normal)), by, "left")
+        out = out.join(keep(refine(out, cn, tw, keys, normal, keep)), by, "left")
         version = F.coalesce(F.concat(F.lit("细分 "), F.col("refined_relation")), F.col("_v"))
         out = out.withColumn("relation", F.concat(F.lit("简台 "), version, F.lit(" / 日文 "), F.col("_s")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -54,8 +54,11 @@ def side(paragraphs: DataFrame, keys: list[str], lang: str, text: str = "text")
 
 def embedded(paragraphs: DataFrame, keys: list[str], pivot: str, load, keep, learnt: bool) -> DataFrame:
     """Paragraphs of the source and the pivot with vectors. If learnt, source vectors are turned into the pivot's space by a mapping from anchors, where there are enough."""
-    vectors = keep(embed(paragraphs.where(F.col("lang").isin("jp", pivot)), load))
-    matrix = crosslingual.learn(vectors, crosslingual.anchor_pairs(paragraphs, keys, "jp", pivot), keys, "jp", pivot) if learnt else None
+    vectors = embed(paragraphs.where(F.col("lang").isin("jp", pivot)), load)
+    if not learnt:
+        return vectors  # each side is read once, so writing it would only cost
+    vectors = keep(vectors)
+    matrix = crosslingual.learn(vectors, crosslingual.anchor_pairs(paragraphs, keys, "jp", pivot), keys, "jp", pivot)
     if matrix is None:
         return vectors
 
