@@ -83,17 +83,20 @@ def side_texts(members: DataFrame, keys: list[str], side: str, index: str = "sou
     return once.groupBy(*keys, "row").agg(*texts, F.sum("chars").alias(f"{side}_chars"), F.min_by("chapter", index).alias(f"{side}_chapter"), F.count("*").alias(f"{side}_items"))
 
 
-def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list[str], normal=align.cjk, keep=lambda df: df) -> DataFrame:
-    """keys, row, refined_relation, refined_score of rows (keys, row, score, and of both sides the text and _items) with a low score whose sentences align better.
+def refinable(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, score of rows (keys, row, score, and of both versions the text and _items) with a low score that may have sentences to align. An item has one sentence at
+    least, and no more where it has no mark that ends one, so most rows are told by their items and texts before any is cut.
+    """
+    few = (F.col("cn_items") <= FRAGMENTS) & (F.col("tw_items") <= FRAGMENTS)
+    return rows.where(F.col("score") < LOW).where(few & (F.col("cn").rlike(T.UNIT_ENDS) | F.col("tw").rlike(T.UNIT_ENDS))).select(*keys, "row", "score")
+
+
+def refine(low: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list[str], normal=align.cjk) -> DataFrame:
+    """keys, row, refined_relation, refined_score of refinable rows whose sentences align better.
 
-    items are (keys, row, source_index, lang, text, ...). Rows whose sides are at most so many sentences, and more than their items on one side, are aligned again. An item
-    has one sentence at least, and no more where it has no mark that ends one, so most rows are told by their items and texts before any is cut.
+    items are those of these rows (keys, row, source_index, lang, text, ...). Rows whose sides are at most so many sentences, and more than their items on one side, are aligned again.
     """
     by = [*keys, "row"]
-    few = (F.col("cn_items") <= FRAGMENTS) & (F.col("tw_items") <= FRAGMENTS)
-    low = keep(rows.where(F.col("score") < LOW).where(few & (F.col("cn").rlike(T.UNIT_ENDS) | F.col("tw").rlike(T.UNIT_ENDS))).select(*by, "score"))
-    # written before they are cut: Spark infers from the cut that there is something to cut and would test that on the items of all rows
-    cn_items, tw_items = (keep(items.join(low.select(*by), by)) for items in (cn_items, tw_items))
     cn, tw = (segment.fragments(items, by) for items in (cn_items, tw_items))
     count = lambda f, items, c: f.groupBy(*by).agg(F.count("*").alias(f"{c}_f")).join(items.groupBy(*by).agg(F.count("*").alias(f"{c}_n")), by)
     able = count(cn, cn_items, "cn").join(count(tw, tw_items, "tw"), by).where((F.col("cn_f") <= FRAGMENTS) & (F.col("tw_f") <= FRAGMENTS) & ((F.col("cn_f") > F.col("cn_n")) | (F.col("tw_f") > F.col("tw_n")))).select(*by)
@@ -104,6 +107,12 @@ def refine(rows: DataFrame, cn_items: DataFrame, tw_items: DataFrame, keys: list
     return found.join(low, by).where(F.col("refined_score") >= F.greatest(F.lit(ACCEPT), F.col("score") + GAIN)).drop("score")
 
 
+def kept_without_copies(df: DataFrame, copy: str, of: str, keep) -> DataFrame:
+    """keep(df), without the values of a column that are those of another; they are put back where they are read."""
+    same = df.withColumn("_same", F.col(copy).eqNullSafe(F.col(of)))
+    return keep(same.withColumn(copy, F.when(~F.col("_same"), F.col(copy)))).withColumn(copy, F.when(F.col("_same"), F.col(of)).otherwise(F.col(copy))).drop("_same")
+
+
 def compared(normal) -> Column:
     """The form in which a version's paragraph is compared: of its text in simplified script."""
     return normal(F.when(F.col("lang") == "tw", F.col("cn_text")).otherwise(F.col("text")))
@@ -125,18 +134,17 @@ def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups
     v = keep(v.join(at.where("kind = 'version'").select(*keys, "group", "row"), [*keys, "group"]))
     s = keep(s.join(at.where("kind = 'source'").select(*keys, "group", "row"), [*keys, "group"]))
 
-    def members(groups: DataFrame, side: str, lang: str) -> DataFrame:
-        spread = groups.where(F.col(f"{side}_end") > F.col(f"{side}_start")).select(*keys, "row", F.explode(F.sequence(F.col(f"{side}_start"), F.col(f"{side}_end") - 1)).alias("source_index"))
+    def members(groups: DataFrame, side: str, lang: str, keep=lambda df: df) -> DataFrame:
+        spread = keep(groups.where(F.col(f"{side}_end") > F.col(f"{side}_start")).select(*keys, "row", F.explode(F.sequence(F.col(f"{side}_start"), F.col(f"{side}_end") - 1)).alias("source_index")))
         found = spread.join(paragraphs.where(F.col("lang") == lang), [*keys, "source_index"])
         return found if lang == "jp" or "normal" in found.columns else found.withColumn("normal", compared(normal))
 
-    cn, tw, jp = keep(members(v, "left", "cn")), keep(members(v, "right", "tw")), keep(members(s, "left", "jp"))
-    by = [*keys, "row"]
+    by, versions = [*keys, "row"], (("left", "cn"), ("right", "tw"))
     size = lambda c: F.col(f"{c}_end") - F.col(f"{c}_start")
     rel = lambda g, name: g.withColumns({"_l": size("left"), "_r": size("right")}).groupBy(*by).agg(relation_summary("relation", "_l", "_r").alias(name))
     out = rel(v, "_v").join(rel(s, "_s"), by).join(s.groupBy(*by).agg(F.avg("score").alias("jp_align_score")), by)
-    for name, items in (("cn", cn), ("tw", tw), ("jp", jp)):
-        out = out.join(side_texts(items, keys, name), by, "left")
+    for groups, side, name in ((v, "left", "cn"), (v, "right", "tw"), (s, "left", "jp")):
+        out = out.join(side_texts(members(groups, side, name), keys, name), by, "left")
     out = out.withColumns({c: T.text_of(c) for c in ("cn", "tw", "tw_cn", "jp")})
     # a normal form is worked out piece by piece, so that of a row is what its paragraphs have
     score = T.row_score(T.text_of("cn_normal"), T.text_of("tw_normal"), (F.col("cn") == "") | (F.col("tw_cn") == ""))
@@ -144,8 +152,12 @@ def compare_rows(paragraphs: DataFrame, version_groups: DataFrame, source_groups
     if bilingual:
         out = out.withColumns({"refined_score": F.lit(None).cast("double"), "relation": F.concat(F.lit("原文-译文 "), "_s")})
     else:
-        out = keep(out)
-        out = out.join(keep(refine(out, cn, tw, keys, normal, keep)), by, "left")
+        out = kept_without_copies(out, "tw_cn", "tw", keep)
+        low = keep(refinable(out, keys))
+        # written before they are cut: Spark infers from the cut that there is something to cut and would test that on the items of all rows
+        # and their places are written too, as Spark sends few of them to the paragraphs where it knows how many there are
+        items = [keep(members(v.join(low.select(*by), by), side, name, keep)) for side, name in versions]
+        out = out.join(keep(refine(low, *items, keys, normal)), by, "left")
         version = F.coalesce(F.concat(F.lit("细分 "), F.col("refined_relation")), F.col("_v"))
         out = out.withColumn("relation", F.concat(F.lit("简台 "), version, F.lit(" / 日文 "), F.col("_s")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -72,7 +72,7 @@ def compare(paragraphs: DataFrame, keys: list[str], mode: str = "trilingual", pi
     """
     keep = keep or kept_in(paragraphs.sparkSession)
     # normal forms are worked out once; both the alignment of versions and the rows need them
-    paragraphs = keep(paragraphs.withColumn("normal", F.when(F.col("lang") != "jp", rows.compared(normal))))
+    paragraphs = rows.kept_without_copies(paragraphs.withColumn("normal", F.when(F.col("lang") != "jp", rows.compared(normal))), "cn_text", "text", keep)
     pivot = "cn" if mode == "bilingual" else pivot
     vectors = embedded(paragraphs, keys, pivot, load, keep, learnt)
     of = lambda lang: vectors.where(F.col("lang") == lang).select(*keys, F.col("source_index").cast("int").alias("idx"), "vector")
